@@ -21,6 +21,7 @@ from harborline.plans import (
     summaries,
 )
 from harborline.plans.warehouse import Warehouse
+from harborline.sources.durable import stored
 from harborline.sources.star import STAR_CONFIG, StarSource
 from oracle_queries import ORACLE, QUESTIONS, RUN_AT
 
@@ -182,6 +183,12 @@ def action_auto_approved(star, wh):
     return actions.decide(actions.propose_actions(_found(wh), _run_at()), auto_approve=True)
 
 
+def _all_actions(wh) -> DataFrame:
+    """The stored action table: one pending action per anomaly."""
+    found = anomalies.anomalies(wh.mart_occupancy, scan_limit=None)
+    return stored(actions.propose_actions(found, _run_at(), top=None))
+
+
 def _decisions(proposed: DataFrame) -> DataFrame:
     """An answer for the actions of two brands; the rest stay pending."""
     return proposed.where(F.col("brand") != "Luxury").select(
@@ -191,17 +198,13 @@ def _decisions(proposed: DataFrame) -> DataFrame:
 
 @_query
 def action_decisions(star, wh):
-    proposed = actions.propose_actions(
-        anomalies.anomalies(wh.mart_occupancy, scan_limit=None), _run_at(), top=None
-    )
+    proposed = _all_actions(wh)
     return actions.decide(proposed, _decisions(proposed))
 
 
 @_query
 def action_status(star, wh):
-    proposed = actions.propose_actions(
-        anomalies.anomalies(wh.mart_occupancy, scan_limit=None), _run_at(), top=None
-    )
+    proposed = _all_actions(wh)
     decided = actions.decide(proposed, _decisions(proposed))
     later = _run_at() + F.expr("interval 1 hour")
     events = actions.log_events(proposed, _run_at()).unionByName(
@@ -214,7 +217,7 @@ def action_status(star, wh):
 def prompt_table(star, wh):
     found = _found(wh)
     return enrichment.anomaly_prompts(
-        found, wh.documents, at_most=STAR_CONFIG.scan_limit
+        found, wh.document_index, at_most=STAR_CONFIG.scan_limit
     )
 
 
@@ -224,7 +227,7 @@ def _questions(star: StarSource) -> DataFrame:
 
 @_query
 def question_prompts(star, wh):
-    return enrichment.question_prompts(_questions(star), wh.documents, at_most=len(QUESTIONS))
+    return enrichment.question_prompts(_questions(star), wh.document_index, at_most=len(QUESTIONS))
 
 
 # --- questions -----------------------------------------------------------------------
@@ -424,15 +427,14 @@ def feature_frame_fanout(star, wh):
 
 @_query
 def stratified_split(star, wh):
-    flagged = wh.stg_bookings.select("booking_id", "is_cancelled")
+    flagged = stored(wh.stg_bookings.select("booking_id", "is_cancelled"))
     return split.stratified_split(flagged, ["booking_id"], F.col("is_cancelled"))
 
 
 @_query
 def upsell_label(star, wh):
-    return features.with_upsell_label(wh.mart_revenue).select(
-        "booking_id", "total_onboard_spend_usd", "high_spender"
-    )
+    spent = stored(wh.mart_revenue.select("booking_id", "is_cancelled", "total_onboard_spend_usd"))
+    return features.with_upsell_label(spent).drop("is_cancelled")
 
 
 @_query
@@ -513,14 +515,14 @@ def lsh_topk(star, wh):
 
 @_query
 def tfidf_topk(star, wh):
-    return retrieval.tfidf_topk(_questions(star), wh.documents, at_most=len(QUESTIONS))
+    index = retrieval.build_word_index(wh.document_index.select("doc_id", "text"))
+    return retrieval.tfidf_topk(_questions(star), index, at_most=len(QUESTIONS))
 
 
 @_query
 def tfidf_documents(star, wh):
-    return retrieval.tfidf_topk(
-        _questions(star), star.table("documents").select("doc_id", "text"), at_most=len(QUESTIONS)
-    )
+    index = retrieval.build_word_index(star.table("documents").select("doc_id", "text"))
+    return retrieval.tfidf_topk(_questions(star), index, at_most=len(QUESTIONS))
 
 
 # --- driver contract -----------------------------------------------------------------

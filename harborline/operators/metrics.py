@@ -22,23 +22,26 @@ def auc_roc(scored: DataFrame, score: Column, label: Column) -> DataFrame:
             "bin", F.least(F.greatest(F.floor(F.col("s") * SCORE_BINS), F.lit(0)), F.lit(SCORE_BINS))
         )
     )
-    lower = Window.unboundedPreceding
+    below_bin = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    every_bin = Window.partitionBy()
     bins = (
         by_score.groupBy("bin")
-        .agg(F.sum("neg").alias("bin_neg"))
-        .withColumn(
-            "below", F.coalesce(F.sum("bin_neg").over(Window.orderBy("bin").rowsBetween(lower, -1)), F.lit(0))
+        .agg(F.sum("pos").alias("bin_pos"), F.sum("neg").alias("bin_neg"))
+        .select(
+            "bin",
+            F.coalesce(F.sum("bin_neg").over(below_bin), F.lit(0)).alias("below"),
+            F.sum("bin_pos").over(every_bin).alias("all_pos"),
+            F.sum("bin_neg").over(every_bin).alias("all_neg"),
         )
-        .select("bin", "below")
     )
-    inside = Window.partitionBy("bin").orderBy("s").rowsBetween(lower, -1)
+    inside = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("below") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
     wide = "decimal(19,0)"
     twice_wins = F.col("pos").cast(wide) * (2 * below + F.col("neg")).cast(wide)
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    pairs = F.max("all_pos").cast("double") * F.max("all_neg").cast("double")
     return (
         by_score.join(F.broadcast(bins), "bin")  # at most SCORE_BINS + 1 rows
-        .select("pos", "neg", twice_wins.alias("w"))
+        .select("all_pos", "all_neg", twice_wins.alias("w"))
         .agg((F.sum("w").cast("double") / F.nullif(2 * pairs, F.lit(0.0))).alias("auc_roc"))
     )
 

@@ -7,6 +7,7 @@ most ``QUERY_BLOCK`` queries.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -14,12 +15,13 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.functions.text import word_bucket, words
 from harborline.operators.ranking import top_k
+from harborline.sources.durable import stored
 
 QUERY_BLOCK = 1024
 DEFAULT_K = 6
@@ -97,80 +99,77 @@ def cosine_topk(
 
 
 def word_counts(texts: DataFrame, key: str) -> DataFrame:
-    """``(key, bucket, tf)``. Texts are shuffled once by key; the exploded words and every
-    later group by key then stay in place."""
+    """``(key, bucket, tf)``. Texts are shuffled once by key; the exploded words and the
+    group by key and bucket then stay in place.
+
+    The partition number is explicit because the work per byte is high: coalescing by
+    size would put it all on a few cores.
+    """
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         texts.select(key, "text")
-        .repartition(F.col(key))
+        .repartition(partitions, F.col(key))
         .select(key, F.explode(words(F.col("text"))).alias("word"))
-        .select(key, word_bucket(F.col("word")).alias("bucket"))
-        .groupBy(key, "bucket")
+        .groupBy(key, "word")
         .agg(F.count("*").alias("tf"))
+        .select(key, word_bucket(F.col("word")).alias("bucket"), "tf")
+        .groupBy(key, "bucket")
+        .agg(F.sum("tf").alias("tf"))
     )
 
 
-def word_weights(corpus: DataFrame) -> DataFrame:
-    """``(bucket, idf)``; at most ``WORD_BUCKETS`` rows whatever the corpus size."""
-    total = corpus.agg(F.count("*").alias("n")).scalar()
-    return (
-        word_counts(corpus, "doc_id")
-        .groupBy("bucket")
-        .agg(F.count("*").alias("df"))
-        .select("bucket", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    )
+@dataclass(frozen=True)
+class WordIndex:
+    """TF-IDF index of a corpus: built once, asked many times."""
 
+    postings: DataFrame  # (doc_id, bucket, weight), weights of a document have norm 1
+    weights: DataFrame  # (bucket, idf), at most WORD_BUCKETS rows
+    documents: int
 
-def _tfidf_block(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    weights = word_weights(corpus)
-    total = corpus.agg(F.count("*").alias("n")).scalar()
+
+def build_word_index(corpus: DataFrame) -> WordIndex:
+    """Index of ``corpus(doc_id, text)`` over whole texts.
+
+    Words fall into a fixed number of hash buckets, so the weight table can always be
+    broadcast and no shuffle is keyed by word: a word found in every document never
+    gathers them in one task.
+    """
+    counts = stored(word_counts(corpus, "doc_id"))
+    documents = corpus.count()
+    idf = F.log(F.lit(documents + 1) / (F.count("*") + 1)) + 1
+    weights = stored(counts.groupBy("bucket").agg(idf.alias("idf")))
+    weighted = counts.join(F.broadcast(weights), "bucket").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    postings = weighted.select("doc_id", "bucket", (F.col("w") / norm).alias("weight"))
+    return WordIndex(stored(postings.sortWithinPartitions("bucket")), weights, documents)
+
+
+def _tfidf_block(index: WordIndex, queries: DataFrame) -> DataFrame:
+    unseen = F.log(F.lit(index.documents + 1).cast("double")) + 1
     asked = (
         word_counts(queries, "query_id")
-        .join(weights, "bucket", "left")
-        .select(
-            "query_id",
-            "bucket",
-            (F.col("tf") * F.coalesce("idf", F.log((total + 1).cast("double")) + 1)).alias("qw"),
-        )
-    )
-    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    wanted = (
-        asked.join(norms, "query_id")
-        .groupBy("bucket")
-        .agg(F.collect_list(F.struct("query_id", (F.col("qw") / F.col("q_norm")).alias("qw"))).alias("asks"))
-    )
-    # fixed number of hash buckets, and at most one entry per query and bucket
-    table = F.broadcast(weights.join(wanted, "bucket", "left"))
-    w = F.col("tf") * F.col("idf")
-    hits = F.transform("asks", lambda a: F.struct(a["query_id"].alias("query_id"), (a["qw"] * w).alias("dot")))
-    per_doc = (
-        word_counts(corpus, "doc_id")
-        .join(table, "bucket")
-        .groupBy("doc_id")
-        .agg(
-            F.sqrt(F.sum(w * w)).alias("norm"),
-            F.flatten(F.collect_list(F.when(F.col("asks").isNotNull(), hits))).alias("hits"),
-        )
+        .join(index.weights, "bucket", "left")
+        .withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
     )
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
+    # a block of queries, and its words, is small by construction
+    wanted = F.broadcast(asked.select("query_id", "bucket", (F.col("w") / norm).alias("qw")))
     return (
-        per_doc.select("doc_id", "norm", F.inline("hits"))
-        .groupBy("doc_id", "query_id")
-        .agg((F.sum("dot") / F.max("norm")).alias("cosine"))
-        .select("query_id", "doc_id", F.round("cosine", 6).alias("similarity"))
+        index.postings.join(wanted, "bucket")
+        .groupBy("query_id", "doc_id")
+        .agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("similarity"))
     )
 
 
 def tfidf_topk(
-    queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, at_most: int | None = None
+    queries: DataFrame, index: WordIndex, k: int = DEFAULT_K, at_most: int | None = None
 ) -> DataFrame:
-    """Exact top-k by cosine of TF-IDF word weights over whole texts.
+    """Exact top-k by cosine of TF-IDF word weights, six decimals, ties by id.
 
-    ``queries(query_id, text)``, ``corpus(doc_id, text)`` ->
-    ``(query_id, rank, doc_id, similarity)``. Words fall into a fixed number of hash
-    buckets, so the weight table can always be broadcast and a word found in every
-    document never gathers them in one task.
+    ``queries(query_id, text)`` -> ``(query_id, rank, doc_id, similarity)``.
     """
     blocks = query_blocks(queries, "query_id", at_most)
-    return _ranked(reduce(DataFrame.unionByName, [_tfidf_block(corpus, b) for b in blocks]), k)
+    return _ranked(reduce(DataFrame.unionByName, [_tfidf_block(index, b) for b in blocks]), k)
 
 
 def lsh_topk(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.functions.text import render, thousands, two_decimals
-from harborline.operators.retrieval import DEFAULT_K, tfidf_topk
+from harborline.operators.retrieval import DEFAULT_K, WordIndex, build_word_index, tfidf_topk
+from harborline.sources.durable import stored
 
 # Formats of the retrieval query and of the prompts.
 ANOMALY_QUERY = "{brand} {region} {itinerary} pricing occupancy"
@@ -56,10 +57,14 @@ def anomaly_queries(found: DataFrame) -> DataFrame:
 
 
 def context_for(
-    queries: DataFrame, documents: DataFrame, k: int = DEFAULT_K, at_most: int | None = None
+    queries: DataFrame,
+    documents: DataFrame,
+    k: int = DEFAULT_K,
+    at_most: int | None = None,
+    index: WordIndex | None = None,
 ) -> DataFrame:
     """``(query_id, context)``: the k best documents as a bulleted list, best first."""
-    best = tfidf_topk(queries, documents, k, at_most)
+    best = tfidf_topk(queries, index or build_word_index(documents), k, at_most)
     if at_most is not None:
         best = F.broadcast(best)  # k rows per query, and the number of queries is bounded
     entry = F.struct("rank", F.concat(F.lit("- "), F.col("text")).alias("line"))
@@ -76,10 +81,15 @@ def context_for(
 
 
 def anomaly_prompts(
-    found: DataFrame, documents: DataFrame, k: int = DEFAULT_K, at_most: int | None = None
+    found: DataFrame,
+    documents: DataFrame,
+    k: int = DEFAULT_K,
+    at_most: int | None = None,
+    index: WordIndex | None = None,
 ) -> DataFrame:
     """One prompt per anomaly, ready for any later consumer."""
-    context = context_for(anomaly_queries(found), documents, k, at_most)
+    found = stored(found)  # read for the queries and again for the prompts
+    context = context_for(anomaly_queries(found), documents, k, at_most, index)
     prompt = render(
         ADVICE_PROMPT,
         brand=F.col("brand"),
@@ -98,9 +108,13 @@ def anomaly_prompts(
 
 
 def question_prompts(
-    questions: DataFrame, documents: DataFrame, k: int = DEFAULT_K, at_most: int | None = None
+    questions: DataFrame,
+    documents: DataFrame,
+    k: int = DEFAULT_K,
+    at_most: int | None = None,
+    index: WordIndex | None = None,
 ) -> DataFrame:
     """One answer prompt per ``questions(query_id, text)`` row."""
-    context = context_for(questions, documents, k, at_most)
+    context = context_for(questions, documents, k, at_most, index)
     prompt = render(ANSWER_PROMPT, context=F.coalesce("context", F.lit("")), question=F.col("text"))
     return questions.join(context, "query_id", "left").select("query_id", prompt.alias("prompt"))

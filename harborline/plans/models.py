@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from harborline.operators.metrics import accuracy, auc_roc, mean_absolute_error, r_squared
 from harborline.operators.split import stratified_split
 from harborline.plans.features import FEATURES, revenue_per_night, with_upsell_label
-from harborline.sources.durable import cut_lineage
+from harborline.sources.durable import stored
 
+LABEL_INPUTS = ["is_cancelled", "total_onboard_spend_usd", "total_guest_value_usd", "nights"]
 SEED = 42
 TEST_SHARE = 0.2
 
@@ -96,7 +97,8 @@ def train(
     """Fits one model; ``trees`` overrides the number of boosting rounds."""
     spark: SparkSession = frame.sparkSession
     rounds = spec.trees if trees is None else trees
-    rows = cut_lineage(model_rows(frame, spec, keys))
+    inputs = [*FEATURES, *[c for c in LABEL_INPUTS if c not in FEATURES]]
+    rows = stored(model_rows(stored(frame.select(*keys, *inputs)), spec, keys))
     booster = GBTClassifier if spec.classifier else GBTRegressor
     stages = [
         VectorAssembler(inputCols=FEATURES, outputCol="features"),

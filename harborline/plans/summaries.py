@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harborline.functions.numeric import exact_mean
 from harborline.functions.text import render, thousands, two_decimals, whole
 from harborline.operators.ranking import sequential_ids
+from harborline.sources.durable import stored
 
 # Sentence formats of the summary documents.
 OCCUPANCY_TEXT = (
@@ -277,8 +278,8 @@ def all_documents(occupancy: DataFrame, revenue: DataFrame, pricing: DataFrame)
         docs_aggregate(region_brand_scorecard(occupancy)),
     ]
     ranked = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
-    docs = reduce(DataFrame.unionByName, ranked)
-    docs = docs.withColumns(
+    # numbering reads the documents several times, the marts behind them only once
+    docs = stored(reduce(DataFrame.unionByName, ranked)).withColumns(
         {
             "_last": ((F.col("type") == "aggregate") & (F.col("brand") == "all")).cast("int"),
             "_tail": F.coalesce("itinerary", "position", F.lit("")),

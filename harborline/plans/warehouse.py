@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from harborline.config import CRUISE, DomainConfig
 from harborline.operators.quality import dq_suite, staging_rules
 from harborline.plans import marts, staging, summaries
+from harborline.sources.durable import stored
 
 
 class RawSource(Protocol):
@@ -78,10 +79,16 @@ class Warehouse:
 
     @cached_property
     def documents(self) -> DataFrame:
+        # the occupancy mart feeds three kinds of documents, the others one each
         return summaries.all_documents(
-            self.mart_occupancy, self.mart_revenue, self.mart_pricing_summary
+            stored(self.mart_occupancy), self.mart_revenue, self.mart_pricing_summary
         )
 
+    @cached_property
+    def document_index(self) -> DataFrame:
+        """The documents as retrieval reads them, stored once."""
+        return stored(self.documents)
+
     def marts(self) -> dict[str, DataFrame]:
         return {
             "mart_revenue": self.mart_revenue,

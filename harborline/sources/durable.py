@@ -1,25 +1,34 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Cutting lineage through the folder the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names; only a local session gets one of its own."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only a local session gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="harborline-checkpoint-")
+    if folder:
+        return folder.rstrip("/")
+    active = spark.sparkContext.getCheckpointDir()
+    if active:
+        return active.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="harborline-")
     spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows, written to reliable storage: a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once as a parquet table in the shared folder.
+
+    For relations with several readers: a lost executor costs no recomputation, readers
+    still prune columns, and the planner knows the real size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/harborline-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
