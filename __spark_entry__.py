@@ -15,6 +15,7 @@ from harborline.plans import (
     anomalies,
     enrichment,
     features,
+    marts,
     models,
     questions,
     staging,
@@ -89,6 +90,17 @@ def mart_guest_ltv(star, wh):
     return wh.mart_guest_ltv
 
 
+@_query
+def mart_revenue_by_line(star, wh):
+    """Bookings with several spend rows: one result row per spend row."""
+    return marts.mart_revenue(wh.stg_bookings, star.line_spend)
+
+
+@_query
+def mart_guest_ltv_by_line(star, wh):
+    return marts.mart_guest_ltv(wh.stg_bookings, star.line_spend, wh.stg_guests, STAR_CONFIG)
+
+
 @_query
 def mart_pricing_summary(star, wh):
     return wh.mart_pricing_summary
@@ -213,6 +225,12 @@ def action_status(star, wh):
     return actions.current_status(events)
 
 
+@_query
+def anomaly_context(star, wh):
+    asked = stored(enrichment.anomaly_queries(_found(wh)))
+    return enrichment.context_for(asked, wh.document_index, at_most=STAR_CONFIG.scan_limit)
+
+
 @_query
 def prompt_table(star, wh):
     found = _found(wh)

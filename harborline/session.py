@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
-    spark = (
+def local_session(
+    cores: int = 8,
+    memory: str = "8g",
+    partitions: int | None = None,
+    settings: dict[str, str] | None = None,
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("harborline")
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
@@ -15,7 +20,9 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = N
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

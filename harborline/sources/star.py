@@ -206,6 +206,29 @@ class StarSource:
             F.col("o_orderdate").cast("timestamp_ntz").alias(STAMP),
         )
 
+    @cached_property
+    def line_spend(self) -> DataFrame:
+        """Onboard spend with one row per line, so that bookings have several."""
+        amount = money(F.col("l_extendedprice"))
+        running = self._dated_orders.where(~F.col("is_cancelled"))
+        categories = [
+            F.when((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status), amount).alias(c)
+            for c, (flag, status) in SPEND_PAIRS.items()
+        ]
+        return (
+            self.table("lineitem")
+            .join(running, F.col("l_orderkey") == F.col("o_orderkey"))
+            .select(
+                padded_id("BK", F.col("o_orderkey"), 7).alias("booking_id"),
+                padded_id("G", F.col("o_custkey"), 7).alias("guest_id"),
+                "brand",
+                "sail_date",
+                *categories,
+                amount.alias("total_onboard_spend_usd"),
+                F.col("o_orderdate").cast("timestamp_ntz").alias(STAMP),
+            )
+        )
+
     @cached_property
     def pricing_log(self) -> DataFrame:
         """One listed price per order line, 80 to 120 percent of the booked price."""

@@ -196,6 +196,18 @@ FROM pricing p LEFT JOIN (
 ON p.itinerary_name = b.itinerary_name AND p.brand = b.brand
   AND p.cabin_category = b.cabin_category AND p.sail_date = b.sail_date"""
 
+_line_cats = ", ".join(
+    f"CASE WHEN l_returnflag = '{f}' AND l_linestatus = '{s}' "
+    f"THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS {c}"
+    for c, (f, s) in zip(CATEGORIES, PAIRS)
+)
+CTE["line_spend"] = f"""
+SELECT {pad('BK', 'o_orderkey', 7)} AS booking_id, {_line_cats},
+  CAST(l_extendedprice AS DECIMAL(18,2)) AS total_onboard_spend_usd
+FROM lineitem JOIN dated ON l_orderkey = o_orderkey WHERE NOT is_cancelled"""
+CTE["m_revenue_line"] = CTE["m_revenue"].replace("JOIN spend s", "JOIN line_spend s")
+CTE["m_ltv_line"] = CTE["m_ltv"].replace("JOIN spend s", "JOIN line_spend s")
+
 CTE["occ_q"] = f"""
 SELECT brand, region, itinerary_name, sail_year, sail_quarter,
   CAST(SUM(total_bookings) AS BIGINT) AS total_bookings,
@@ -432,6 +444,10 @@ ORACLE: dict[str, str] = {
     "mart_guest_ltv": statement(
         doubles("m_ltv", ["total_cabin_revenue", "total_onboard_spend", "total_lifetime_value"])
     ),
+    "mart_revenue_by_line": statement(doubles("m_revenue_line", _rev_money)),
+    "mart_guest_ltv_by_line": statement(
+        doubles("m_ltv_line", ["total_cabin_revenue", "total_onboard_spend", "total_lifetime_value"])
+    ),
     "mart_pricing_summary": statement(doubles("m_pricing", ["listed_price_usd"])),
     "occupancy_quarterly": statement("SELECT * FROM occ_q"),
     "revenue_quarterly": statement("SELECT * FROM rev_q"),
@@ -460,6 +476,10 @@ ORACLE: dict[str, str] = {
         CASE WHEN brand IN ('Mass', 'Premium') THEN TIMESTAMP '2002-01-01 01:00:00'
              ELSE TIMESTAMP '2002-01-01 00:00:00' END AS "at" FROM proposed"""
     ),
+    "anomaly_context": statement(
+        "SELECT query_id, context FROM context_rows",
+        {**tfidf("docs", "anomaly_asked"), "context_rows": _context},
+    ),
     "prompt_table": statement(
         f"""SELECT f.query_id, 'You are a cruise revenue pricing advisor.' || chr(10) || chr(10)
   || 'A revenue anomaly has been detected:' || chr(10) || '- Brand: ' || brand || chr(10)
