@@ -20,6 +20,7 @@ from harborline.plans import (
     questions,
     staging,
     summaries,
+    watch,
 )
 from harborline.plans.warehouse import Warehouse
 from harborline.sources.durable import stored
@@ -248,6 +249,13 @@ def question_prompts(star, wh):
     return enrichment.question_prompts(_questions(star), wh.document_index, at_most=len(QUESTIONS))
 
 
+@_query
+def revenue_watch(star, wh):
+    return watch.revenue_watch(
+        wh.mart_occupancy, wh.document_index, _run_at(), STAR_CONFIG, auto_approve=True
+    )
+
+
 # --- questions -----------------------------------------------------------------------
 
 

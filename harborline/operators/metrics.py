@@ -2,47 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCORE_BINS = 4096
+from harborline.operators.ranking import running_total
+
+BINS = 1024  # score ranges per level
 
 
 def auc_roc(scored: DataFrame, score: Column, label: Column) -> DataFrame:
     """One row ``(auc_roc)``: chance that a positive outranks a negative, ties half.
 
-    Rows are folded by score, then negatives are accumulated over fixed score bins in
-    [0, 1] and inside each bin, so no window spans all scores.
+    Rows are folded by score. Negatives are then accumulated over coarse score ranges in
+    [0, 1], fine ranges inside them, and scores inside those, so no window spans all
+    scores even where they crowd together.
     """
+    scaled = F.least(F.greatest(F.col("s"), F.lit(0.0)), F.lit(1.0)) * BINS
     by_score = (
         scored.select(score.cast("double").alias("s"), label.cast("int").alias("y"))
         .groupBy("s")
         .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-        .withColumn(
-            "bin", F.least(F.greatest(F.floor(F.col("s") * SCORE_BINS), F.lit(0)), F.lit(SCORE_BINS))
-        )
-    )
-    below_bin = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    every_bin = Window.partitionBy()
-    bins = (
-        by_score.groupBy("bin")
-        .agg(F.sum("pos").alias("bin_pos"), F.sum("neg").alias("bin_neg"))
-        .select(
-            "bin",
-            F.coalesce(F.sum("bin_neg").over(below_bin), F.lit(0)).alias("below"),
-            F.sum("bin_pos").over(every_bin).alias("all_pos"),
-            F.sum("bin_neg").over(every_bin).alias("all_neg"),
-        )
+        .withColumns({"coarse": F.floor(scaled), "fine": F.floor((scaled - F.floor(scaled)) * BINS)})
     )
-    inside = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("below") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
+    ranked = running_total(by_score, F.col("neg"), [["coarse"], ["fine"], ["s"]], "below")
     wide = "decimal(19,0)"
-    twice_wins = F.col("pos").cast(wide) * (2 * below + F.col("neg")).cast(wide)
-    pairs = F.max("all_pos").cast("double") * F.max("all_neg").cast("double")
-    return (
-        by_score.join(F.broadcast(bins), "bin")  # at most SCORE_BINS + 1 rows
-        .select("all_pos", "all_neg", twice_wins.alias("w"))
-        .agg((F.sum("w").cast("double") / F.nullif(2 * pairs, F.lit(0.0))).alias("auc_roc"))
+    twice_wins = F.col("pos").cast(wide) * (2 * F.col("below") + F.col("neg")).cast(wide)
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return ranked.agg(
+        (F.sum(twice_wins).cast("double") / F.nullif(2 * pairs, F.lit(0.0))).alias("auc_roc")
     )
 
 

@@ -17,33 +17,30 @@ def _renamed(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in columns], F.col("_offset").alias(prefix + "offset"))
 
 
-def sequential_ids(
-    df: DataFrame, levels: list[list[str]], name: str = "seq", start: int = 0
-) -> DataFrame:
-    """Consecutive numbers in ascending order of all level columns (NULLs first).
+def running_total(df: DataFrame, value: Column, levels: list[list[str]], name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all earlier rows in ascending order of the levels.
 
-    The levels are a prefix hierarchy. Row counts per prefix are aggregated first and
-    turned into start offsets one level at a time, each window holding only the children
-    of one parent; rows are numbered inside their own prefix. So no window sees more than
-    the rows of one full prefix, and numbering is independent of the partitioning.
+    The levels are a prefix hierarchy (NULLs first). Sums per prefix are aggregated first
+    and turned into offsets one level at a time, each window holding only the children of
+    one parent; rows are added up inside their own prefix. So no window sees more than
+    the rows of one full prefix, whatever the size of the input.
     """
+    df = df.withColumn("_value", value)
+    before = Window.unboundedPreceding, -1
     prefixes = [sum(levels[: i + 1], []) for i in range(len(levels) - 1)]
     inside = Window.partitionBy(*(prefixes[-1] if prefixes else [])).orderBy(*levels[-1])
+    total = F.coalesce(F.sum("_value").over(inside.rowsBetween(*before)), F.lit(0))
     if not prefixes:
-        return df.withColumn(name, F.row_number().over(inside) - 1 + start)
-    counts = df.groupBy(*prefixes[-1]).agg(F.count("*").alias("_rows"))
+        return df.withColumn(name, total).drop("_value")
+    sums = df.groupBy(*prefixes[-1]).agg(F.sum("_value").alias("_value"))
     offsets = None
     for i, prefix in enumerate(prefixes):
         parent = prefixes[i - 1] if i else []
-        before = (
-            Window.partitionBy(*parent)
-            .orderBy(*levels[i])
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
+        siblings = Window.partitionBy(*parent).orderBy(*levels[i]).rowsBetween(*before)
         here = (
-            counts.groupBy(*prefix)
-            .agg(F.sum("_rows").alias("_rows"))
-            .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+            sums.groupBy(*prefix)
+            .agg(F.sum("_value").alias("_value"))
+            .withColumn("_offset", F.coalesce(F.sum("_value").over(siblings), F.lit(0)))
         )
         if offsets is None:
             offsets = here.select(*prefix, "_offset")
@@ -54,8 +51,17 @@ def sequential_ids(
             )
     last = prefixes[-1]
     joined = df.join(_renamed(offsets, last, "_at_"), _matches(last, "_at_"))
-    number = F.col("_at_offset") + F.row_number().over(inside) - 1 + start
-    return joined.select(*df.columns, number.cast("long").alias(name))
+    return joined.withColumn(name, F.col("_at_offset") + total).select(
+        *[c for c in df.columns if c != "_value"], name
+    )
+
+
+def sequential_ids(
+    df: DataFrame, levels: list[list[str]], name: str = "seq", start: int = 0
+) -> DataFrame:
+    """Consecutive numbers in ascending order of all level columns, see ``running_total``."""
+    numbered = running_total(df, F.lit(1), levels, name)
+    return numbered.withColumn(name, (F.col(name) + start).cast("long"))
 
 
 def top_k(df: DataFrame, key: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

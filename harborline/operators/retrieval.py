@@ -152,8 +152,8 @@ def _tfidf_block(index: WordIndex, queries: DataFrame) -> DataFrame:
         .withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
-    # a block of queries, and its words, is small by construction
-    wanted = F.broadcast(asked.select("query_id", "bucket", (F.col("w") / norm).alias("qw")))
+    # stored, so that the planner broadcasts it by its real size and joins by shuffle beyond
+    wanted = stored(asked.select("query_id", "bucket", (F.col("w") / norm).alias("qw")))
     return (
         index.postings.join(wanted, "bucket")
         .groupBy("query_id", "doc_id")

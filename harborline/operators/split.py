@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborline.sources.durable import stored
+
 HASH_DIGITS = 4  # 65,536 hash ranges per stratum
 
 
@@ -38,9 +40,9 @@ def stratified_split(
         .where((F.col("_before") < F.col("_take")) & (F.col("_before") + F.col("_c") >= F.col("_take")))
         .select("_stratum", "_range", (F.col("_take") - F.col("_before")).alias("_nth"))
     )
-    # a label has few strata, and each contributes exactly one row here
+    cut_range = stored(cut_range)
     in_cut = slim.alias("s").join(
-        F.broadcast(cut_range).alias("c"),
+        cut_range.alias("c"),
         F.col("s._stratum").eqNullSafe(F.col("c._stratum")) & (F.col("s._range") == F.col("c._range")),
     )
     cut = (
@@ -55,6 +57,7 @@ def stratified_split(
         .where(F.col("_pos") == F.col("_nth"))
         .select("_cut_stratum", "_cut")
     )
+    # one row per stratum; stored, so that the planner broadcasts it by its real size
     return hashed.join(
-        F.broadcast(cut), F.col("_stratum").eqNullSafe(F.col("_cut_stratum")), "left"
+        stored(cut), F.col("_stratum").eqNullSafe(F.col("_cut_stratum")), "left"
     ).select(*df.columns, F.coalesce(F.col("_hash") <= F.col("_cut"), F.lit(False)).alias("is_test"))

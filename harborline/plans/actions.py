@@ -12,6 +12,13 @@ PENDING, APPROVED, REJECTED = "PENDING_APPROVAL", "APPROVED", "REJECTED"
 ACT_ON = 2
 
 
+_KEYS = ["brand", "itinerary_name", "region", "sail_year", "sail_quarter"]
+
+
+def action_key(run_at: Column) -> Column:
+    return stamped_id("ACT_", run_at, [F.col(k) for k in _KEYS])
+
+
 def propose_actions(
     found: DataFrame,
     run_at: Column,
@@ -23,12 +30,11 @@ def propose_actions(
     ``recommendations(brand, itinerary_name, region, sail_year, sail_quarter,
     recommendation)`` holds texts made elsewhere; without it the column is NULL.
     """
-    keys = ["brand", "itinerary_name", "region", "sail_year", "sail_quarter"]
     chosen = found if top is None else first_anomalies(found, top)
     if recommendations is None:
         chosen = chosen.withColumn("recommendation", F.lit(None).cast("string"))
     else:
-        chosen = chosen.join(recommendations.select(*keys, "recommendation"), keys, "left")
+        chosen = chosen.join(recommendations.select(*_KEYS, "recommendation"), _KEYS, "left")
     return chosen.select(
         F.date_format(run_at, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
         "brand",
@@ -38,7 +44,7 @@ def propose_actions(
         F.col("avg_cancellation").alias("cancellation_rate"),
         "recommendation",
         F.lit(PENDING).alias("status"),
-        stamped_id("ACT_", run_at, [F.col(k) for k in keys]).alias("action_id"),
+        action_key(run_at).alias("action_id"),
     )
 
 

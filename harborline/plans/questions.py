@@ -177,6 +177,40 @@ def problem_areas(
     )
 
 
+# The standing questions, each with the query that answers it.
+STANDING_QUESTIONS = {
+    "Which region is doing well?": lambda m: region_performance(m["mart_revenue"]),
+    "Which region has the highest cancellation rate?": lambda m: region_cancellation(
+        m["mart_occupancy"]
+    ),
+    "How is Norwegian brand performing in Alaska?": lambda m: brand_in_region(
+        m["mart_revenue"], "Norwegian", "Alaska"
+    ),
+    "What is the average revenue per night for Regent suites?": lambda m: cabin_revenue_per_night(
+        m["mart_revenue"], "Regent"
+    ),
+    "Which cabin category generates the most onboard spend?": lambda m: cabin_onboard_spend(
+        m["mart_revenue"]
+    ),
+    "Which loyalty tier has the highest lifetime value?": lambda m: tier_lifetime_value(
+        m["mart_guest_ltv"]
+    ),
+    "How does Oceania pricing compare to Norwegian in Caribbean?": lambda m: price_comparison(
+        m["mart_pricing_summary"], "Caribbean", ["Oceania", "Norwegian"]
+    ),
+    "What is the booking window trend for Mediterranean sailings?": lambda m: booking_window_trend(
+        m["mart_occupancy"], "Mediterranean"
+    ),
+    "How are we doing overall?": lambda m: overall_by_brand(m["mart_revenue"]),
+    "Where are the problem areas?": lambda m: problem_areas(m["mart_occupancy"]),
+}
+
+
+def answer(question: str, marts: dict[str, DataFrame]) -> DataFrame:
+    """Result of a standing question; other questions go through ``run_sql``."""
+    return STANDING_QUESTIONS[question](marts)
+
+
 def register_marts(marts: dict[str, DataFrame]) -> None:
     """Marts as temporary views for free SQL."""
     for name, df in marts.items():

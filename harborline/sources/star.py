@@ -233,7 +233,7 @@ class StarSource:
     def pricing_log(self) -> DataFrame:
         """One listed price per order line, 80 to 120 percent of the booked price."""
         percent = 80 + (F.col("l_linenumber") * 13 + F.col("l_partkey")) % 41
-        cents = F.round(F.col("o_totalprice") * 100).cast("long")
+        cents = F.rint(F.col("o_totalprice") * 100).cast("long")
         listed = F.floor((cents * percent + 50) / F.lit(100.0)).cast("long")
         part = self.table("part").select("p_partkey", "p_type")
         customer = self.table("customer").select("c_custkey", "c_nationkey")

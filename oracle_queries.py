@@ -363,6 +363,17 @@ _context = """
 SELECT query_id, STRING_AGG('- ' || text, chr(10) ORDER BY rank) AS context
 FROM best JOIN docs USING (doc_id) GROUP BY 1"""
 
+_prompt = f"""'You are a cruise revenue pricing advisor.' || chr(10) || chr(10)
+  || 'A revenue anomaly has been detected:' || chr(10) || '- Brand: ' || brand || chr(10)
+  || '- Itinerary: ' || itinerary_name || chr(10) || '- Region: ' || region || chr(10)
+  || '- Current occupancy: ' || {pct('avg_occupancy')} || '%' || chr(10)
+  || '- Cancellation rate: ' || {pct('avg_cancellation')} || '%' || chr(10)
+  || '- Total revenue: $' || {money('total_revenue')} || chr(10) || chr(10)
+  || 'Relevant market context:' || chr(10) || context || chr(10) || chr(10)
+  || 'Provide a specific pricing recommendation to improve occupancy.' || chr(10)
+  || 'Include: recommended price adjustment (%), rationale, expected impact.' || chr(10)
+  || 'Keep response under 150 words.'"""
+
 CTE["features_base"] = """
 SELECT booking_id, guest_id, brand, ship_name, itinerary_name, region, nights, cabin_category, num_guests,
   booking_date, sail_date, booking_window_days, CAST(cabin_price_usd AS DOUBLE) AS cabin_price_usd,
@@ -481,19 +492,16 @@ ORACLE: dict[str, str] = {
         {**tfidf("docs", "anomaly_asked"), "context_rows": _context},
     ),
     "prompt_table": statement(
-        f"""SELECT f.query_id, 'You are a cruise revenue pricing advisor.' || chr(10) || chr(10)
-  || 'A revenue anomaly has been detected:' || chr(10) || '- Brand: ' || brand || chr(10)
-  || '- Itinerary: ' || itinerary_name || chr(10) || '- Region: ' || region || chr(10)
-  || '- Current occupancy: ' || {pct('avg_occupancy')} || '%' || chr(10)
-  || '- Cancellation rate: ' || {pct('avg_cancellation')} || '%' || chr(10)
-  || '- Total revenue: $' || {money('total_revenue')} || chr(10) || chr(10)
-  || 'Relevant market context:' || chr(10) || context || chr(10) || chr(10)
-  || 'Provide a specific pricing recommendation to improve occupancy.' || chr(10)
-  || 'Include: recommended price adjustment (%), rationale, expected impact.' || chr(10)
-  || 'Keep response under 150 words.' AS prompt
+        f"""SELECT f.query_id, {_prompt} AS prompt
 FROM (SELECT *, {_key} AS query_id FROM found) f JOIN context_rows c USING (query_id)""",
         {**tfidf("docs", "anomaly_asked"), "context_rows": _context},
     ),
+    "revenue_watch": statement(
+        f"""SELECT {_action.format(status=chr(39) + 'APPROVED' + chr(39))}, {_prompt} AS prompt
+FROM (SELECT *, {_key} AS query_id FROM found ORDER BY {_scan_order} LIMIT 2) f
+JOIN context_rows c USING (query_id)""",
+        {**tfidf("docs", "anomaly_asked"), "context_rows": _context},
+    ),
     "question_prompts": statement(
         """SELECT query_id, 'You are a cruise revenue intelligence assistant.' || chr(10) || chr(10)
   || 'You have access to the following relevant data from the cruise revenue database:' || chr(10)

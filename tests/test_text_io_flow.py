@@ -231,3 +231,18 @@ def test_free_sql_and_views(spark, warehouse):
     got = questions.run_sql(spark, "```sql\nSELECT COUNT(*) AS n FROM mart_revenue\n```").first()
     assert got.n == 60
     assert set(RAW_TABLES) == {"stg_bookings", "stg_guests", "stg_onboard_spend", "stg_pricing_log"}
+
+
+def test_standing_questions_have_answers(warehouse):
+    for question in questions.STANDING_QUESTIONS:
+        answered = questions.answer(question, warehouse.marts())
+        assert answered.columns and answered.count() >= 0
+    best = questions.answer("Which region is doing well?", warehouse.marts()).first()
+    assert best.region == "Alaska" or best.region == "Asia"
+
+
+def test_transcript(spark):
+    rows = [("How?", "So.", "SELECT 1", "x")]
+    answers = spark.createDataFrame(rows, "question string, answer string, sql string, results string")
+    got = [tuple(r) for r in questions.transcript(answers).collect()]
+    assert got == [("user", "How?", None, None), ("assistant", "So.", "SELECT 1", "x")]
