@@ -31,9 +31,12 @@ def query_blocks(queries: DataFrame, key: str, at_most: int | None = None) -> li
     """The queries in blocks small enough to broadcast.
 
     ``at_most`` states a bound the caller has proven (a LIMIT, a list); otherwise the
-    queries are counted, and split by key hash where they are too many.
+    queries are stored and counted, and split by key hash where they are too many.
     """
-    n = queries.count() if at_most is None else at_most
+    if at_most is not None and at_most <= QUERY_BLOCK:
+        return [queries]
+    queries = stored(queries)
+    n = queries.count()
     if n <= QUERY_BLOCK:
         return [queries]
     blocks = -(-2 * n // QUERY_BLOCK)

@@ -287,7 +287,7 @@ def all_documents(occupancy: DataFrame, revenue: DataFrame, pricing: DataFrame)
     )
     numbered = sequential_ids(
         docs,
-        [["_part"], ["_last", "brand", "region"], ["cabin"], ["year", "quarter", "_tail"]],
+        [["_part", "_last", "brand", "region"], ["cabin"], ["year", "quarter", "_tail"]],
         "_n",
     )
     return numbered.select(

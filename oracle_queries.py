@@ -145,39 +145,39 @@ SELECT b.booking_id, b.guest_id, b.brand, ship_name, itinerary_name, region, nig
     AS total_value_per_night_usd
 FROM bookings b LEFT JOIN spend s ON b.booking_id = s.booking_id"""
 
-_rate = "CAST(COUNT(CASE WHEN {c} THEN 1 END) AS DOUBLE) * 100.0 / NULLIF(COUNT(booking_id), 0)"
+_rate = "CAST(COUNT(*) FILTER (WHERE {c}) AS DOUBLE) * 100.0 / NULLIF(COUNT(booking_id), 0)"
 CTE["m_occupancy"] = f"""
 SELECT brand, ship_name, itinerary_name, region, sail_date,
   CAST(MONTH(sail_date) AS INTEGER) AS sail_month, CAST(QUARTER(sail_date) AS INTEGER) AS sail_quarter,
   CAST(YEAR(sail_date) AS INTEGER) AS sail_year,
-  COUNT(booking_id) AS total_bookings, COUNT(CASE WHEN NOT is_cancelled THEN 1 END) AS confirmed_bookings,
-  COUNT(CASE WHEN is_cancelled THEN 1 END) AS cancelled_bookings,
-  CAST(SUM(CASE WHEN NOT is_cancelled THEN num_guests ELSE 0 END) AS BIGINT) AS total_guests,
+  COUNT(booking_id) AS total_bookings, COUNT(*) FILTER (WHERE NOT is_cancelled) AS confirmed_bookings,
+  COUNT(*) FILTER (WHERE is_cancelled) AS cancelled_bookings,
+  CAST(COALESCE(SUM(num_guests) FILTER (WHERE NOT is_cancelled), 0) AS BIGINT) AS total_guests,
   {rnd(_rate.format(c='NOT is_cancelled'))} AS occupancy_rate_pct,
   {rnd(_rate.format(c='is_cancelled'))} AS cancellation_rate_pct,
   {mean('booking_window_days')} AS avg_booking_window_days,
   {mean('cabin_price_usd')} AS avg_cabin_price_usd,
-  SUM(CASE WHEN NOT is_cancelled THEN total_revenue_usd ELSE 0 END) AS total_revenue_usd
-FROM bookings GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"""
+  COALESCE(SUM(total_revenue_usd) FILTER (WHERE NOT is_cancelled), 0) AS total_revenue_usd
+FROM bookings GROUP BY ALL"""
 
 CTE["m_ltv"] = """
-SELECT m.*, first_name, last_name, country, age_group, g.loyalty_tier,
-  CASE WHEN total_lifetime_value >= 5000000 THEN 'Platinum' WHEN total_lifetime_value >= 2000000 THEN 'Gold'
-       WHEN total_lifetime_value >= 500000 THEN 'Silver' ELSE 'Bronze' END AS ltv_segment
+SELECT m.*, total_cabin_revenue + total_onboard_spend AS total_lifetime_value,
+  first_name, last_name, country, age_group, g.loyalty_tier,
+  CASE WHEN total_cabin_revenue + total_onboard_spend >= 5000000 THEN 'Platinum'
+       WHEN total_cabin_revenue + total_onboard_spend >= 2000000 THEN 'Gold'
+       WHEN total_cabin_revenue + total_onboard_spend >= 500000 THEN 'Silver' ELSE 'Bronze' END AS ltv_segment
 FROM (
   SELECT b.guest_id, b.brand, COUNT(b.booking_id) AS total_bookings,
-    COUNT(CASE WHEN NOT is_cancelled THEN 1 END) AS completed_voyages,
-    COUNT(CASE WHEN is_cancelled THEN 1 END) AS cancelled_bookings,
+    COUNT(*) FILTER (WHERE NOT is_cancelled) AS completed_voyages,
+    COUNT(*) FILTER (WHERE is_cancelled) AS cancelled_bookings,
     MIN(booking_date) AS first_booking_date, MAX(booking_date) AS last_booking_date,
-    CAST(DATE_DIFF('day', MIN(booking_date), MAX(booking_date)) AS INTEGER) AS customer_tenure_days,
-    SUM(CASE WHEN NOT is_cancelled THEN total_revenue_usd ELSE 0 END) AS total_cabin_revenue,
-    CAST(SUM(CASE WHEN NOT is_cancelled THEN cabin_price_usd END) AS DOUBLE)
-      / NULLIF(COUNT(CASE WHEN NOT is_cancelled THEN cabin_price_usd END), 0) AS avg_cabin_price,
+    CAST(MAX(booking_date) - MIN(booking_date) AS INTEGER) AS customer_tenure_days,
+    COALESCE(SUM(total_revenue_usd) FILTER (WHERE NOT is_cancelled), 0) AS total_cabin_revenue,
+    CAST(SUM(cabin_price_usd) FILTER (WHERE NOT is_cancelled) AS DOUBLE)
+      / NULLIF(COUNT(cabin_price_usd) FILTER (WHERE NOT is_cancelled), 0) AS avg_cabin_price,
     CAST(SUM(booking_window_days) AS DOUBLE) / COUNT(booking_window_days) AS avg_booking_window_days,
-    SUM(COALESCE(s.total_onboard_spend_usd, 0)) AS total_onboard_spend,
-    SUM(CASE WHEN NOT is_cancelled THEN total_revenue_usd ELSE 0 END)
-      + SUM(COALESCE(s.total_onboard_spend_usd, 0)) AS total_lifetime_value
-  FROM bookings b LEFT JOIN spend s ON b.booking_id = s.booking_id GROUP BY 1, 2) m
+    COALESCE(SUM(s.total_onboard_spend_usd), 0) AS total_onboard_spend
+  FROM bookings b LEFT JOIN spend s ON b.booking_id = s.booking_id GROUP BY ALL) m
 LEFT JOIN guests g ON m.guest_id = g.guest_id"""
 
 CTE["m_pricing"] = f"""
