@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harborline.sources.durable import stored
+
 # Fixed bounds: no key list is longer than MAX_HOT, so broadcasting it is always safe.
 MAX_HOT = 1000
 TRACKED_KEYS = 20000
@@ -14,35 +16,56 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _key(on: list[str]) -> Column:
-    return F.xxhash64(*on)
+def _listed_keys(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """``(name, _splits)`` for the values of ``key`` larger than a fair shuffle partition.
 
-
-def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
-    """``(_key, _splits)`` for keys larger than a fair shuffle partition.
-
-    One scan of the key columns into a mergeable sketch: no shuffle of rows, at most
-    ``MAX_HOT`` result rows. A key that is listed without being hot does no harm.
-    ``_splits`` is twice the key's share of the shuffle partitions.
+    One scan of the key into a mergeable sketch: no shuffle of rows, at most ``MAX_HOT``
+    result rows. ``_splits`` is twice the key's share of the shuffle partitions. The list
+    is stored: the sketch's counts may vary from run to run, and both sides of a join have
+    to see the same splits, also after a lost executor.
     """
     partitions = _partitions(df.sparkSession)
     threshold = max(1.0 / partitions, 1.0 / MAX_HOT)
     share = F.col("hit.count") / F.col("n")
-    return (
-        df.select(_key(on).alias("_key"))
+    return stored(
+        df.select(key.alias(name))
+        .where(F.col(name).isNotNull())
         .agg(
-            F.expr(f"approx_top_k(_key, {MAX_HOT}, {TRACKED_KEYS})").alias("hits"),
+            F.expr(f"approx_top_k({name}, {MAX_HOT}, {TRACKED_KEYS})").alias("hits"),
             F.count("*").alias("n"),
         )
         .select(F.explode("hits").alias("hit"), "n")
-        .where(share >= threshold)
+        .where((share >= threshold) & (F.col("hit.count") > 1))
         .select(
-            F.col("hit.item").alias("_key"),
+            F.col("hit.item").alias(name),
             F.greatest(F.ceil(share * 2 * partitions), F.lit(2)).cast("int").alias("_splits"),
         )
     )
 
 
+def _key(on: list[str]) -> Column:
+    return F.xxhash64(*on)
+
+
+def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
+    """``(_key, _splits)`` by key hash. A key that is listed without being hot does no harm."""
+    return _listed_keys(df, _key(on), "_key")
+
+
+def _spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of a listed key get one of its splits, others split 0."""
+    split = F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(*by), F.col("_splits"))
+    )
+    return df.withColumn("_salt", split.cast("int")).drop("_splits")
+
+
+def _repeat(df: DataFrame) -> DataFrame:
+    """Rows of a listed key once per split, others once."""
+    splits = F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)
+    return df.withColumn("_salt", F.explode(splits)).drop("_splits")
+
+
 def salted_left_join(
     left: DataFrame,
     right: DataFrame,
@@ -57,19 +80,10 @@ def salted_left_join(
     ``left.join(right, on, "left")``. ``key_source`` may name a cheaper relation with the
     same key distribution to look for hot keys in.
     """
-    hot = hot_keys(left if key_source is None else key_source, on)
-    spread = left.withColumn("_key", _key(on)).join(F.broadcast(hot), "_key", "left")
-    spread = spread.withColumn(
-        "_salt",
-        F.when(F.col("_splits").isNull(), F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(*spread_by), F.col("_splits")))
-        .cast("int"),
-    ).drop("_key", "_splits")
-    repeated = right.withColumn("_key", _key(on)).join(F.broadcast(hot), "_key", "left")
-    repeated = repeated.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1))
-    ).drop("_key", "_splits")
-    return spread.join(repeated, [*on, "_salt"], "left").drop("_salt")
+    hot = F.broadcast(hot_keys(left if key_source is None else key_source, on))
+    spread = _spread(left.withColumn("_key", _key(on)).join(hot, "_key", "left"), spread_by)
+    repeated = _repeat(right.withColumn("_key", _key(on)).join(hot, "_key", "left"))
+    return spread.drop("_key").join(repeated.drop("_key"), [*on, "_salt"], "left").drop("_salt")
 
 
 def fanout_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
@@ -79,43 +93,12 @@ def fanout_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: lis
     is known to occur on the right, so its unmatched repeats are dropped and no left row
     is lost: the result equals ``left.join(right, key, "left")``.
     """
-    partitions = _partitions(left.sparkSession)
-    threshold = max(1.0 / partitions, 1.0 / MAX_HOT)
-    share = F.col("hit.count") / F.col("n")
-    hot = (
-        right.where(F.col(key).isNotNull())
-        .agg(
-            F.expr(f"approx_top_k({key}, {MAX_HOT}, {TRACKED_KEYS})").alias("hits"),
-            F.count("*").alias("n"),
-        )
-        .select(F.explode("hits").alias("hit"), "n")
-        .where((share >= threshold) & (F.col("hit.count") > 1))
-        .select(
-            F.col("hit.item").alias(key),
-            F.greatest(F.ceil(share * 2 * partitions), F.lit(2)).cast("int").alias("_splits"),
-        )
-    )
-    spread = (
-        right.join(F.broadcast(hot), key, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_splits").isNull(), F.lit(0))
-            .otherwise(F.pmod(F.xxhash64(*spread_by), F.col("_splits")))
-            .cast("int"),
-        )
-        .drop("_splits")
-        .withColumn("_matched", F.lit(True))
-    )
-    repeated = (
-        left.join(F.broadcast(hot), key, "left")
-        .withColumn("_hot", F.col("_splits").isNotNull())
-        .withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1))
-        )
-        .drop("_splits")
-    )
+    hot = F.broadcast(_listed_keys(right, F.col(key), key))
+    spread = _spread(right.join(hot, key, "left"), spread_by).withColumn("_matched", F.lit(True))
+    listed = left.join(hot, key, "left").withColumn("_hot", F.col("_splits").isNotNull())
     return (
-        repeated.join(spread, [key, "_salt"], "left")
+        _repeat(listed)
+        .join(spread, [key, "_salt"], "left")
         .where(~F.col("_hot") | F.col("_matched").isNotNull())
         .drop("_salt", "_hot", "_matched")
     )

@@ -3,36 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from harborline.schemas import BOOKINGS, GUESTS, ONBOARD_SPEND, PRICING_LOG
-
-
-def _typed(raw: DataFrame, contract: T.StructType) -> DataFrame:
-    """Contract columns in contract order, cast where the raw type differs."""
-    present = {name.lower(): dtype for name, dtype in raw.dtypes}
-    return raw.select(
-        *[
-            F.col(f.name)
-            if present[f.name] == f.dataType.simpleString()
-            else F.col(f.name).cast(f.dataType).alias(f.name)
-            for f in contract.fields
-        ]
-    )
+from harborline.schemas import BOOKINGS, GUESTS, ONBOARD_SPEND, PRICING_LOG, to_contract
 
 
 def stage_bookings(raw: DataFrame) -> DataFrame:
-    return _typed(raw, BOOKINGS)
+    return to_contract(raw, BOOKINGS)
 
 
 def stage_guests(raw: DataFrame) -> DataFrame:
-    return _typed(raw, GUESTS)
+    return to_contract(raw, GUESTS)
 
 
 def stage_onboard_spend(raw: DataFrame) -> DataFrame:
-    return _typed(raw, ONBOARD_SPEND)
+    return to_contract(raw, ONBOARD_SPEND)
 
 
 def stage_pricing_log(raw: DataFrame) -> DataFrame:
-    return _typed(raw, PRICING_LOG)
+    return to_contract(raw, PRICING_LOG)

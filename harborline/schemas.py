@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
@@ -89,3 +91,18 @@ RAW_TABLES = {
     "stg_onboard_spend": ONBOARD_SPEND,
     "stg_pricing_log": PRICING_LOG,
 }
+
+
+def to_contract(df: DataFrame, contract: T.StructType) -> DataFrame:
+    """Contract columns in contract order, found by name in any case, cast where the type
+    differs. A missing column is an error, an extra one is left out."""
+    present = {name.lower(): (name, kind) for name, kind in df.dtypes}
+    missing = [f.name for f in contract.fields if f.name not in present]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    columns = []
+    for f in contract.fields:
+        name, kind = present[f.name]
+        column = F.col(f"`{name}`")
+        columns.append((column if kind == f.dataType.simpleString() else column.cast(f.dataType)).alias(f.name))
+    return df.select(*columns)

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from harborline.schemas import RAW_TABLES
+from harborline.schemas import RAW_TABLES, to_contract
 
 
 def read_csv(spark: SparkSession, path: str, contract: T.StructType) -> DataFrame:
-    """CSV with a header. Columns are matched by position in the contract and typed; an
-    empty cell is NULL, the text ``None`` stays text."""
-    return (
-        spark.read.schema(contract)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    """CSV with a header, its columns found by name in any order and case, then cast.
+
+    Only the header is read ahead. An empty cell is NULL, the text ``None`` stays text, a
+    malformed cell is an error.
+    """
+    return to_contract(spark.read.option("header", True).csv(path), contract)
 
 
 def load_tables(
@@ -27,7 +24,7 @@ def load_tables(
     contracts = RAW_TABLES if contracts is None else contracts
     loaded = {}
     for name, path in paths.items():
-        df = lower_names(read_csv(spark, path, contracts[name.lower()]))
+        df = read_csv(spark, path, contracts[name.lower()])
         df.createOrReplaceTempView(name)
         loaded[name] = df
     return loaded

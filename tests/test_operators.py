@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from harborline.operators import lookup, metrics, quality, quantile, ranking, retrieval, skew, split
 from harborline.operators.profile import guest_profile
+from harborline.sources import durable
 
 few = settings(
     max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
@@ -33,6 +34,13 @@ def test_hot_keys_are_found_and_bounded(spark):
     assert len(hot) == 1 and hot[0]._splits == 4  # half of 4 partitions, twice over
 
 
+def test_stored_tables_lie_in_the_shared_folder(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert durable.shared_folder(spark) == folder
+    (file,) = {f.rsplit("/", 2)[0] for f in durable.stored(spark.range(3)).inputFiles()}
+    assert file.removeprefix("file:").replace("///", "/") == folder
+
+
 def test_sequential_ids_follow_the_order(spark):
     rng = random.Random(1)
     rows = [

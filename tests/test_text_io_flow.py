@@ -74,6 +74,21 @@ def test_csv_round_trip_keeps_the_tier_named_none(spark, make_bookings, tmp_path
     assert tables.upper_names(loaded).columns[0] == "BOOKING_ID"
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "spend.csv"
+    path.write_text(
+        "DINING,SPA,EXCURSIONS,BEVERAGE,CASINO,RETAIL,BOOKING_ID,GUEST_ID,BRAND,SAIL_DATE,"
+        "TOTAL_ONBOARD_SPEND_USD,_FIVETRAN_SYNCED\n"
+        "1.5,2,0,0.0,3.25,,BK0000001,G0000001,Regent,2024-07-05,6.75,2024-01-02T03:04:05.678901\n"
+    )
+    row = tables.read_csv(spark, str(path), RAW_TABLES["stg_onboard_spend"]).first()
+    assert (row.booking_id, row.dining, row.retail) == ("BK0000001", Decimal("1.50"), None)
+    assert row.sail_date == dt.date(2024, 7, 5)
+    assert row._fivetran_synced == dt.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    with pytest.raises(ValueError):
+        tables.read_csv(spark, str(path), RAW_TABLES["stg_guests"])
+
+
 def test_tables(spark, make_bookings, tmp_path):
     bookings = make_bookings({}, {"booking_id": "B"}, {"booking_id": "C"})
     name = sinks.save_table(bookings, "t_bookings", schema=" stage ")
