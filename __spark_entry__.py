@@ -27,6 +27,14 @@ from harborline.sources.durable import stored
 from harborline.sources.star import STAR_CONFIG, StarSource
 from oracle_queries import ORACLE, QUESTIONS, RUN_AT
 
+try:  # the training-data operators and their pipeline are an optional part
+    import corpus_pipeline
+    from harborline.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "harborline.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 EMBEDDING_SIZE = 64
 SAMPLE_TREES = 5  # boosting rounds of the registered model queries
 
@@ -561,8 +569,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_REGISTRY)
+    if llm_queries is None:
+        return dict(_REGISTRY)
+    return {**_REGISTRY, **llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    if llm_queries is None:
+        return dict(ORACLE)
+    piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**ORACLE, **llm_queries.ORACLE, **piped}
