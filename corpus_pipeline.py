@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harborline.llm import hostrules, neardup
+from harborline.llm import hostrules, mixing, neardup, packing, pii
 from harborline.sources.durable import stored
 
 
@@ -18,9 +19,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return neardup.keep_one_of_each(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked; ``n_chars`` follows the new text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as their source's target weight asks for, or not at all."""
+    return mixing.mixed_rows(docs)
+
+
+def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids and their places in training windows."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality rules", quality),
     ("near duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("mixing", mix),
+    ("packing", packing_plan),
 ]
 
 ORACLE_SQL = None  # MinHash links and token ids are beyond SQL; tests compare with brute force

@@ -178,3 +178,25 @@ def mix(
     return copies_of(sized, mix_plan(sized, weights)).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")
     )
+
+
+def mixed_rows(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The mix itself: every document as often as ``mix`` takes it, with all its columns.
+
+    Texts are neither shuffled nor sorted: sizes are summed up first, then every row looks
+    up its source's threshold.
+    """
+    plan = mix_plan(stored(sized_documents(docs, doc_id, text, source)), weights)
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col(source).alias("source"),
+        stable_hash48(F.col(doc_id)).alias("hash"),
+    )
+    taken = copies_of(rows, plan).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.components import components
+from harborline.llm.wordhash import word_hashes
 from harborline.sources.durable import stored
 
 SHINGLE = 5
@@ -43,27 +43,13 @@ def _permute32(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of the texts, and the texts' offsets into them."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    flat = split.flatten()
-    bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-    real = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
-    coded = flat.filter(pa.array(real)).dictionary_encode()
-    if not len(coded):
-        return np.zeros(0, np.uint64), bounds
-    hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
-    return hashes[coded.indices.to_numpy()], bounds
-
-
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts in one array, and the texts' offsets.
 
     Words are runs of characters other than ASCII white space, A-Z in lower case. A text of
     fewer than five words is one shingle, a text without words none.
     """
-    hashes, bounds = _word_hashes(texts)
+    hashes, bounds = word_hashes(texts)
     factor = np.uint64(0x9E3779B97F4A7C15)
     rolled = np.zeros(max(len(hashes) - SHINGLE + 1, 0), np.uint64)
     for i in range(SHINGLE):
@@ -74,10 +60,10 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if b - a >= SHINGLE:
             sets.append(np.unique(rolled[a : b - SHINGLE + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for h in hashes[a:b]:
-                whole = whole * factor + h
-            sets.append(_mixed64(np.array([whole], np.uint64)))
+            whole = np.full(1, b - a, np.uint64)
+            for i in range(a, b):
+                whole = whole * factor + hashes[i]
+            sets.append(_mixed64(whole))
         else:
             sets.append(np.zeros(0, np.uint64))
     sizes = np.array([len(s) for s in sets], np.int64)

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborline.llm import hostrules, mixing, neardup
+from harborline.llm import (
+    binary,
+    chat,
+    fingerprints,
+    hostrules,
+    lm,
+    mixing,
+    neardup,
+    packing,
+    pii,
+    sharding,
+)
 from harborline.llm.oracles import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -20,19 +31,54 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_documents(spark, folder))
 
 
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 def op3_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return hostrules.judge(_documents(spark, folder))
 
 
+def op4_masked_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(_documents(spark, folder))
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, folder))
 
 
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal(_documents(spark, folder))
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_documents(spark, folder))
+
+
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(_documents(spark, folder))
+
+
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return binary.token_table(_documents(spark, folder))
+
+
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(_documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing,
+        op2_chat_format,
         op3_host_rules,
+        op4_masked_lm,
         op5_near_duplicates,
+        op6_personal_data,
+        op7_packing,
+        op8_fingerprints,
+        op9_token_files,
+        op10_sharding,
     )
 }
