@@ -256,6 +256,12 @@ def mask(text: Column, spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), start, add, tail)
 
 
+def _tagged(kind: str, spans: Column) -> Column:
+    return F.transform(
+        spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"))
+    )
+
+
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with all personal data masked, and all their columns.
 
@@ -267,10 +273,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     extra = discovered(_with_base(docs, doc_id, text, []))
     based = _with_base(held, doc_id, text, [F.struct("*").alias("row")])
     joined = based.join(extra, _same_text(based, extra), "left")
-    tagged = [
-        F.transform(spans, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
-        for k, spans in [*((k, F.col(k)) for k in KINDS), (FOUND, F.coalesce("found", F.array().cast(f"array<{_SPAN}>")))]
-    ]
+    found = F.coalesce("found", F.array().cast(f"array<{_SPAN}>"))
+    tagged = [_tagged(k, F.col(k)) for k in KINDS] + [_tagged(FOUND, found)]
     masked = mask(F.col("whole"), F.concat(*tagged))
     columns = [masked.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return plain.unionByName(joined.select(*columns))
