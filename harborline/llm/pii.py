@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.llm.text import BREAK, WORD_CHARACTER, let
@@ -15,7 +15,7 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-DIGIT_WORD = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+DIGIT_WORD = rf"(?<!{WORD_CHARACTER})[^\x20\x09-\x0D0-9]*+[0-9]{WORD_CHARACTER}*+"
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"  # the kind of spans that the induced patterns add
@@ -23,29 +23,57 @@ ROUNDS = 3
 SUPPORT = 3  # distinct seed entities a pattern has to precede
 CONFIDENCE = 0.8
 
-_SPAN = "struct<start:int,end:int,value:string>"
+CONTEXT = 200  # code points before an entity that may hold its context word
+RUN = 128  # matches whose places are added up in one fold
+
+_SPAN = "struct<start:int,end:int,value:string,before:string>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """``(start, end, value)`` of all matches, in code points, end exclusive.
+    """``(start, end, value, before)`` of all matches, in code points, end exclusive.
 
     The text between the matches gives the positions: gap, match, gap, match and so on.
+    ``before`` is the end of the gap. Lengths are added up by runs of matches and then
+    inside each run, so the work stays in proportion for a text full of matches.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(
-        F.split(text, pattern, -1), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m"))
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+        F.split(text, pattern, -1),
+        matches,
+        lambda gap, m: F.struct(
+            (F.length(gap)).alias("gap"), F.length(m).alias("n"), m.alias("m"),
+            F.when(m.isNotNull(), F.substring(gap, -CONTEXT, CONTEXT)).alias("before"),
+        ),
+    )
+    none = F.array().cast(f"array<{_SPAN}>")
 
-    def add(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        end = begin + F.length(p["m"])
-        span = F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def placed(run: Column, offset: Column) -> Column:
+        def add(acc: Column, p: Column) -> Column:
+            begin = acc["at"] + p["gap"]
+            span = F.struct(
+                begin.alias("start"), (begin + p["n"]).alias("end"), p["m"].alias("value"), p["before"]
+            )
+            return F.struct((begin + p["n"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+        return F.aggregate(run, F.struct(offset.alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
 
-    # the last gap has no match; it is dropped by the null value
+    def by_runs(real: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(real), F.lit(RUN))
+        runs = F.transform(starts, lambda i: F.slice(real, i, RUN))
+        sums = F.transform(
+            runs, lambda run: F.aggregate(run, F.lit(0), lambda acc, p: acc + p["gap"] + p["n"])
+        )
+        offsets = F.aggregate(
+            sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+        )
+        return let(
+            F.struct(runs.alias("runs"), offsets.alias("offsets")),
+            lambda x: F.flatten(F.transform(x["runs"], lambda run, i: placed(run, F.get(x["offsets"], i)))),
+        )
+
+    # the last gap has no match; the null value drops it
     real = F.filter(pairs, lambda p: p["m"].isNotNull())
-    return F.aggregate(real, start, add, lambda acc: acc["spans"])
+    return let(real, lambda r: F.when(F.size(r) == 0, none).otherwise(by_runs(r)))
 
 
 def _digits(value: Column) -> Column:
@@ -108,38 +136,31 @@ def _with_base(docs: DataFrame, doc_id: str, text: str, carried: list[Column]) -
     return read.select("*", *[spans[k].alias(k) for k in KINDS])
 
 
-def _context(gap_end: Column) -> Column:
-    """The last word of the text before a match, in lower case."""
-    return F.lower(F.regexp_extract(gap_end, rf"({WORD_CHARACTER}+){BREAK}$", 1))
-
-
 def contexts(based: DataFrame) -> DataFrame:
     """Every word with a digit and every base entity, with the word before it.
 
     One row per occurrence: ``key, digest, pattern, value, start, end, seed``. Only texts
-    with a digit or an at sign are looked at; a base entity hides the words it covers.
+    with a digit or an at sign are looked at; a base entity hides the words it touches.
     """
     text = F.col("whole")
     base = F.concat(*[F.col(k) for k in KINDS])
-    seeds = F.transform(
-        base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(True).alias("seed"))
-    )
-    tokens = F.transform(
-        F.filter(
-            located(text, DIGIT_WORD),
-            lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
-        ),
-        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), F.lit(False).alias("seed")),
-    )
-    rows = based.where(text.rlike("[0-9@]")).select(
-        "key", "digest", text.alias("whole"), F.explode(F.concat(seeds, tokens)).alias("o")
+    row = lambda s, seed: F.struct(s["start"], s["end"], s["value"], s["before"], F.lit(seed).alias("seed"))
+    seeds = F.transform(base, lambda s: row(s, True))
+    tokens = F.transform(located(text, DIGIT_WORD), lambda s: row(s, False))
+    rows = based.where(text.rlike("[0-9@]")).select("key", "digest", F.explode(F.concat(seeds, tokens)).alias("o"))
+    last_word = F.lower(F.regexp_extract("o.before", rf"({WORD_CHARACTER}+){BREAK}$", 1))
+    rows = rows.select("key", "digest", last_word.alias("pattern"), "o.value", "o.start", "o.end", "o.seed")
+    of_text = Window.partitionBy("key", "digest").orderBy("start", F.desc("seed"))
+    earlier = of_text.rowsBetween(Window.unboundedPreceding, -1)
+    later = of_text.rowsBetween(1, Window.unboundedFollowing)
+    seen_end = F.max(F.when(F.col("seed"), F.col("end"))).over(earlier)
+    next_start = F.min(F.when(F.col("seed"), F.col("start"))).over(later)
+    hidden = (seen_end > F.col("start")) | (next_start < F.col("end"))
+    return (
+        rows.withColumn("hidden", F.coalesce(hidden, F.lit(False)))
+        .where("pattern <> '' AND (seed OR NOT hidden)")
+        .drop("hidden")
     )
-    # 200 code points before the entity hold its context word; a longer word is no pattern
-    begin = F.greatest(F.col("o.start") - 200, F.lit(0))
-    before = F.substring("whole", begin + 1, F.col("o.start") - begin)
-    return rows.select(
-        "key", "digest", _context(before).alias("pattern"), "o.value", "o.start", "o.end", "o.seed"
-    ).where("pattern <> ''")
 
 
 def pattern_scores(based: DataFrame, found: DataFrame) -> DataFrame:
@@ -192,7 +213,7 @@ def discovered(based: DataFrame) -> DataFrame:
     )
     spans = found.where("NOT seed").join(trusted, "pattern", "left_semi")
     return stored(
-        spans.select("key", "digest", F.struct("start", "end", "value").alias("span"))
+        spans.select("key", "digest", F.struct("start", "end", "value", F.lit("").alias("before")).alias("span"))
         .distinct()
         .groupBy("key", "digest")
         .agg(F.sort_array(F.collect_list("span")).alias("found"))
