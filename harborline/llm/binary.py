@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.llm.tokens import default_vocabulary, encoder, text_slices
+from harborline.llm.tokens import default_vocabulary, encoder
+from harborline.llm.wordhash import text_slices
 from harborline.sources.durable import shared_folder, stored
 
 BLOCK = 8192  # ids; a multiple of 8, so blocks start at a byte

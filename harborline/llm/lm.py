@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.tokens import text_slices
-from harborline.llm.wordhash import word_hashes
+from harborline.llm.wordhash import text_slices, word_hashes
 from harborline.sources.durable import stored
 
 VOCABULARY = 8192  # word ids: hashes of lower-case words; a fixed size for any corpus

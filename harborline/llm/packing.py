@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.ranks import buckets_for, numbered
-from harborline.llm.tokens import default_vocabulary, encoder, text_slices
+from harborline.llm.tokens import default_vocabulary, encoder
+from harborline.llm.wordhash import text_slices
 from harborline.sources.durable import stored
 
 WINDOW = 2048

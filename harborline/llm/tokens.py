@@ -135,13 +135,3 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One per Python worker and vocabulary, kept from task to task."""
     return Encoder(path)
-
-
-def text_slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20):
-    """The batch in slices of a bounded number of text bytes, at least one row each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // most_bytes
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)

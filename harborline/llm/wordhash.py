@@ -1,4 +1,4 @@
-"""Hashes of all words of a batch of texts, in vectorised steps."""
+"""Batches of texts: slices of bounded size, and hashes of all words in vectorised steps."""
 
 from __future__ import annotations
 
@@ -20,3 +20,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), bounds
     hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
     return hashes[coded.indices.to_numpy()], bounds
+
+
+def text_slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20):
+    """The batch in slices of a bounded number of text bytes, at least one row each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
