@@ -237,15 +237,13 @@ def action_status(star, wh):
 @_query
 def anomaly_context(star, wh):
     asked = stored(enrichment.anomaly_queries(_found(wh)))
-    return enrichment.context_for(asked, wh.document_index, at_most=STAR_CONFIG.scan_limit)
+    return enrichment.context_for(asked, wh.document_index)
 
 
 @_query
 def prompt_table(star, wh):
     found = _found(wh)
-    return enrichment.anomaly_prompts(
-        found, wh.document_index, at_most=STAR_CONFIG.scan_limit
-    )
+    return enrichment.anomaly_prompts(found, wh.document_index)
 
 
 def _questions(star: StarSource) -> DataFrame:
@@ -254,7 +252,7 @@ def _questions(star: StarSource) -> DataFrame:
 
 @_query
 def question_prompts(star, wh):
-    return enrichment.question_prompts(_questions(star), wh.document_index, at_most=len(QUESTIONS))
+    return enrichment.question_prompts(_questions(star), wh.document_index)
 
 
 @_query
@@ -547,16 +545,31 @@ def lsh_topk(star, wh):
     return retrieval.lsh_topk(centroids, corpus)
 
 
+@_query
+def lsh_quality(star, wh):
+    """Share of the exact top-k that hashing finds, and of all pairs that it looks at."""
+    centroids, corpus = _vectors(star)
+    exact = retrieval.cosine_topk(centroids, corpus).select("query_id", "doc_id")
+    index = retrieval.build_sign_index(corpus)
+    found = stored(retrieval.lsh_candidates(centroids, index))
+    hits = stored(exact).join(found, ["query_id", "doc_id"]).count()
+    pairs = centroids.count() * corpus.count()
+    return star.spark.range(1).select(
+        F.lit(hits >= 0.9 * exact.count()).alias("recall_reached"),
+        F.lit(found.count() <= 0.8 * pairs).alias("fewer_than_all_pairs"),
+    )
+
+
 @_query
 def tfidf_topk(star, wh):
     index = retrieval.build_word_index(wh.document_index.select("doc_id", "text"))
-    return retrieval.tfidf_topk(_questions(star), index, at_most=len(QUESTIONS))
+    return retrieval.tfidf_topk(_questions(star), index)
 
 
 @_query
 def tfidf_documents(star, wh):
     index = retrieval.build_word_index(star.table("documents").select("doc_id", "text"))
-    return retrieval.tfidf_topk(_questions(star), index, at_most=len(QUESTIONS))
+    return retrieval.tfidf_topk(_questions(star), index)
 
 
 # --- driver contract -----------------------------------------------------------------

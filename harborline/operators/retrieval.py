@@ -12,14 +12,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harborline.functions.text import word_bucket, words
+from harborline.functions.text import counted_words
 from harborline.operators.ranking import top_k
 from harborline.sources.durable import stored
 
@@ -27,14 +24,9 @@ QUERY_BLOCK = 1024
 DEFAULT_K = 6
 
 
-def query_blocks(queries: DataFrame, key: str, at_most: int | None = None) -> list[DataFrame]:
-    """The queries in blocks small enough to broadcast.
-
-    ``at_most`` states a bound the caller has proven (a LIMIT, a list); otherwise the
-    queries are stored and counted, and split by key hash where they are too many.
-    """
-    if at_most is not None and at_most <= QUERY_BLOCK:
-        return [queries]
+def query_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
+    """The queries in blocks small enough to broadcast: stored, counted, and split by key
+    hash where they are too many."""
     queries = stored(queries)
     n = queries.count()
     if n <= QUERY_BLOCK:
@@ -43,174 +35,245 @@ def query_blocks(queries: DataFrame, key: str, at_most: int | None = None) -> li
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
 
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    order = [F.col("similarity").desc(), F.col("doc_id").asc()]
-    return top_k(scored, ["query_id"], order, k).select("query_id", "rank", "doc_id", "similarity")
+class _Best:
+    """The k best documents of every query seen by one task, emitted once at its end."""
 
+    def __init__(self, query_ids: list, k: int):
+        self.query_ids, self.k = query_ids, k
+        self.rows: list[list[tuple]] = [[] for _ in query_ids]
 
-def _score_block(corpus: DataFrame, block: DataFrame, k: int) -> DataFrame:
-    """Best k of every task batch per query: similarities are never all emitted."""
-    rows = block.where(F.col("embedding").isNotNull()).collect()
-    query_ids = [r["query_id"] for r in rows]
-    matrix = np.array([r["embedding"] for r in rows], dtype="float64")
-    schema = T.StructType(
+    def add(self, j: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Offers the scores that are not NaN; ties go to the smaller id."""
+        kept = np.flatnonzero(~np.isnan(scores))
+        if len(kept) > self.k:
+            floor = np.partition(scores[kept], len(kept) - self.k)[len(kept) - self.k]
+            kept = kept[scores[kept] >= floor]
+        found = self.rows[j] + [(-scores[i], ids[i]) for i in kept]
+        self.rows[j] = sorted(found)[: self.k]
+
+    def frame(self) -> pd.DataFrame:
+        flat = [(q, d, -s) for q, rows in zip(self.query_ids, self.rows) for s, d in rows]
+        return pd.DataFrame(flat, columns=["query_id", "doc_id", "similarity"])
+
+
+def _result_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
+    return T.StructType(
         [
-            T.StructField("query_id", block.schema["query_id"].dataType),
+            T.StructField("query_id", queries.schema["query_id"].dataType),
             T.StructField("doc_id", corpus.schema["doc_id"].dataType),
             T.StructField("similarity", T.DoubleType()),
         ]
     )
+
+
+def _six_decimals(values: np.ndarray) -> np.ndarray:
+    return np.floor(values * 1e6 + 0.5) / 1e6
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    order = [F.col("similarity").desc(), F.col("doc_id").asc()]
+    return top_k(scored, ["query_id"], order, k).select("query_id", "rank", "doc_id", "similarity")
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _score_block(corpus: DataFrame, block: DataFrame, k: int) -> DataFrame:
+    """Best k of every task per query: similarities are never all emitted."""
+    rows = block.where(F.col("embedding").isNotNull()).collect()
+    schema = _result_schema(block, corpus)
     if not rows:
         return corpus.sparkSession.createDataFrame([], schema)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    query_ids = [r["query_id"] for r in rows]
+    unit = _unit(np.array([r["embedding"] for r in rows], dtype="float64"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Best(query_ids, k)
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
-            vectors = np.stack(batch["embedding"].to_numpy()).astype("float64")
-            with np.errstate(invalid="ignore", divide="ignore"):
-                cosine = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ unit.T
-            cosine = np.floor(cosine * 1e6 + 0.5) / 1e6
-            for j, query_id in enumerate(query_ids):
-                column = cosine[:, j]
-                kept = np.flatnonzero(~np.isnan(column))
-                if len(kept) > k:
-                    floor = np.partition(column[kept], len(kept) - k)[len(kept) - k]
-                    kept = kept[column[kept] >= floor]
-                best = sorted(kept, key=lambda i: (-column[i], ids[i]))[:k]
-                if best:
-                    yield pd.DataFrame(
-                        {"query_id": [query_id] * len(best), "doc_id": ids[best], "similarity": column[best]}
-                    )
+            if len(batch):
+                ids = batch["doc_id"].to_numpy()
+                vectors = np.stack(batch["embedding"].to_numpy()).astype("float64")
+                cosine = _six_decimals(_unit(vectors) @ unit.T)
+                for j in range(len(query_ids)):
+                    best.add(j, ids, cosine[:, j])
+        yield best.frame()
 
     source = corpus.where(F.col("embedding").isNotNull()).select("doc_id", "embedding")
     return source.mapInPandas(score, schema)
 
 
-def cosine_topk(
-    queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, at_most: int | None = None
-) -> DataFrame:
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Exact top-k by cosine, six decimals, ties by id.
 
     ``queries(query_id, embedding)``, ``corpus(doc_id, embedding)`` ->
     ``(query_id, rank, doc_id, similarity)``. A zero vector has no similarity and never
     appears. Each block of queries costs one pass over the corpus.
     """
-    blocks = query_blocks(queries, "query_id", at_most)
+    blocks = query_blocks(queries, "query_id")
     return _ranked(reduce(DataFrame.unionByName, [_score_block(corpus, b, k) for b in blocks]), k)
 
 
-def word_counts(texts: DataFrame, key: str) -> DataFrame:
-    """``(key, bucket, tf)``. Texts are shuffled once by key; the exploded words and the
-    group by key and bucket then stay in place.
-
-    The partition number is explicit because the work per byte is high: coalescing by
-    size would put it all on a few cores.
-    """
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        texts.select(key, "text")
-        .repartition(partitions, F.col(key))
-        .select(key, F.explode(words(F.col("text"))).alias("word"))
-        .groupBy(key, "word")
-        .agg(F.count("*").alias("tf"))
-        .select(key, word_bucket(F.col("word")).alias("bucket"), "tf")
-        .groupBy(key, "bucket")
-        .agg(F.sum("tf").alias("tf"))
-    )
-
-
 @dataclass(frozen=True)
 class WordIndex:
     """TF-IDF index of a corpus: built once, asked many times."""
 
-    postings: DataFrame  # (doc_id, bucket, weight), weights of a document have norm 1
-    weights: DataFrame  # (bucket, idf), at most WORD_BUCKETS rows
-    documents: int
+    documents: DataFrame  # (doc_id, counted, norm), one row per document with a word
+    weights: DataFrame  # (word, idf), one row per distinct word
+    n: int
 
 
 def build_word_index(corpus: DataFrame) -> WordIndex:
-    """Index of ``corpus(doc_id, text)`` over whole texts.
+    """Index of ``corpus(doc_id, text)`` over whole texts; every word is itself the key.
 
-    Words fall into a fixed number of hash buckets, so the weight table can always be
-    broadcast and no shuffle is keyed by word: a word found in every document never
-    gathers them in one task.
+    Words are counted inside their text's row, so texts are never shuffled. Document counts
+    of words are folded inside the tasks. Only the norms need a join of words with their
+    weights; a word of every document is a skewed key there, which AQE splits.
     """
-    counts = stored(word_counts(corpus, "doc_id"))
-    documents = corpus.count()
-    idf = F.log(F.lit(documents + 1) / (F.count("*") + 1)) + 1
-    weights = stored(counts.groupBy("bucket").agg(idf.alias("idf")))
-    weighted = counts.join(F.broadcast(weights), "bucket").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    postings = weighted.select("doc_id", "bucket", (F.col("w") / norm).alias("weight"))
-    return WordIndex(stored(postings.sortWithinPartitions("bucket")), weights, documents)
-
-
-def _tfidf_block(index: WordIndex, queries: DataFrame) -> DataFrame:
-    unseen = F.log(F.lit(index.documents + 1).cast("double")) + 1
-    asked = (
-        word_counts(queries, "query_id")
-        .join(index.weights, "bucket", "left")
-        .withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
+    counted = stored(
+        corpus.select("doc_id", counted_words(F.col("text")).alias("counted")).where(F.size("counted") > 0)
+    )
+    n = corpus.count()
+    postings = counted.select("doc_id", F.explode("counted").alias("c")).select("doc_id", "c.word", "c.tf")
+    idf = F.log(F.lit(n + 1) / (F.count("*") + 1)) + 1
+    weights = stored(postings.groupBy("word").agg(idf.alias("idf")))
+    squares = postings.join(weights, "word").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = squares.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return WordIndex(stored(counted.join(norms, "doc_id")), weights, n)
+
+
+def _asked_weights(index: WordIndex, queries: DataFrame) -> DataFrame:
+    """``(query_id, word, weight, idf)`` of a block of queries, norm 1 per query."""
+    unseen = F.log(F.lit(index.n + 1).cast("double")) + 1
+    words = stored(
+        queries.select("query_id", F.explode(counted_words(F.col("text"))).alias("c")).select(
+            "query_id", "c.word", "c.tf"
+        )
+    )
+    weighed = words.join(index.weights, "word", "left").withColumn(
+        "w", F.col("tf") * F.coalesce("idf", unseen)
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
-    # stored, so that the planner broadcasts it by its real size and joins by shuffle beyond
-    wanted = stored(asked.select("query_id", "bucket", (F.col("w") / norm).alias("qw")))
-    return (
-        index.postings.join(wanted, "bucket")
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("similarity"))
+    return weighed.select(
+        "query_id", "word", (F.col("w") / norm).alias("weight"), "idf"
     )
 
 
-def tfidf_topk(
-    queries: DataFrame, index: WordIndex, k: int = DEFAULT_K, at_most: int | None = None
-) -> DataFrame:
+def _tfidf_block(index: WordIndex, queries: DataFrame, k: int) -> DataFrame:
+    """Best k of every task per query. The words of a block of questions go to the tasks,
+    where documents are scored row by row; no row per query and document is shuffled."""
+    asked = _asked_weights(index, queries).where("idf IS NOT NULL").toPandas()
+    schema = _result_schema(queries, index.documents)
+    if asked.empty:
+        return queries.sparkSession.createDataFrame([], schema)
+    query_ids = sorted(asked["query_id"].unique().tolist())
+    row = {q: i for i, q in enumerate(query_ids)}
+    column = {w: i for i, w in enumerate(sorted(asked["word"].unique()))}
+    weights = np.zeros((len(column), len(query_ids)))
+    for q, w, weight, idf in asked[["query_id", "word", "weight", "idf"]].itertuples(index=False):
+        weights[column[w], row[q]] = weight * idf
+    wanted = F.filter("counted", lambda c: c["word"].isin(list(column)))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Best(query_ids, k)
+        for batch in batches:
+            if batch.empty:
+                continue
+            counts = np.zeros((len(batch), len(column)))
+            for i, (found, tfs) in enumerate(zip(batch["words"], batch["tfs"])):
+                for w, tf in zip(found, tfs):
+                    counts[i, column[w]] = tf
+            shared = counts @ weights / batch["norm"].to_numpy()[:, None]
+            ids = batch["doc_id"].to_numpy()
+            for j in range(len(query_ids)):
+                scores = np.where(shared[:, j] > 0, _six_decimals(shared[:, j]), np.nan)
+                best.add(j, ids, scores)
+        yield best.frame()
+
+    found = index.documents.select("doc_id", "norm", wanted.alias("found")).where(F.size("found") > 0)
+    slim = found.select("doc_id", "norm", F.col("found.word").alias("words"), F.col("found.tf").alias("tfs"))
+    return slim.mapInPandas(score, schema)
+
+
+def tfidf_topk(queries: DataFrame, index: WordIndex, k: int = DEFAULT_K) -> DataFrame:
     """Exact top-k by cosine of TF-IDF word weights, six decimals, ties by id.
 
-    ``queries(query_id, text)`` -> ``(query_id, rank, doc_id, similarity)``.
+    ``queries(query_id, text)`` -> ``(query_id, rank, doc_id, similarity)``. Documents that
+    share no word with a query do not appear.
+    """
+    blocks = query_blocks(queries, "query_id")
+    return _ranked(reduce(DataFrame.unionByName, [_tfidf_block(index, b, k) for b in blocks]), k)
+
+
+@dataclass(frozen=True)
+class SignIndex:
+    """Random hyperplanes and the corpus' keys: the signs of one table's planes as one number."""
+
+    keys: DataFrame  # (table, key, doc_id)
+    vectors: DataFrame  # (doc_id, embedding)
+    planes: np.ndarray  # tables x bits x dimensions
+
+
+def _keyed(frame: DataFrame, name: str, planes: np.ndarray) -> DataFrame:
+    powers = 1 << np.arange(planes.shape[1], dtype=np.int64)
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                vectors = np.stack(batch["embedding"].to_numpy()).astype("float64")
+                keys = (np.einsum("tbd,nd->ntb", planes, vectors) > 0) @ powers
+                yield pd.DataFrame({name: batch[name], "keys": list(keys)})
+
+    kind = frame.schema[name].dataType.simpleString()
+    signed = frame.select(name, "embedding").mapInPandas(sign, f"{name} {kind}, keys array<long>")
+    return signed.select(name, F.posexplode("keys").alias("table", "key"))
+
+
+def build_sign_index(
+    corpus: DataFrame, in_bucket: int = 64, likely: float = 0.6, missed: float = 0.02, seed: int = 42
+) -> SignIndex:
+    """Index of ``corpus(doc_id, embedding)``.
+
+    A table has as many planes as leave about ``in_bucket`` vectors to a key, so candidates
+    are a falling share of a growing corpus. There are as many tables as it takes to miss a
+    vector of cosine ``likely`` with a chance of ``missed``, at most 256.
     """
-    blocks = query_blocks(queries, "query_id", at_most)
-    return _ranked(reduce(DataFrame.unionByName, [_tfidf_block(index, b) for b in blocks]), k)
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    vectors = stored(corpus.where(length > 0).select("doc_id", "embedding"))
+    n = max(vectors.count(), 1)
+    first = vectors.select(F.size("embedding")).first()
+    bits = max(1, int(np.ceil(np.log2(max(n / in_bucket, 2)))))
+    same = (1 - np.arccos(likely) / np.pi) ** bits
+    tables = min(256, int(np.ceil(np.log(missed) / np.log1p(-same))))
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, first[0] if first else 1))
+    return SignIndex(stored(_keyed(vectors, "doc_id", planes)), vectors, planes)
+
+
+def lsh_candidates(queries: DataFrame, index: SignIndex) -> DataFrame:
+    """``(query_id, doc_id)`` that share a key in some table; queries are the small side."""
+    asked = stored(_keyed(queries.where("embedding IS NOT NULL"), "query_id", index.planes))
+    return index.keys.join(asked, ["table", "key"]).select("query_id", "doc_id").distinct()
 
 
 def lsh_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int = DEFAULT_K,
-    min_similarity: float = 0.2,
-    bucket_length: float = 0.5,
-    tables: int = 8,
-    seed: int = 42,
+    queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, index: SignIndex | None = None
 ) -> DataFrame:
-    """Approximate top-k: random projections of unit vectors, candidates joined by bucket."""
-    def vectors(df: DataFrame, key: str) -> DataFrame:
-        length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-        return df.where(length > 0).select(key, array_to_vector(F.col("embedding")).alias("raw"))
-
-    docs = vectors(corpus, "doc_id")
-    hashing = Pipeline(
-        stages=[
-            Normalizer(inputCol="raw", outputCol="unit"),
-            BucketedRandomProjectionLSH(
-                inputCol="unit",
-                outputCol="hashes",
-                bucketLength=bucket_length,
-                numHashTables=tables,
-                seed=seed,
-            ),
-        ]
-    ).fit(docs)
-    normalizer, model = hashing.stages
-    limit = float(np.sqrt(2 - 2 * min_similarity))
-    near = model.approxSimilarityJoin(
-        normalizer.transform(docs), normalizer.transform(vectors(queries, "query_id")), limit, "distance"
-    )
-    similarity = 1 - F.col("distance") * F.col("distance") / 2
-    scored = near.select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col("datasetA.doc_id").alias("doc_id"),
-        F.round(similarity, 6).alias("similarity"),
+    """Approximate top-k: candidates share the signs of some hyperplanes, then exact cosine.
+
+    No candidate is dropped for a low similarity. A query with fewer than k candidates gets
+    fewer rows.
+    """
+    index = index or build_sign_index(corpus)
+    found = stored(lsh_candidates(queries, index))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    scored = (
+        found.join(index.vectors, "doc_id")
+        .withColumn("v", F.col("embedding").cast("array<double>"))
+        .join(asked, "query_id")
+        .withColumn("size", F.sqrt(dot("v", "v") * dot("q", "q")))
+        .where("size > 0")
+        .select("query_id", "doc_id", F.round(dot("v", "q") / F.col("size"), 6).alias("similarity"))
     )
     return _ranked(scored, k)

