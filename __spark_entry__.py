@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import wraps
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ from harborline.plans import (
     watch,
 )
 from harborline.plans.warehouse import Warehouse
-from harborline.sources.durable import stored
+from harborline.schemas import RAW_TABLES
+from harborline.sources import sinks, tables
+from harborline.sources.durable import shared_folder, stored
 from harborline.sources.star import STAR_CONFIG, StarSource
 from oracle_queries import ORACLE, QUESTIONS, RUN_AT
 
@@ -38,6 +42,7 @@ except ModuleNotFoundError as missing:
 EMBEDDING_SIZE = 64
 SAMPLE_TREES = 5  # boosting rounds of the registered model queries
 
+HERE = os.path.dirname(os.path.abspath(__file__))
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
@@ -317,13 +322,13 @@ def q_problem_areas(star, wh):
 
 @_query
 def q_free_sql(star, wh):
-    questions.register_marts({"mart_occupancy": wh.mart_occupancy})
     return questions.run_sql(
         star.spark,
         """```sql
         SELECT o.brand, o.sail_year, SUM(o.confirmed_bookings) AS confirmed_bookings
         FROM mart_occupancy o GROUP BY o.brand, o.sail_year
         ```""",
+        {"mart_occupancy": wh.mart_occupancy},
     )
 
 
@@ -360,8 +365,13 @@ def chat_transcript(star, wh):
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
     none = F.lit(None).cast("string")
-    answers = asked.join(replied, ["conv_id", "turn"]).withColumns({"sql": none, "results": none})
-    return questions.transcript(answers, ["conv_id", "turn"])
+    answers = asked.join(replied, ["conv_id", "turn"], "left").withColumns({"sql": none, "results": none})
+    replies = asked.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"))
+    others = turns.where(F.col("role") != "user").join(replies, ["conv_id", "turn", "role"], "left_anti")
+    alone = others.select(
+        "conv_id", "turn", "role", F.col("text").alias("content"), none.alias("sql"), none.alias("results")
+    )
+    return questions.transcript(answers, ["conv_id", "turn"]).unionByName(alone)
 
 
 # --- quality -------------------------------------------------------------------------
@@ -387,6 +397,61 @@ def dq_suite(star, wh):
     return wh.quality()
 
 
+# --- reading and writing --------------------------------------------------------------
+
+
+def _fresh_path(star: StarSource, name: str) -> str:
+    return f"{shared_folder(star.spark)}/{name}-{uuid4().hex}"
+
+
+@_query
+def csv_round_trip(star, wh):
+    """Guests written as CSV files and read back by a table map."""
+    path = _fresh_path(star, "guests-csv")
+    sinks.write_csv(wh.stg_guests, path)
+    return tables.read_csv(star.spark, path, RAW_TABLES["stg_guests"])
+
+
+@_query
+def table_overwrite(star, wh):
+    """Rows written when the rows of an existing table are replaced."""
+    name = f"occupancy_{uuid4().hex}"
+    table = sinks.save_table(wh.mart_occupancy.limit(0), name, "harborline_checks")
+    rows = sinks.overwrite_table(wh.mart_occupancy, table)
+    star.spark.sql(f"DROP TABLE {table}")
+    return star.spark.range(1).select(F.lit(rows).cast("long").alias("rows_written"))
+
+
+@_query
+def saved_mart(star, wh):
+    """A mart saved as a table of a schema and read by its source name."""
+    name = f"occupancy_{uuid4().hex}"
+    table = sinks.save_table(wh.mart_occupancy, name, " harborline_checks ")
+    read = stored(tables.source(star.spark, "HARBORLINE_CHECKS", name))
+    star.spark.sql(f"DROP TABLE {table}")
+    return read
+
+
+@_query
+def index_round_trip(star, wh):
+    """The document index with its metadata, written and read back."""
+    path = _fresh_path(star, "index")
+    sinks.write_index(wh.document_index, path)
+    return sinks.read_index(star.spark, path).select("doc_id", "text", "type", "brand")
+
+
+@_query
+def run_log_round_trip(star, wh):
+    """Events appended in two runs; the log read back gives the current status."""
+    path = _fresh_path(star, "log")
+    proposed = stored(_all_actions(wh))
+    decided = actions.decide(proposed, _decisions(proposed))
+    sinks.append_log(actions.log_events(proposed, _run_at()), path)
+    later = _run_at() + F.expr("interval 1 hour")
+    sinks.append_log(actions.log_events(decided.where(F.col("status") != actions.PENDING), later), path)
+    return actions.current_status(star.spark.read.parquet(path))
+
+
 # --- small operators -----------------------------------------------------------------
 
 
@@ -581,10 +646,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return decimals_to_double(anomalies.anomalies(_warehouse(star).mart_occupancy))
 
 
+def _importable(query: Query) -> Query:
+    """Python workers find the package also where the caller's folder is another one."""
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if HERE not in paths:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([HERE, *filter(None, paths)])
+        return query(spark, folder)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    if llm_queries is None:
-        return dict(_REGISTRY)
-    return {**_REGISTRY, **llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    found = dict(_REGISTRY)
+    if llm_queries is not None:
+        found |= {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    return {name: _importable(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,13 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
-@dataclass(frozen=True)
-class Itinerary:
-    name: str
-    region: str
-    nights: int
-
-
 @dataclass(frozen=True)
 class SeasonRule:
     region: str
@@ -22,8 +15,6 @@ class SeasonRule:
 @dataclass(frozen=True)
 class DomainConfig:
     brands: tuple[str, ...]
-    cabins: dict[str, tuple[str, ...]]
-    itineraries: tuple[Itinerary, ...]
     brand_codes: dict[str, int]
     channel_codes: dict[str, int]
     loyalty_codes: dict[str, int]
@@ -52,27 +43,6 @@ class DomainConfig:
 # Names and codes of the cruise data model; models and checks depend on them.
 CRUISE = DomainConfig(
     brands=("Norwegian", "Oceania", "Regent"),
-    cabins={
-        "Norwegian": ("Inside", "Oceanview", "Balcony", "Mini-Suite", "Haven Suite"),
-        "Oceania": ("Inside", "Oceanview", "Veranda", "Concierge", "Penthouse"),
-        "Regent": (
-            "Deluxe Suite",
-            "Superior Suite",
-            "Penthouse Suite",
-            "Grand Suite",
-            "Master Suite",
-        ),
-    },
-    itineraries=(
-        Itinerary("Caribbean Classic", "Caribbean", 7),
-        Itinerary("Alaska Explorer", "Alaska", 7),
-        Itinerary("Mediterranean Dreams", "Mediterranean", 10),
-        Itinerary("Norwegian Fjords", "Europe", 9),
-        Itinerary("Panama Canal", "Americas", 14),
-        Itinerary("Bermuda Getaway", "Bermuda", 5),
-        Itinerary("Hawaii Aloha", "Hawaii", 12),
-        Itinerary("Asia Discovery", "Asia", 14),
-    ),
     brand_codes={"Norwegian": 0, "Oceania": 1, "Regent": 2},
     channel_codes={"Direct Web": 0, "Travel Agent": 1, "OTA": 2, "Group": 3, "Loyalty": 4},
     loyalty_codes={"None": 0, "Latitudes": 1, "Gold": 2, "Platinum": 3, "Ambassador": 4},

@@ -20,10 +20,10 @@ def schema_name(custom: str | None, default: str) -> str:
 
 
 def stamped_id(prefix: str, stamp: Column, keys: list[Column]) -> Column:
-    """Run timestamp plus a key hash: rows of the same second stay distinct."""
+    """Run timestamp plus the digest of the key: rows of the same second stay distinct."""
     return F.concat(
         F.lit(prefix),
         F.date_format(stamp, "yyyyMMddHHmmss"),
         F.lit("_"),
-        F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in keys])), 1, 8),
+        F.md5(F.concat_ws("|", *[k.cast("string") for k in keys])),
     )

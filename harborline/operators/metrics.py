@@ -41,12 +41,16 @@ def accuracy(prediction: Column, label: Column) -> Column:
 
 
 def mean_absolute_error(prediction: Column, label: Column) -> Column:
-    error = F.abs(prediction - label)
-    return F.sum(error.cast("decimal(28,6)")).cast("double") / F.nullif(F.count(error), F.lit(0))
+    """Mean of the errors; rows without a prediction or label do not count."""
+    return F.avg(F.abs(prediction - label).cast("double"))
 
 
 def r_squared(prediction: Column, label: Column) -> Column:
-    """1 - residual / total sum of squares, in one pass."""
+    """1 - residual / total sum of squares, in one pass, over rows that have both values.
+
+    Sums of doubles depend on their order in the last digits; round what is reported.
+    """
+    known = F.when(prediction.isNotNull(), label)
     residual = F.sum(F.pow(label - prediction, F.lit(2.0)))
-    total = F.var_pop(label) * F.count(label)
+    total = F.var_pop(known) * F.count(known)
     return 1 - residual / F.nullif(total, F.lit(0.0))

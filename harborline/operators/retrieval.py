@@ -51,9 +51,10 @@ class _Best:
         found = self.rows[j] + [(-scores[i], ids[i]) for i in kept]
         self.rows[j] = sorted(found)[: self.k]
 
-    def frame(self) -> pd.DataFrame:
+    def frames(self) -> Iterator[pd.DataFrame]:
         flat = [(q, d, -s) for q, rows in zip(self.query_ids, self.rows) for s, d in rows]
-        return pd.DataFrame(flat, columns=["query_id", "doc_id", "similarity"])
+        if flat:
+            yield pd.DataFrame(flat, columns=["query_id", "doc_id", "similarity"])
 
 
 def _result_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
@@ -98,7 +99,7 @@ def _score_block(corpus: DataFrame, block: DataFrame, k: int) -> DataFrame:
                 cosine = _six_decimals(_unit(vectors) @ unit.T)
                 for j in range(len(query_ids)):
                     best.add(j, ids, cosine[:, j])
-        yield best.frame()
+        yield from best.frames()
 
     source = corpus.where(F.col("embedding").isNotNull()).select("doc_id", "embedding")
     return source.mapInPandas(score, schema)
@@ -189,7 +190,7 @@ def _tfidf_block(index: WordIndex, queries: DataFrame, k: int) -> DataFrame:
             for j in range(len(query_ids)):
                 scores = np.where(shared[:, j] > 0, _six_decimals(shared[:, j]), np.nan)
                 best.add(j, ids, scores)
-        yield best.frame()
+        yield from best.frames()
 
     found = index.documents.select("doc_id", "norm", wanted.alias("found")).where(F.size("found") > 0)
     slim = found.select("doc_id", "norm", F.col("found.word").alias("words"), F.col("found.tf").alias("tfs"))

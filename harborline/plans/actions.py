@@ -73,10 +73,13 @@ def log_events(actions: DataFrame, at: Column) -> DataFrame:
 
 
 def current_status(events: DataFrame) -> DataFrame:
-    """Latest status per action, folded from the log."""
-    return events.groupBy("action_id").agg(
-        F.max_by("brand", "at").alias("brand"),
-        F.max_by("itinerary", "at").alias("itinerary"),
-        F.max_by("status", "at").alias("status"),
-        F.max("at").alias("at"),
+    """Latest status per action, folded from the log.
+
+    Of events at one instant a decision comes after the proposal; two decisions are ordered
+    by their status, so the result never depends on the order of rows.
+    """
+    decided = F.col("status") != PENDING
+    latest = F.max(F.struct("at", decided.alias("decided"), "status", "brand", "itinerary")).alias("e")
+    return events.groupBy("action_id").agg(latest).select(
+        "action_id", "e.brand", "e.itinerary", "e.status", "e.at"
     )

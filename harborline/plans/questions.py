@@ -217,9 +217,20 @@ def register_marts(marts: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def run_sql(spark: SparkSession, statement: str) -> DataFrame:
-    """A statement over the registered marts, with or without code fences around it."""
-    return spark.sql(re.sub(r"```sql|```", "", statement).strip())
+def run_sql(
+    spark: SparkSession, statement: str, marts: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """A statement over the registered marts, with or without code fences around it.
+
+    ``marts`` are views for this statement only: names are resolved when it is parsed, so
+    the views go again at once.
+    """
+    register_marts(marts or {})
+    try:
+        return spark.sql(re.sub(r"```sql|```", "", statement).strip())
+    finally:
+        for name in marts or {}:
+            spark.catalog.dropTempView(name)
 
 
 def clean_statements(replies: DataFrame, column: str) -> DataFrame:
@@ -265,7 +276,10 @@ def result_lines(result: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 
 def transcript(answers: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """``answers(question, answer, sql, results)`` as chat turns: the user's, then the reply."""
+    """``answers(question, answer, sql, results)`` as chat turns: the user's, then the reply.
+
+    A question that has no answer yet is a turn of its own.
+    """
     none = F.lit(None).cast("string")
     asked = [F.lit("user"), F.col("question"), none, none]
     replied = [F.lit("assistant"), F.col("answer"), F.col("sql"), F.col("results")]
@@ -273,4 +287,5 @@ def transcript(answers: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     turns = F.array(
         *[F.struct(*[c.alias(n) for c, n in zip(turn, names)]) for turn in (asked, replied)]
     )
-    return answers.select(*keys, F.inline(turns))
+    spoken = F.filter(turns, lambda t: t["content"].isNotNull())
+    return answers.select(*keys, F.inline(spoken))

@@ -11,11 +11,8 @@ INDEX_METADATA = ["type", "brand", "region", "itinerary", "cabin", "position", "
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
-
-
-def save_view(df: DataFrame, name: str) -> None:
-    df.createOrReplaceTempView(name)
+    """CSV with a header; quotes inside a cell are doubled."""
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
 
 
 def _qualified(spark: SparkSession, table: str, schema: str | None, default: str) -> str:

@@ -11,10 +11,15 @@ from harborline.schemas import RAW_TABLES, to_contract
 def read_csv(spark: SparkSession, path: str, contract: T.StructType) -> DataFrame:
     """CSV with a header, its columns found by name in any order and case, then cast.
 
-    Only the header is read ahead. An empty cell is NULL, the text ``None`` stays text, a
-    malformed cell is an error.
+    Only the header is read ahead. Quotes inside a cell are doubled, as in any standard CSV
+    file. An empty cell is NULL, the text ``None`` stays text; a malformed cell, a short row
+    and a long one are errors.
     """
-    return to_contract(spark.read.option("header", True).csv(path), contract)
+    reader = spark.read.options(header=True, quote='"', escape='"', mode="FAILFAST")
+    names = reader.csv(path).columns
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    # without pruning every row is parsed in full, so its length is checked
+    return to_contract(reader.option("columnPruning", False).schema(texts).csv(path), contract)
 
 
 def load_tables(
@@ -34,9 +39,5 @@ def source(spark: SparkSession, schema: str, table: str) -> DataFrame:
     return spark.table(f"{schema}.{table}")
 
 
-def lower_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.lower() for c in df.columns])
-
-
 def upper_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.upper() for c in df.columns])

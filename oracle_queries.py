@@ -120,7 +120,7 @@ SELECT guest_id, primary_brand, total_bookings, loyalty_tier FROM (
   SELECT guest_id, brand AS primary_brand,
     ROW_NUMBER() OVER (PARTITION BY guest_id ORDER BY COUNT(*) DESC, brand) AS rn
   FROM bookings GROUP BY guest_id, brand) a
-JOIN (SELECT guest_id, COUNT(*) AS total_bookings, MAX_BY(loyalty_tier, booking_id) AS loyalty_tier
+JOIN (SELECT guest_id, COUNT(*) AS total_bookings, MAX_BY(loyalty_tier, CAST(SUBSTR(booking_id, 3) AS BIGINT)) AS loyalty_tier
       FROM bookings GROUP BY guest_id) b USING (guest_id) WHERE rn = 1"""
 
 CTE["guests"] = f"""
@@ -319,8 +319,8 @@ CTE["found_all"] = "SELECT * FROM scan WHERE avg_occupancy < 70 OR avg_cancellat
 _action = """'2002-01-01T00:00:00' AS "timestamp", brand, itinerary_name AS itinerary, region,
   avg_occupancy AS current_occupancy, avg_cancellation AS cancellation_rate,
   CAST(NULL AS VARCHAR) AS recommendation, {status} AS status,
-  'ACT_20020101000000_' || SUBSTR(MD5(brand || '|' || itinerary_name || '|' || region || '|' || sail_year
-    || '|' || sail_quarter), 1, 8) AS action_id"""
+  'ACT_20020101000000_' || MD5(brand || '|' || itinerary_name || '|' || region || '|' || sail_year
+    || '|' || sail_quarter) AS action_id"""
 CTE["proposed"] = f"SELECT {_action.format(status=chr(39) + 'PENDING_APPROVAL' + chr(39))} FROM found_all"
 _verdict = """CASE brand WHEN 'Mass' THEN 'APPROVED' WHEN 'Premium' THEN 'REJECTED'
   ELSE 'PENDING_APPROVAL' END"""
@@ -589,13 +589,10 @@ UNION ALL SELECT CAST(1 + ROW_NUMBER() OVER (ORDER BY total_revenue DESC, region
   CASE WHEN role = 'system'
     THEN 'Try asking about brand performance, occupancy, revenue, or pricing.' ELSE role END AS suggestion
 FROM conversations""",
-    "chat_transcript": """SELECT conv_id, turn, role, content, CAST(NULL AS VARCHAR) AS sql,
-  CAST(NULL AS VARCHAR) AS results FROM (
-  SELECT u.conv_id, u.turn, 'user' AS role, u.text AS content FROM conversations u JOIN conversations a
-    ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'
-  UNION ALL
-  SELECT u.conv_id, u.turn, 'assistant', a.text FROM conversations u JOIN conversations a
-    ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant') x""",
+    "chat_transcript": """SELECT t.conv_id, CASE WHEN q.turn IS NULL THEN t.turn ELSE q.turn END AS turn,
+  t.role, t.text AS content, CAST(NULL AS VARCHAR) AS sql, CAST(NULL AS VARCHAR) AS results
+FROM conversations t LEFT JOIN conversations q ON t.role = 'assistant' AND q.role = 'user'
+  AND q.conv_id = t.conv_id AND q.turn = t.turn - 1""",
     "dq_unique": """SELECT l_orderkey AS "value", COUNT(*) AS n_records FROM lineitem
 WHERE l_orderkey IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1""",
     "dq_not_null": statement("SELECT booking_id FROM bookings WHERE cancellation_reason IS NULL"),
@@ -660,7 +657,7 @@ FROM (SELECT is_cancelled, RANK() OVER (ORDER BY booking_window_days)
   COUNT(CASE WHEN NOT is_cancelled THEN 1 END) OVER () AS n FROM bookings) x"""
     ),
     "metric_regression": statement(
-        f"""SELECT {rnd(mean('abs(p - y)', 6), 4)} AS mae,
+        f"""SELECT {rnd('AVG(abs(p - y))', 4)} AS mae,
   {rnd('1 - SUM((y - p) * (y - p)) / (VAR_POP(y) * COUNT(y))', 6)} AS r2
 FROM (SELECT CAST(cabin_price_usd AS DOUBLE) * CAST(2.5 AS DOUBLE) AS p,
   CAST(total_revenue_usd AS DOUBLE) AS y FROM bookings) x"""
@@ -711,3 +708,10 @@ ORACLE["dq_suite"] = statement(
         for s, m, c, t in _rules
     )
 )
+
+# Written and read back, the rows are the same.
+ORACLE["csv_round_trip"] = ORACLE["stg_guests"]
+ORACLE["saved_mart"] = ORACLE["mart_occupancy"]
+ORACLE["run_log_round_trip"] = ORACLE["action_status"]
+ORACLE["table_overwrite"] = statement("SELECT COUNT(*) AS rows_written FROM m_occupancy")
+ORACLE["index_round_trip"] = statement("SELECT doc_id, text, type, brand FROM docs")

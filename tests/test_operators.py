@@ -249,3 +249,47 @@ def test_tfidf_against_brute_force(spark):
                 sims.append((-round(sum(x * dv.get(w, 0) for w, x in qv.items()), 6), j))
         want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(sims)[:3])]
     assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == want
+
+
+def test_latest_tier_of_ids_of_different_length(spark):
+    rows = [("G", "BK9999999", "B", "Gold"), ("G", "BK10000000", "B", "Silver")]
+    frame = spark.createDataFrame(rows, "guest_id string, booking_id string, brand string, loyalty_tier string")
+    assert guest_profile(frame).first().loyalty_tier == "Silver"
+
+
+def test_small_errors_count(spark):
+    frame = spark.createDataFrame([(1.0, 1.0 + 2e-7), (1.0, 1.0)], "p double, y double")
+    got = frame.agg(metrics.mean_absolute_error(F.col("p"), F.col("y")).alias("m")).first().m
+    assert abs(got - 1e-7) < 1e-12
+
+
+def test_words_are_told_apart_whatever_their_hash(spark):
+    """Of 20,000 words many share a short hash; each finds its own document."""
+    corpus = spark.range(200).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", F.transform(F.sequence(F.col("id") * 100, F.col("id") * 100 + 99), lambda i: F.concat(F.lit("w"), i))).alias("text"),
+    )
+    asked = spark.createDataFrame([(i, f"w{i * 977}") for i in range(20)], "query_id long, text string")
+    got = retrieval.tfidf_topk(asked, retrieval.build_word_index(corpus), 3).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == [(i, i * 977 // 100) for i in range(20)]
+
+
+def test_tfidf_keeps_the_best_of_a_task_before_the_shuffle(spark):
+    corpus = spark.createDataFrame([(i, f"a b{i % 7} c{i}") for i in range(50)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a b3")], "query_id long, text string")
+    index = retrieval.build_word_index(corpus)
+    block = retrieval._tfidf_block(index, asked, 4)
+    plan = block._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInPandas" in plan
+    assert block.count() <= 4 * block.rdd.getNumPartitions()
+
+
+def test_lsh_index_narrows_as_the_corpus_grows(spark):
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (300, 4000):
+        corpus = _vectors(spark, rng.normal(size=(n, 16)), "doc_id")
+        asked = _vectors(spark, rng.normal(size=(5, 16)), "query_id")
+        found = retrieval.lsh_candidates(asked, retrieval.build_sign_index(corpus, likely=0.85))
+        shares.append(found.count() / (5 * n))
+    assert shares[1] < shares[0] < 0.8

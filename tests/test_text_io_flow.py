@@ -261,3 +261,41 @@ def test_transcript(spark):
     answers = spark.createDataFrame(rows, "question string, answer string, sql string, results string")
     got = [tuple(r) for r in questions.transcript(answers).collect()]
     assert got == [("user", "How?", None, None), ("assistant", "So.", "SELECT 1", "x")]
+
+
+def test_unanswered_questions_stay_in_the_transcript(spark):
+    rows = [("How?", None, None, None)]
+    answers = spark.createDataFrame(rows, "question string, answer string, sql string, results string")
+    assert [tuple(r) for r in questions.transcript(answers).collect()] == [("user", "How?", None, None)]
+
+
+def test_csv_quotes_are_doubled(spark, make_guests, tmp_path):
+    guests = make_guests({"first_name": 'say "hi", Bob', "last_name": "back\\slash"})
+    sinks.write_csv(guests, str(tmp_path / "guests"))
+    text = "".join(p.read_text() for p in (tmp_path / "guests").glob("part-*"))
+    assert '"say ""hi"", Bob"' in text
+    row = tables.read_csv(spark, str(tmp_path / "guests"), RAW_TABLES["stg_guests"]).first()
+    assert (row.first_name, row.last_name) == ('say "hi", Bob', "back\\slash")
+
+
+@pytest.mark.parametrize("line", ["G1,Ann", "G1,Ann,Lee,a@b.c,UK,25-34,Regent,1,Gold,2024-01-01T00:00:00,extra"])
+def test_csv_rows_of_another_length_are_errors(spark, tmp_path, line):
+    names = ",".join(f.name for f in RAW_TABLES["stg_guests"])
+    (tmp_path / "guests.csv").write_text(f"{names}\n{line}\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_csv(spark, str(tmp_path / "guests.csv"), RAW_TABLES["stg_guests"]).select("guest_id").collect()
+
+
+def test_status_of_two_events_at_one_instant(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("A", "b", "i", "APPROVED", at), ("A", "b", "i", "PENDING_APPROVAL", at)]
+    schema = "action_id string, brand string, itinerary string, status string, at timestamp_ntz"
+    for order in (rows, rows[::-1]):
+        got = actions.current_status(spark.createDataFrame(order, schema)).first()
+        assert got.status == "APPROVED"
+
+
+def test_free_sql_leaves_no_view(spark):
+    got = questions.run_sql(spark, "SELECT sum(id) AS s FROM numbers_mart", {"numbers_mart": spark.range(4)})
+    assert got.first().s == 6
+    assert not spark.catalog.tableExists("numbers_mart")
