@@ -117,7 +117,7 @@ def mart_guest_ltv_by_line(star, wh):
 
 @_query
 def mart_pricing_summary(star, wh):
-    return wh.mart_pricing_summary
+    return wh.staged("stg_bookings", "stg_pricing_log").mart_pricing_summary
 
 
 # --- rollups and documents -----------------------------------------------------------
@@ -473,8 +473,6 @@ def price_calendar(star, wh):
         .select(F.col("p_type").alias("cabin_category"))
         .distinct()
         .select(F.explode(brands).alias("brand"), "cabin_category")
-        .agg(F.collect_list(F.struct("brand", "cabin_category")).alias("offers"))
-        .scalar()
     )
     days = star.table("orders").agg(
         F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b")
@@ -510,6 +508,7 @@ def cancellation_rate(star, wh):
 
 @_query
 def feature_frame(star, wh):
+    wh = wh.staged("stg_bookings")
     return features.feature_frame(
         wh.mart_revenue, wh.mart_guest_ltv, STAR_CONFIG, bookings=wh.stg_bookings
     )
@@ -517,6 +516,7 @@ def feature_frame(star, wh):
 
 @_query
 def feature_frame_fanout(star, wh):
+    wh = wh.staged("stg_bookings")
     return features.feature_frame(
         wh.mart_revenue, wh.mart_guest_ltv, STAR_CONFIG, by_brand=False, bookings=wh.stg_bookings
     )
@@ -559,6 +559,7 @@ def metric_regression(star, wh):
 
 def _train(name: str, trees: int = SAMPLE_TREES):
     def run(star: StarSource, wh: Warehouse) -> models.TrainedModel:
+        wh = wh.staged("stg_bookings")
         frame = features.feature_frame(
             wh.mart_revenue, wh.mart_guest_ltv, STAR_CONFIG, bookings=wh.stg_bookings
         )

@@ -6,10 +6,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.config import CRUISE, DomainConfig
+from harborline.sources.durable import stored
 
 
 @dataclass(frozen=True)
@@ -61,11 +62,16 @@ def unaccepted_values(df: DataFrame, column: str, values: Iterable[str]) -> Data
     )
 
 
-def _null_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All not_null rules of one model in a single aggregate over one scan."""
-    counted = df.agg(
-        *[F.count_if(F.col(r.column).isNull()).alias(f"f{i}") for i, r in enumerate(rules)]
-    )
+def _counted(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All rules of one model that look at single rows, in one aggregate over one scan."""
+
+    def failures(rule: Rule) -> Column:
+        column = F.col(rule.column)
+        if rule.test == "not_null":
+            return F.count_if(column.isNull())
+        return F.count_distinct(F.when(~column.isin(*rule.values), column))
+
+    counted = df.agg(*[failures(r).alias(f"f{i}") for i, r in enumerate(rules)])
     entries = [
         F.struct(
             F.lit(r.model).alias("model"),
@@ -78,8 +84,8 @@ def _null_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return counted.select(F.inline(F.array(*entries)))
 
 
-def _result(counted: DataFrame, rule: Rule) -> DataFrame:
-    return counted.agg(F.count("*").alias("failures")).select(
+def _duplicates(df: DataFrame, rule: Rule) -> DataFrame:
+    return duplicated_values(df, rule.column).agg(F.count("*").alias("failures")).select(
         F.lit(rule.model).alias("model"),
         F.lit(rule.column).alias("column"),
         F.lit(rule.test).alias("test"),
@@ -88,16 +94,21 @@ def _result(counted: DataFrame, rule: Rule) -> DataFrame:
 
 
 def dq_suite(models: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
-    """``(model, column, test, failures)`` for every rule."""
+    """``(model, column, test, failures)`` for every rule.
+
+    The columns that a model's rules look at are stored once, so the model is computed in
+    one pass however many rules it has. One aggregate counts its null and unaccepted
+    values, a group-by per unique rule its repeated ones.
+    """
     parts = []
     for name, df in models.items():
         mine = [r for r in rules if r.model == name]
-        null_checks = [r for r in mine if r.test == "not_null"]
-        if null_checks:
-            parts.append(_null_rules(df, null_checks))
-        for r in mine:
-            if r.test == "unique":
-                parts.append(_result(duplicated_values(df, r.column), r))
-            elif r.test == "accepted_values":
-                parts.append(_result(unaccepted_values(df, r.column, r.values), r))
+        if not mine:
+            continue
+        looked_at = stored(df.select(*dict.fromkeys(r.column for r in mine)))
+        unique = [r for r in mine if r.test == "unique"]
+        single = [r for r in mine if r.test != "unique"]
+        if single:
+            parts.append(_counted(looked_at, single))
+        parts += [_duplicates(looked_at, r) for r in unique]
     return reduce(DataFrame.unionByName, parts)

@@ -141,7 +141,7 @@ def seasonal_price(bookings: DataFrame, config: DomainConfig = CRUISE) -> DataFr
 
 def price_calendar(
     itineraries: DataFrame,
-    offers: Column,
+    offers: DataFrame,
     first: Column,
     last: Column,
     config: DomainConfig = CRUISE,
@@ -149,13 +149,13 @@ def price_calendar(
 ) -> DataFrame:
     """Every itinerary x offer x sail date with its season factor.
 
-    ``itineraries(itinerary_name, region)``; ``offers`` is an array of (brand,
-    cabin_category) structs. Offers and dates are generated inside each itinerary row.
+    ``itineraries(itinerary_name, region)``, ``offers(brand, cabin_category)``: the product
+    of the two is the result itself. Dates are generated inside each of its rows.
     """
     factor = seasonal_factor(F.col("region"), F.month("sail_date"), config.season_rules)
     return (
-        itineraries.repartition("itinerary_name")
-        .select("itinerary_name", "region", F.inline(offers))
+        offers.select("brand", "cabin_category")
+        .crossJoin(itineraries.select("itinerary_name", "region"))
         .select(
             "brand",
             "itinerary_name",

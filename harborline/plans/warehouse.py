@@ -41,6 +41,13 @@ class Warehouse:
         self.config = config
         self.spend_is_unique = spend_is_unique
 
+    def staged(self, *names: str) -> Warehouse:
+        """The same warehouse with some staging views stored, for plans that read them often."""
+        other = Warehouse(self.source, self.config, self.spend_is_unique)
+        for name in names:
+            other.__dict__[name] = stored(getattr(self, name))
+        return other
+
     @cached_property
     def stg_bookings(self) -> DataFrame:
         return staging.stage_bookings(self.source.bookings)
@@ -79,9 +86,11 @@ class Warehouse:
 
     @cached_property
     def documents(self) -> DataFrame:
-        # the occupancy mart feeds three kinds of documents, the others one each
+        # bookings feed three marts, the price log is read for its hot keys too, and the
+        # occupancy mart feeds three kinds of documents
+        kept = self.staged("stg_bookings", "stg_pricing_log")
         return summaries.all_documents(
-            stored(self.mart_occupancy), self.mart_revenue, self.mart_pricing_summary
+            stored(kept.mart_occupancy), kept.mart_revenue, kept.mart_pricing_summary
         )
 
     @cached_property
