@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.operators.ranking import sequential_ids
+from harborline.operators.ranking import in_ranges, sequential_ids
 from harborline.operators.skew import salted_left_join
 
 MAX_CATEGORIES = 1000
@@ -24,9 +24,7 @@ def code_of(value: Column, codes: dict[str, int]) -> Column:
 def alphabetical_codes(df: DataFrame, column: str) -> DataFrame:
     """``(column, code)``: position of each distinct value in ascending order, from 0."""
     distinct = df.where(F.col(column).isNotNull()).select(column).distinct()
-    numbered = sequential_ids(
-        distinct.withColumn("_head", F.substring(column, 1, 2)), [["_head"], [column]], "code"
-    )
+    numbered = sequential_ids(in_ranges(distinct, column), [["_range"], [column]], "code")
     return numbered.select(column, F.col("code").cast("int").alias("code"))
 
 

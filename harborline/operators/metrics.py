@@ -5,26 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborline.operators.ranking import running_total
-
-BINS = 1024  # score ranges per level
+from harborline.operators.ranking import in_ranges, running_total
 
 
 def auc_roc(scored: DataFrame, score: Column, label: Column) -> DataFrame:
     """One row ``(auc_roc)``: chance that a positive outranks a negative, ties half.
 
-    Rows are folded by score. Negatives are then accumulated over coarse score ranges in
-    [0, 1], fine ranges inside them, and scores inside those, so no window spans all
-    scores even where they crowd together.
+    Rows are folded by score. Negatives are then accumulated over ranges of scores that hold
+    about as many scores each, and over scores inside those, so no window spans all scores
+    wherever they lie or crowd.
     """
-    scaled = F.least(F.greatest(F.col("s"), F.lit(0.0)), F.lit(1.0)) * BINS
     by_score = (
         scored.select(score.cast("double").alias("s"), label.cast("int").alias("y"))
         .groupBy("s")
         .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-        .withColumns({"coarse": F.floor(scaled), "fine": F.floor((scaled - F.floor(scaled)) * BINS)})
     )
-    ranked = running_total(by_score, F.col("neg"), [["coarse"], ["fine"], ["s"]], "below")
+    ranked = running_total(in_ranges(by_score, "s"), F.col("neg"), [["_range"], ["s"]], "below")
     wide = "decimal(19,0)"
     twice_wins = F.col("pos").cast(wide) * (2 * F.col("below") + F.col("neg")).cast(wide)
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")

@@ -1,56 +1,47 @@
-"""Exact median of a money column without sorting or collecting all values."""
+"""Exact median without sorting or collecting all values."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1 << 16  # fixed bound on the rows of the only unpartitioned window
+BINS = 1 << 16  # rows that the only unpartitioned window may see
 
 
-def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """One row ``(median)``, a double: the mean of the two middle values.
+def _value_at(values: DataFrame, rank: int, lo: float, hi: float, before: int) -> float:
+    """The value of a rank counted from 0, among values of which ``before`` lie below ``lo``.
 
-    Values are counted in equal-width bins first (a map-side combine to at most ``BINS``
-    rows); only the bins that hold the middle ranks are then looked at value by value, with
-    equal values folded into one row.
+    The interval that holds the rank is cut into equal bins again and again; the next
+    interval runs from the smallest to the largest value of the bin that holds it, until
+    the two are one value. An outlier so costs one more pass and fills no bin.
     """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    bounds = values.agg(
-        F.min("v").cast("double").alias("lo"),
-        F.max("v").cast("double").alias("hi"),
-        F.count("*").alias("n"),
-    )
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    n = bounds.select("n").scalar()
-    width = F.nullif((hi - lo) / F.lit(float(BINS - 1)), F.lit(0.0))
-    binned = values.withColumn(
-        "bin", F.coalesce(F.floor((F.col("v").cast("double") - lo) / width), F.lit(0)).cast("int")
-    )
     all_before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    middle_low, middle_high = F.floor((n - 1) / 2), F.floor(n / 2)
-    bins = (
-        binned.groupBy("bin")
-        .agg(F.count("*").alias("c"))
-        .withColumn("before", F.coalesce(F.sum("c").over(all_before), F.lit(0)))
-        .where((F.col("before") <= middle_high) & (F.col("before") + F.col("c") > middle_low))
-        .select("bin", "before")
-    )
-    in_bin = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        binned.join(F.broadcast(bins), "bin")  # the two middle ranks lie in at most two bins
-        .groupBy("bin", "before", "v")
-        .agg(F.count("*").alias("c"))
-        .withColumn("first", F.col("before") + F.coalesce(F.sum("c").over(in_bin), F.lit(0)))
-        .select(
-            F.col("v").cast("double").alias("v"),
-            ((F.col("first") <= middle_low) & (F.col("first") + F.col("c") > middle_low)).alias("is_low"),
-            ((F.col("first") <= middle_high) & (F.col("first") + F.col("c") > middle_high)).alias("is_high"),
-        )
-        .agg(
-            (
-                (F.max(F.when(F.col("is_low"), F.col("v"))) + F.max(F.when(F.col("is_high"), F.col("v"))))
-                / 2
-            ).alias("median")
+    while lo < hi:
+        width = (hi - lo) / BINS
+        inside = values.where((F.col("v") >= lo) & (F.col("v") <= hi))
+        at = F.floor((F.col("v") - lo) / width) if width else F.when(F.col("v") > lo, 1).otherwise(0)
+        row = (
+            inside.groupBy(F.least(at.cast("long"), F.lit(BINS - 1)).alias("bin"))
+            .agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .withColumn("before", before + F.coalesce(F.sum("c").over(all_before), F.lit(0)))
+            .where((F.col("before") <= rank) & (F.col("before") + F.col("c") > rank))
+            .first()
         )
-    )
+        lo, hi, before = row["lo"], row["hi"], row["before"]
+    return lo
+
+
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row ``(median)``, a double: the mean of the two middle values, NULL without values.
+
+    Values are counted in bins, at most ``BINS`` rows per pass; three numbers per pass come
+    to the driver.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    row = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).first()
+    n, median = row["n"], None
+    if n:
+        low = _value_at(values, (n - 1) // 2, row["lo"], row["hi"], 0)
+        high = low if n % 2 else _value_at(values, n // 2, row["lo"], row["hi"], 0)
+        median = (low + high) / 2
+    return df.sparkSession.range(1).select(F.lit(median).cast("double").alias("median"))

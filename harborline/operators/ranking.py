@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborline.sources.durable import stored
+
 
 def _matches(columns: list[str], prefix: str) -> Column:
     return reduce(and_, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in columns])
@@ -56,6 +58,17 @@ def running_total(df: DataFrame, value: Column, levels: list[list[str]], name: s
     )
 
 
+def in_ranges(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``_range``: the number of the range of values a row lies in, ascending.
+
+    Ranges come from a sample of the values themselves, so they hold about the same number of
+    rows however the values are distributed. The rows are stored, so that every reader sees
+    the same ranges.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(ranges, column).withColumn("_range", F.spark_partition_id()))
+
+
 def sequential_ids(
     df: DataFrame, levels: list[list[str]], name: str = "seq", start: int = 0
 ) -> DataFrame:

@@ -293,3 +293,33 @@ def test_lsh_index_narrows_as_the_corpus_grows(spark):
         found = retrieval.lsh_candidates(asked, retrieval.build_sign_index(corpus, likely=0.85))
         shares.append(found.count() / (5 * n))
     assert shares[1] < shares[0] < 0.8
+
+
+def test_median_with_an_outlier_and_odd_values(spark):
+    rng = random.Random(1)
+    for values in (
+        [rng.random() for _ in range(501)] + [1e12],
+        [5.0] * 40 + [-1e300, 1e300],
+        [2.0, 2.0 + 1e-15, 1e9, -1e9, 0.0],
+    ):
+        got = quantile.exact_median(spark.createDataFrame([(v,) for v in values], "v double"), "v").first().median
+        ordered = sorted(values)
+        want = (ordered[(len(values) - 1) // 2] + ordered[len(values) // 2]) / 2
+        assert got == want
+
+
+def test_auc_of_scores_outside_the_unit_interval(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([-5.0, -4.5, 3.0, 1e6 + rng.random()]), rng.randint(0, 1)) for _ in range(300)]
+    got = metrics.auc_roc(spark.createDataFrame(rows, "s double, y int"), F.col("s"), F.col("y")).first().auc_roc
+    pos, neg = ([s for s, y in rows if y == k] for k in (1, 0))
+    wins = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg)
+    assert abs(got - wins / (len(pos) * len(neg))) < 1e-12
+
+
+def test_codes_of_many_values_with_one_prefix(spark):
+    values = spark.range(20_000).select(F.concat(F.lit("STANDARD "), F.hex(F.xxhash64("id"))).alias("c"))
+    got = [(r.c, r.code) for r in lookup.alphabetical_codes(values, "c").collect()]
+    assert sorted(got) == [(c, i) for i, c in enumerate(sorted(c for c, _ in got))]
+    ranges = ranking.in_ranges(values.distinct(), "c").groupBy("_range").count().agg(F.max("count")).first()[0]
+    assert ranges < 20_000
