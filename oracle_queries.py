@@ -715,3 +715,31 @@ ORACLE["saved_mart"] = ORACLE["mart_occupancy"]
 ORACLE["run_log_round_trip"] = ORACLE["action_status"]
 ORACLE["table_overwrite"] = statement("SELECT COUNT(*) AS rows_written FROM m_occupancy")
 ORACLE["index_round_trip"] = statement("SELECT doc_id, text, type, brand FROM docs")
+
+
+def _model_rows(run: str, trees: int, depth: int, metric: str, groups: str) -> str:
+    """Settings, exact sizes of the split by class, and the bound that the score has to reach."""
+    test, n = "SUM(CEIL(CAST(0.2 AS DOUBLE) * c))", "SUM(c)"
+    rows = [
+        ("param", "trees", f"{trees}"), ("param", "depth", f"{depth}"), ("metric", metric, "1"),
+        ("metric", "test_rows", f"(SELECT {test} FROM ({groups}) x)"),
+        ("metric", "train_rows", f"(SELECT {n} - {test} FROM ({groups}) x)"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT '{run}' AS run, '{kind}' AS kind, '{key}' AS key, CAST({value} AS DOUBLE) AS value"
+        for kind, key, value in rows
+    )
+
+
+_active = "FROM m_revenue WHERE NOT is_cancelled"
+_median = f"(SELECT MEDIAN(CAST(total_onboard_spend_usd AS DOUBLE)) {_active})"
+ORACLE["model_runs"] = statement(
+    _model_rows("cancellation_risk", 200, 4, "auc_roc", "SELECT COUNT(*) AS c FROM bookings GROUP BY is_cancelled")
+    + " UNION ALL "
+    + _model_rows("revenue_per_night", 200, 5, "r2", f"SELECT COUNT(*) AS c {_active}")
+    + " UNION ALL "
+    + _model_rows(
+        "upsell_propensity", 150, 4, "auc_roc",
+        f"SELECT COUNT(*) AS c {_active} GROUP BY CAST(total_onboard_spend_usd AS DOUBLE) > {_median}",
+    )
+)
