@@ -24,9 +24,9 @@ def successors(values: DataFrame, column: str) -> DataFrame:
     levels = [here.select("value", F.shiftright("value", STEP_BITS).alias("group"))]
     while len(levels) < 64 // STEP_BITS:
         below = levels[-1].groupBy("group").agg(F.min("value").alias("value"))
-        levels.append(
-            below.select("value", F.shiftright("group", STEP_BITS).alias("group"), F.col("group").alias("of"))
-        )
+        top = len(levels) == 64 // STEP_BITS - 1  # the last level orders at most 2^16 groups at once
+        group = F.lit(0) if top else F.shiftright("group", STEP_BITS)
+        levels.append(below.select("value", group.alias("group"), F.col("group").alias("of")))
     following = None
     for level in reversed(levels):
         inside = Window.partitionBy("group").orderBy("value")

@@ -95,6 +95,21 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 10: 8} | {100 + i: 100 for i in range(41)}
 
 
+def test_parts_of_a_batch_hash_like_the_whole(vocabulary):
+    import numpy as np
+    import pyarrow as pa
+
+    from harborline.llm.wordhash import text_slices, word_hashes
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 40))).title() for _ in range(300)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    whole, _ = word_hashes(batch.column("text"))
+    parts = list(text_slices(batch.slice(0), 1000))
+    assert len(parts) > 10
+    assert np.array_equal(whole, np.concatenate([word_hashes(p.column("text"))[0] for p in parts]))
+
+
 def test_circulant_signature_estimates_jaccard(vocabulary):
     import numpy as np
 
