@@ -84,7 +84,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failing LEFT JOIN held USING (r)
 """
 
+CHAT_FORMAT = r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, coalesce(turn, -4611686018427387904) AS pos, role, text FROM conversations),
+whole AS (
+  SELECT conv_id, list({'p': pos, 'r': role, 'x': text} ORDER BY pos, role, text) AS said
+  FROM turns GROUP BY conv_id),
+different AS (SELECT said, min(conv_id) AS conv_id, count(*) AS copies FROM whole GROUP BY said),
+maximal AS (
+  SELECT conv_id, copies FROM different d WHERE NOT EXISTS (
+    SELECT 1 FROM different o
+    WHERE o.said[1] = d.said[1] AND len(o.said) > len(d.said) AND o.said[1:len(d.said)] = d.said)),
+shown AS (
+  SELECT conv_id, copies, pos, greatest(floor(pos / 64), 0)::BIGINT AS part, coalesce(role, 'unknown') AS role,
+         coalesce(text, '') AS text
+  FROM turns JOIN maximal USING (conv_id))
+SELECT conv_id, part, copies, count(*) AS n_turns,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS trained_chars,
+       string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY pos, role, text) AS text
+FROM shown GROUP BY conv_id, part, copies
+"""
+
 ORACLE = {
     "op1_mixing": MIXING,
+    "op2_chat_format": CHAT_FORMAT,
     "op3_host_rules": HOST_RULES,
 }
