@@ -22,11 +22,14 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[coded.indices.to_numpy()], bounds
 
 
-def text_slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20):
-    """The batch in slices of a bounded number of text bytes, at least one row each."""
+def text_slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
+    """The batch in parts of a bounded number of text bytes, at least one row each.
+
+    The parts are copies: some Arrow string functions misread arrays that start inside a buffer.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // most_bytes
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b > a:
-            yield batch.slice(a, b - a)
+            yield batch.take(pa.array(np.arange(a, b)))
