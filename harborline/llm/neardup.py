@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.components import components
-from harborline.llm.wordhash import word_hashes
+from harborline.llm.wordhash import text_slices, word_hashes
 from harborline.sources.durable import stored
 
 SHINGLE = 5
@@ -90,41 +90,49 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flat, bounds = shingle_sets(batch.column("text"))
-        sizes = np.diff(bounds)
-        full = np.flatnonzero(sizes)
-        keys = np.zeros((len(full), BANDS), np.int64)
-        digests = np.zeros((2, len(sizes)), np.uint64)
-        if len(full):
-            starts = bounds[:-1][full]
-            for i, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
-                digests[i, full] = np.add.reduceat(_mixed64(flat ^ np.uint64(salt)), starts)
-            cuts = np.flatnonzero(np.diff(starts // CHUNK, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(full)]):
-                end = bounds[full[b - 1] + 1]
-                part = signatures(flat[starts[a] : end], starts[a:b] - starts[a], BANDS * ROWS)
-                keys[a:b] = _band_keys(part)
-        offsets = np.zeros(len(sizes) + 1, np.int32)
-        offsets[1:] = np.cumsum((sizes > 0) * BANDS)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").cast(pa.int64()),
-                pa.array(sizes.astype(np.int64)),
-                pa.array(digests[0].view(np.int64)),
-                pa.array(digests[1].view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
-            ],
-            names=["doc_id", "n_shingles", "digest", "digest2", "bands"],
-        )
+        for rows in text_slices(batch):
+            yield _sign(rows)
+
+
+def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+    flat, bounds = shingle_sets(batch.column("text"))
+    sizes = np.diff(bounds)
+    full = np.flatnonzero(sizes)
+    keys = np.zeros((len(full), BANDS), np.int64)
+    digests = np.zeros((2, len(sizes)), np.uint64)
+    if len(full):
+        starts = bounds[:-1][full]
+        for i, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            digests[i, full] = np.add.reduceat(_mixed64(flat ^ np.uint64(salt)), starts)
+        cuts = np.flatnonzero(np.diff(starts // CHUNK, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(full)]):
+            end = bounds[full[b - 1] + 1]
+            part = signatures(flat[starts[a] : end], starts[a:b] - starts[a], BANDS * ROWS)
+            keys[a:b] = _band_keys(part)
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    offsets[1:] = np.cumsum((sizes > 0) * BANDS)
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("doc_id").cast(pa.int64()),
+            pa.array(sizes.astype(np.int64)),
+            pa.array(digests[0].view(np.int64)),
+            pa.array(digests[1].view(np.int64)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
+        ],
+        names=["doc_id", "n_shingles", "digest", "digest2", "bands"],
+    )
 
 
 def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flat, bounds = shingle_sets(batch.column("text"))
-        sets = pa.ListArray.from_arrays(
-            pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64))
-        )
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), sets], names=["id", "shingles"])
+        for rows in text_slices(batch):
+            flat, bounds = shingle_sets(rows.column("text"))
+            sets = pa.ListArray.from_arrays(
+                pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").cast(pa.int64()), sets], names=["id", "shingles"]
+            )
 
 
 def _cell_links(ids, sets, probe, member, label) -> list[tuple[int, int]]:
