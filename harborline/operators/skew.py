@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from harborline.sources.durable import stored
 
-# Fixed bounds: no key list is longer than MAX_HOT, so broadcasting it is always safe.
-MAX_HOT = 1000
-TRACKED_KEYS = 20000
+ROWS_PER_SPLIT = 4_000_000  # a key with more rows is split, however small its share
+# The key list holds at most as many keys as there are shuffle partitions, or this many:
+# broadcasting it is always safe. The sketch tracks twenty times as many.
+LISTED_KEYS = 10_000
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -17,28 +18,31 @@ def _partitions(spark: SparkSession) -> int:
 
 
 def _listed_keys(df: DataFrame, key: Column, name: str) -> DataFrame:
-    """``(name, _splits)`` for the values of ``key`` larger than a fair shuffle partition.
+    """``(name, _splits)`` for the values of ``key`` with more rows than a fair shuffle
+    partition or than ``ROWS_PER_SPLIT``, whichever is less.
 
-    One scan of the key into a mergeable sketch: no shuffle of rows, at most ``MAX_HOT``
-    result rows. ``_splits`` is twice the key's share of the shuffle partitions. The list
+    One scan of the key into a mergeable sketch: no shuffle of rows, a bounded number of
+    result rows. A split gets about half the rows that make a key hot. The list
     is stored: the sketch's counts may vary from run to run, and both sides of a join have
     to see the same splits, also after a lost executor.
     """
     partitions = _partitions(df.sparkSession)
-    threshold = max(1.0 / partitions, 1.0 / MAX_HOT)
-    share = F.col("hit.count") / F.col("n")
+    listed = max(LISTED_KEYS, partitions)
+    tracked = min(20 * listed, 1_000_000)
+    hot = F.least(F.col("n") / partitions, F.lit(float(ROWS_PER_SPLIT)))
+    count = F.col("hit.count")
     return stored(
         df.select(key.alias(name))
         .where(F.col(name).isNotNull())
         .agg(
-            F.expr(f"approx_top_k({name}, {MAX_HOT}, {TRACKED_KEYS})").alias("hits"),
+            F.expr(f"approx_top_k({name}, {listed}, {tracked})").alias("hits"),
             F.count("*").alias("n"),
         )
         .select(F.explode("hits").alias("hit"), "n")
-        .where((share >= threshold) & (F.col("hit.count") > 1))
+        .where((count >= hot) & (count > 1))
         .select(
             F.col("hit.item").alias(name),
-            F.greatest(F.ceil(share * 2 * partitions), F.lit(2)).cast("int").alias("_splits"),
+            F.greatest(F.ceil(2 * count / hot), F.lit(2)).cast("int").alias("_splits"),
         )
     )
 

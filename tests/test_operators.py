@@ -323,3 +323,15 @@ def test_codes_of_many_values_with_one_prefix(spark):
     assert sorted(got) == [(c, i) for i, c in enumerate(sorted(c for c, _ in got))]
     ranges = ranking.in_ranges(values.distinct(), "c").groupBy("_range").count().agg(F.max("count")).first()[0]
     assert ranges < 20_000
+
+
+def test_a_small_share_is_split_among_many_partitions(spark):
+    """0.05 % of the rows is more than one of 5,000 partitions should get."""
+    rows = spark.range(200_000).select(F.when(F.col("id") < 100, -1).otherwise(F.col("id")).alias("k"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        listed = skew.hot_keys(rows.coalesce(2), ["k"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r._splits for r in listed] == [5]
