@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from harborline.config import CRUISE
 from harborline.functions.numeric import exact_mean, percent
-from harborline.functions.text import labelled_line, printed, strip_code_fences
+from harborline.functions.text import labelled_line, printed, render, strip_code_fences
 
 TOP = 10
 SHOWN_ROWS = 20
@@ -18,6 +18,8 @@ NO_RESULTS = "Query returned no results."
 # Replies used when a reply lacks its labels.
 DEFAULT_REASON = "Question may be outside available data scope."
 DEFAULT_SUGGESTION = "Try asking about brand performance, occupancy, revenue, or pricing."
+# Fixed value: the reply to a question that the data cannot answer.
+REFUSAL = "I can't answer that with the available data. {reason} Try asking: '{suggestion}'"
 
 
 def _active() -> Column:
@@ -252,6 +254,12 @@ def parse_validation(replies: DataFrame, column: str) -> DataFrame:
     )
 
 
+def refusals(parsed: DataFrame) -> DataFrame:
+    """Adds ``refusal`` to parsed validations: the reply to questions that are not answerable."""
+    text = render(REFUSAL, reason=F.col("reason"), suggestion=F.col("suggestion"))
+    return parsed.withColumn("refusal", F.when(~F.col("answerable"), text))
+
+
 def result_lines(result: DataFrame, order: Sequence[Column]) -> DataFrame:
     """``(line_no, line)``: header, a rule of 60 dashes and the first 20 rows as text."""
     cells = [printed(F.col(f.name), f.dataType.simpleString()) for f in result.schema.fields]

@@ -21,14 +21,16 @@ def revenue_watch(
     index: WordIndex | None = None,
     decisions: DataFrame | None = None,
     auto_approve: bool = False,
+    recommendations: DataFrame | None = None,
 ) -> DataFrame:
     """Actions on the most urgent anomalies, each with its prompt and current status.
 
-    The recommendation text stays NULL: it is written elsewhere, from the prompt.
+    Recommendations are written elsewhere, from the prompts; a table of them, see
+    ``propose_actions``, fills the column, which is NULL without one.
     """
     found = anomalies(occupancy, config.min_occupancy, config.max_cancellation, config.scan_limit)
     chosen = stored(first_anomalies(found, top))
-    proposed = propose_actions(chosen, run_at, top=None)
+    proposed = propose_actions(chosen, run_at, recommendations, top=None)
     decided = decide(proposed, decisions, auto_approve)
     prompts = (
         chosen.select(anomaly_key().alias("query_id"), action_key(run_at).alias("action_id"))

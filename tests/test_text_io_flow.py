@@ -299,3 +299,12 @@ def test_free_sql_leaves_no_view(spark):
     got = questions.run_sql(spark, "SELECT sum(id) AS s FROM numbers_mart", {"numbers_mart": spark.range(4)})
     assert got.first().s == 6
     assert not spark.catalog.tableExists("numbers_mart")
+
+
+def test_refusal_of_a_question_outside_the_data(spark):
+    rows = [("ANSWERABLE: no\nREASON: No weather data.\nSUGGESTION: revenue by region",), ("ANSWERABLE: yes",)]
+    parsed = questions.parse_validation(spark.createDataFrame(rows, "reply string"), "reply")
+    got = [r.refusal for r in questions.refusals(parsed).collect()]
+    assert got == [
+        "I can't answer that with the available data. No weather data. Try asking: 'revenue by region'", None
+    ]
