@@ -90,11 +90,16 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     id comes after all others and is nobody's next. An empty table gives no rows. Further
     columns of the input are not read.
     """
+    # one key that is never null, so that both joins below read the same shuffle of the texts
+    key_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     texts = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")).alias("key"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     lengths = stored(
-        texts.groupBy("doc_id").agg(F.max(F.length("text")).cast("long").alias("n_chars"))
+        texts.groupBy(F.expr("try_cast(key AS bigint)").alias("doc_id")).agg(
+            F.max(F.length("text")).cast("long").alias("n_chars")
+        )
     )
     following = successors(lengths, "doc_id").select(F.col("value").alias("doc_id"), "next")
     first = following.agg(F.min("doc_id")).first()[0]
@@ -104,14 +109,18 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         )
     )
     # every document sends its start to the one before it; ids are distinct in `order`
-    before = order.select(F.col("doc_id").alias("to"), "next", F.floor(F.col("n_chars") / 4).alias("need"))
+    before = order.select(
+        key_of("doc_id").alias("to"),
+        key_of("next").alias("from"),
+        F.floor(F.col("n_chars") / 4).cast("int").alias("need"),
+    )
     starts = (
-        texts.join(before, texts["doc_id"] == before["next"])
-        .select("to", F.substring("text", F.lit(1), F.col("need").cast("int")).alias("start"))
+        texts.join(before, F.col("key") == F.col("from"))
+        .select("to", F.substring("text", F.lit(1), F.col("need")).alias("start"))
         .groupBy("to")
         .agg(F.min("start").alias("start"))
     )
-    joined = texts.join(starts, F.col("doc_id").eqNullSafe(F.col("to")), "left")
+    joined = texts.join(starts, F.col("key") == F.col("to"), "left")
     n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(
         F.substring("text", F.lit(1), n - cut),
@@ -119,7 +128,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     made = stored(
         joined.withColumn("edited", edited).select(
-            "doc_id",
+            F.expr("try_cast(key AS bigint)").alias("doc_id"),
             n.cast("long").alias("n_chars"),
             F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
             sketch(F.col("text")).alias("own"),
