@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +11,8 @@ import regex
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
-MOST_WORDS = 1_000_000  # words remembered by a Python worker before it starts anew
+MOST_WORDS = 400_000  # words remembered by a Python worker before it starts anew
+MOST_PARTS = 100_000  # parts of words remembered beside them
 # fixed value: the split of a text into parts that are encoded on their own
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # a cut before a space is a cut between parts unless the space stands between other white space
@@ -54,8 +54,8 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.parts: dict[str, list[int]] = {}
         self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int32)
 
     def _part(self, part: str) -> list[int]:
         word = part.encode("utf-8").decode("latin-1").translate(self.letters)
@@ -81,9 +81,10 @@ class Encoder:
             lengths.append(len(flat) - before)
         first = len(self.known)
         self.known.update(zip(words, range(first, first + len(words))))
-        ends = len(self.ids) + np.cumsum(np.array(lengths, np.int64))
-        self.starts = np.concatenate([self.starts, ends - lengths])
-        self.lengths = np.concatenate([self.lengths, np.array(lengths, np.int64)])
+        sizes = np.array(lengths, np.int32)
+        ends = len(self.ids) + np.cumsum(sizes, dtype=np.int32)
+        self.starts = np.concatenate([self.starts, ends - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
         self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
 
     def _numbers(self, words: list[str]) -> np.ndarray:
@@ -91,7 +92,7 @@ class Encoder:
         new = [w for w in words if w not in known]
         if new:
             self._learn(list(dict.fromkeys(new)))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the texts' offsets into them. Null is empty."""
@@ -116,8 +117,10 @@ class Encoder:
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if len(self.known) > MOST_WORDS or len(self.parts) > MOST_WORDS:
+        if len(self.known) > MOST_WORDS:
             self._forget()
+        if len(self.parts) > MOST_PARTS:
+            self.parts = {}
         split = pc.split_pattern(texts, " ")
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
@@ -126,9 +129,11 @@ class Encoder:
         heads = split.flatten().take(pa.array(bounds[:-1]))
         numbers[bounds[:-1]] = self._numbers(heads.to_pylist())
         lengths = self.lengths[numbers]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(self.starts[numbers] - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.ids[at], ends[bounds]
+        ends = np.zeros(len(lengths) + 1, np.int32)
+        np.cumsum(lengths, out=ends[1:])
+        at = np.repeat(self.starts[numbers] - ends[:-1], lengths)
+        at += np.arange(ends[-1], dtype=np.int32)
+        return self.ids[at], ends[bounds].astype(np.int64)
 
 
 @lru_cache(maxsize=1)

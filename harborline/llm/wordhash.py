@@ -26,10 +26,12 @@ def text_slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
     """The batch in parts of a bounded number of text bytes, at least one row each.
 
     The parts are copies: some Arrow string functions misread arrays that start inside a buffer.
+    Memory of a finished part goes back to the system before the next one.
     """
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // most_bytes
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b > a:
+            pa.default_memory_pool().release_unused()
             yield batch.take(pa.array(np.arange(a, b)))
