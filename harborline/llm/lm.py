@@ -148,7 +148,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trained(net: Network, classes: np.ndarray, round_: int):
-    """A task's own copy of the network after its masked words, weighted by their number."""
+    """A task's own copy of the network after its masked words, weighted by their number.
+
+    A one stands behind the copy's values, so that their weighted sum ends with the weights.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = {k: v.copy() for k, v in net.items()}, 0
@@ -164,7 +167,7 @@ def _trained(net: Network, classes: np.ndarray, round_: int):
                 learn(own, context(padded, at[part]), classes[ids[part]])
             seen += len(masked)
         if seen:
-            yield _one_row(seen, flat(own))
+            yield _one_row(seen, np.append(flat(own), 1.0))
 
     return run
 
@@ -210,12 +213,12 @@ def train(encoded: DataFrame) -> tuple[Network, np.ndarray, np.ndarray]:
     net = fresh_network(counts, classes)
     size = len(flat(net))
     for r in range(ROUNDS):
-        copies = stored(
-            encoded.select("ids").mapInArrow(_trained(net, classes, r), "weight double, values array<float>")
+        copies = encoded.select("ids").mapInArrow(
+            _trained(net, classes, r), "weight double, values array<float>"
         )
-        weight = copies.agg(F.sum("weight")).first()[0]
-        if weight:
-            net = shaped(_total(copies, size, F.col("weight") * F.col("value")) / weight)
+        summed = _total(copies, size + 1, F.col("weight") * F.col("value"))
+        if summed[-1]:
+            net = shaped(summed[:-1] / summed[-1])
     return net, classes, shares_of_class(counts, classes)
 
 
