@@ -8,6 +8,7 @@ corpus, gives the rest. A document's score is the sum of its words' log-probabil
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ WIDTH = 16  # numbers per word
 HIDDEN = 32
 OWN = 96  # frequent words that are a class of their own
 CLASSES = 128
-MASKED = 8  # one in so many words is masked and learnt from in a round
+MASKED = 8  # one in so many words is masked at a time; all residues have their turn
 ROUNDS = 2
 BATCH = 2048
 RATE = 0.5
@@ -147,6 +148,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["values"])
 
 
+def mask_turns(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The turn, below ``MASKED``, in which each word is masked: its place in its text, moved
+    by a phase that follows from the whole text, so a layout repeated by many texts is met at
+    every phase."""
+    phases = [crc32(ids[a:b].astype("<u2")) % MASKED for a, b in zip(bounds[:-1], bounds[1:])]
+    inside = np.arange(len(ids)) - np.repeat(bounds[:-1] - np.array(phases, np.int64), np.diff(bounds))
+    return inside % MASKED
+
+
 def _trained(net: Network, classes: np.ndarray, round_: int):
     """A task's own copy of the network after its masked words, weighted by their number.
 
@@ -158,14 +168,13 @@ def _trained(net: Network, classes: np.ndarray, round_: int):
         for batch in batches:
             ids, bounds = _ids_of(batch)
             padded, at = windows(ids, bounds)
-            # every text gives each MASKED-th word, from another word on in every round
-            inside = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-            masked = np.flatnonzero(inside % MASKED == (round_ * 3) % MASKED)
-            masked = np.random.default_rng(round_).permutation(masked)
-            for a in range(0, len(masked), BATCH):
-                part = masked[a : a + BATCH]
-                learn(own, context(padded, at[part]), classes[ids[part]])
-            seen += len(masked)
+            turns = mask_turns(ids, bounds)
+            for turn in range(round_, MASKED, ROUNDS):
+                masked = np.random.default_rng(turn).permutation(np.flatnonzero(turns == turn))
+                for a in range(0, len(masked), BATCH):
+                    part = masked[a : a + BATCH]
+                    learn(own, context(padded, at[part]), classes[ids[part]])
+                seen += len(masked)
         if seen:
             yield _one_row(seen, np.append(flat(own), 1.0))
 
@@ -204,8 +213,8 @@ def train(encoded: DataFrame) -> tuple[Network, np.ndarray, np.ndarray]:
     """Network, class of every id and log-share of every id in its class.
 
     Words are counted over all texts. In every round each task teaches its own copy of the
-    network on one word in eight of each of its texts, and the copies are averaged by the
-    number of words they have seen. What a round gathers is one copy per task; what the
+    network on its share of the masks' turns, and the copies are averaged by the number of
+    words they have seen. Over the rounds every word of every text is masked once. What a round gathers is one copy per task; what the
     driver holds is one network of fixed size.
     """
     counts = _total(encoded.select("ids").mapInArrow(_counted, "values array<long>"), VOCABULARY, F.col("value"))
