@@ -1,13 +1,19 @@
 """Scoring by masked pseudo-likelihood with a small bidirectional window network.
 
 Every word is predicted from the two words before and after it. The network gives the
-probability of the word's class; the word's share of its class, counted over the whole
-corpus, gives the rest. A document's score is the sum of its words' log-probabilities.
+probability of the class of the word's id; the id's share of its class and the word's share
+of its id, both counted over the whole corpus, give the rest. A document's score is the sum
+of its words' log-probabilities.
+
+Ids are hashes of words, so that the network has a fixed size. The words themselves are
+counted in a table of their own, which grows with the corpus, and their counts are joined
+back to the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
@@ -15,18 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.wordhash import text_slices, word_hashes
+from harborline.llm.wordhash import distinct_words, hashes_of, text_slices
 from harborline.sources.durable import stored
 
-VOCABULARY = 8192  # word ids: hashes of lower-case words; a fixed size for any corpus
+VOCABULARY = 8192  # ids the network knows: hashes of lower-case words
 SIDE = 2  # words on each side of the masked one
 WIDTH = 16  # numbers per word
 HIDDEN = 32
 OWN = 96  # frequent words that are a class of their own
-CLASSES = 128
+CLASSES = 128  # the others' classes are bands of like frequency and near equal mass
 MASKED = 8  # one in so many words is masked at a time; all residues have their turn
 ROUNDS = 2
 BATCH = 2048
+AT_ONCE = 512  # words scored at once, so the work stays in the cache
 RATE = 0.5
 SHAPES = {
     "words": (VOCABULARY + 1, WIDTH),  # the last row stands beyond the ends of a text
@@ -36,6 +43,7 @@ SHAPES = {
     "out_bias": (CLASSES,),
 }
 Network = dict[str, np.ndarray]
+SCORED = ["doc_id", "n_tokens", "log_prob"]
 
 
 def fresh_network(counts: np.ndarray, classes: np.ndarray, seed: int = 7) -> Network:
@@ -58,11 +66,14 @@ def shaped(values: np.ndarray) -> Network:
 
 
 def word_classes(counts: np.ndarray) -> np.ndarray:
-    """The most frequent ids are classes of their own, the others are dealt to the rest."""
+    """The most frequent ids are classes of their own; the others, in the order of their
+    counts, are cut into bands of near equal total count."""
     order = np.lexsort((np.arange(VOCABULARY), -counts))
     classes = np.empty(VOCABULARY, np.int64)
     classes[order[:OWN]] = np.arange(OWN)
-    classes[order[OWN:]] = OWN + np.arange(VOCABULARY - OWN) % (CLASSES - OWN)
+    mass = counts[order[OWN:]] + 1.0
+    middle = (np.cumsum(mass) - mass / 2) / mass.sum()
+    classes[order[OWN:]] = OWN + (middle * (CLASSES - OWN)).astype(np.int64)
     return classes
 
 
@@ -88,11 +99,12 @@ def context(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def forward(net: Network, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, hidden values and log-probabilities of all classes."""
-    x = net["words"][around].reshape(len(around), -1)
+    x = np.take(net["words"], around, axis=0).reshape(len(around), -1)
     h = np.tanh(x @ net["hidden"] + net["hidden_bias"])
     scores = h @ net["out"] + net["out_bias"]
     scores -= scores.max(axis=1, keepdims=True)
-    return x, h, scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+    scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
+    return x, h, scores
 
 
 def learn(net: Network, around: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
@@ -112,22 +124,42 @@ def learn(net: Network, around: np.ndarray, target: np.ndarray, rate: float = RA
     np.subtract.at(net["words"], around.ravel(), rate * n / 32 * dx)
 
 
-def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    hashes, bounds = word_hashes(texts)
-    return (hashes % np.uint64(VOCABULARY)).astype(np.uint16), bounds
+def _cells(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    data, width = values.tobytes(), values.itemsize
+    return pa.array([data[width * a : width * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every text's ids and its words' places among the words of its piece.
+
+    A piece is a slice of a batch. Its first row carries its distinct words with their ids
+    and counts.
+    """
     for batch in batches:
         for rows in text_slices(batch):
-            ids, bounds = word_ids(rows.column("text"))
-            data = ids.astype("<u2").tobytes()
-            cells = [data[2 * a : 2 * b] for a, b in zip(bounds[:-1], bounds[1:])]
+            words, places, bounds = distinct_words(rows.column("text"))
+            ids = (hashes_of(words) % np.uint64(VOCABULARY)).astype("<u2")
+            once = np.minimum(np.arange(rows.num_rows + 1), 1).astype(np.int32) * len(words)
+            on_first = lambda values: pa.ListArray.from_arrays(pa.array(once), values)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(cells, pa.binary())], names=["doc_id", "ids"]
+                [
+                    rows.column("doc_id"),
+                    _cells(ids[places], bounds),
+                    pa.array([uuid4().int >> 65] * rows.num_rows, pa.int64()),
+                    _cells(places.astype("<u4"), bounds),
+                    on_first(words.cast(pa.string())),
+                    on_first(pa.array(ids.astype(np.int32))),
+                    on_first(pa.array(np.bincount(places, minlength=len(words)).astype(np.int64))),
+                ],
+                names=["doc_id", "ids", "piece", "places", "words", "word_ids", "ns"],
             )
 
 
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _worded(batches):
+        yield batch.select(["doc_id", "ids"])
+
+
 def _ids_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     cells = batch.column("ids").to_pylist()
     bounds = np.concatenate([[0], np.cumsum([len(c) // 2 for c in cells])]).astype(np.int64)
@@ -181,21 +213,50 @@ def _trained(net: Network, classes: np.ndarray, round_: int):
     return run
 
 
+def _log_probs(net: Network, classes: np.ndarray, shares: np.ndarray, ids: np.ndarray, bounds: np.ndarray):
+    """Log-probability of every place's id."""
+    padded, at = windows(ids, bounds)
+    logp = shares[ids]
+    for a in range(0, len(ids), AT_ONCE):
+        part = slice(a, a + AT_ONCE)
+        found = forward(net, context(padded, at[part]))[2]
+        logp[part] += found[np.arange(len(found)), classes[ids[part]]]
+    return logp
+
+
+def _summed(doc_ids, bounds: np.ndarray, logp: np.ndarray) -> list:
+    """Every text's words are added up from 0, so equal texts have equal sums wherever they stand."""
+    sizes = np.diff(bounds)
+    sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logp, minlength=len(sizes))
+    return [doc_ids, pa.array(sizes), pa.array(sums.astype(np.float64))]
+
+
 def _scored(net: Network, classes: np.ndarray, shares: np.ndarray):
+    """Scores of ids alone, without the words' shares of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, bounds = _ids_of(batch)
-            padded, at = windows(ids, bounds)
-            logp = shares[ids]
-            for a in range(0, len(ids), BATCH):
-                part = slice(a, a + BATCH)
-                found = forward(net, context(padded, at[part]))[2]
-                logp[part] += found[np.arange(len(found)), classes[ids[part]]]
-            sums = np.concatenate([[0.0], np.cumsum(logp)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sums[bounds[1:]] - sums[bounds[:-1]])],
-                names=["doc_id", "n_tokens", "log_prob"],
-            )
+            logp = _log_probs(net, classes, shares, ids, bounds)
+            yield pa.RecordBatch.from_arrays(_summed(batch.column("doc_id"), bounds, logp), names=SCORED)
+
+    return run
+
+
+def _scored_pieces(net: Network, classes: np.ndarray, shares: np.ndarray, counts: np.ndarray):
+    """Scores of a piece's texts, given the corpus' counts of the piece's words."""
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        place = words.column("place").to_numpy()
+        id_of, share_of = np.zeros(len(place), np.int64), np.zeros(len(place))
+        id_of[place] = words.column("id").to_numpy()
+        share_of[place] = np.log(words.column("n").to_numpy())
+        share_of -= np.log(counts[id_of])
+        cells = texts.column("places").to_pylist()
+        bounds = np.concatenate([[0], np.cumsum([len(c) // 4 for c in cells])]).astype(np.int64)
+        places = np.frombuffer(b"".join(cells), "<u4")
+        logp = _log_probs(net, classes, shares, id_of[places], bounds) + share_of[places]
+        return pa.Table.from_arrays(_summed(texts.column("doc_id"), bounds, logp), names=SCORED)
 
     return run
 
@@ -209,7 +270,11 @@ def _total(rows: DataFrame, size: int, value) -> np.ndarray:
     return out
 
 
-def train(encoded: DataFrame) -> tuple[Network, np.ndarray, np.ndarray]:
+def id_counts(encoded: DataFrame) -> np.ndarray:
+    return _total(encoded.select("ids").mapInArrow(_counted, "values array<long>"), VOCABULARY, F.col("value"))
+
+
+def train(encoded: DataFrame, counts: np.ndarray | None = None) -> tuple[Network, np.ndarray, np.ndarray]:
     """Network, class of every id and log-share of every id in its class.
 
     Words are counted over all texts. In every round each task teaches its own copy of the
@@ -217,7 +282,7 @@ def train(encoded: DataFrame) -> tuple[Network, np.ndarray, np.ndarray]:
     words they have seen. Over the rounds every word of every text is masked once. What a round gathers is one copy per task; what the
     driver holds is one network of fixed size.
     """
-    counts = _total(encoded.select("ids").mapInArrow(_counted, "values array<long>"), VOCABULARY, F.col("value"))
+    counts = id_counts(encoded) if counts is None else counts
     classes = word_classes(counts)
     net = fresh_network(counts, classes)
     size = len(flat(net))
@@ -231,6 +296,15 @@ def train(encoded: DataFrame) -> tuple[Network, np.ndarray, np.ndarray]:
     return net, classes, shares_of_class(counts, classes)
 
 
+def counted_words(encoded: DataFrame) -> DataFrame:
+    """``piece, place, id, n``: every piece's words with their counts in the whole corpus."""
+    words = encoded.select(
+        "piece", F.posexplode(F.arrays_zip("words", "word_ids", "ns")).alias("place", "w")
+    ).select("piece", "place", F.col("w.words").alias("word"), F.col("w.word_ids").alias("id"), F.col("w.ns").alias("ns"))
+    corpus = stored(words.groupBy("word").agg(F.sum("ns").alias("n")))
+    return words.join(corpus, "word").select("piece", "place", "id", "n")
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob`` of every document.
 
@@ -243,7 +317,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    encoded = stored(texts.mapInArrow(_encoded, f"doc_id {kind}, ids binary"))
-    scored = encoded.mapInArrow(_scored(*train(encoded)), f"doc_id {kind}, n_tokens long, log_prob double")
+    encoded = stored(
+        texts.mapInArrow(
+            _worded,
+            f"doc_id {kind}, ids binary, piece long, places binary, "
+            "words array<string>, word_ids array<int>, ns array<long>",
+        )
+    )
+    counts = id_counts(encoded)
+    run = _scored_pieces(*train(encoded, counts), counts)
+    by_piece = encoded.select(F.col("piece").alias("of"), "doc_id", "places").groupBy("of")
+    scored = by_piece.cogroup(counted_words(encoded).groupBy("piece")).applyInArrow(
+        run, f"doc_id {kind}, n_tokens long, log_prob double"
+    )
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return scored.withColumn("mean_log_prob", mean)

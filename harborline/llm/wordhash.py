@@ -8,18 +8,27 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of the texts, and the texts' offsets into them."""
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of the texts, every word's place among them, and the texts' offsets."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     flat = split.flatten()
     bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
     real = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
     coded = flat.filter(pa.array(real)).dictionary_encode()
-    if not len(coded):
-        return np.zeros(0, np.uint64), bounds
-    hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
-    return hashes[coded.indices.to_numpy()], bounds
+    return coded.dictionary, coded.indices.to_numpy(), bounds
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of the texts, and the texts' offsets into them."""
+    words, places, bounds = distinct_words(texts)
+    return hashes_of(words)[places], bounds
 
 
 def text_slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):

@@ -26,3 +26,28 @@ def test_the_masks_phase_follows_the_text():
     assert set(turns[:, 0]) == set(range(lm.MASKED))
     assert (np.sort(turns, axis=1) == np.repeat(np.arange(lm.MASKED), 2)).all()
     assert (lm.mask_turns(texts[5], np.array([0, 16])) == turns[5]).all()
+
+
+def test_words_of_one_id_have_shares_of_their_own(make_docs):
+    by_id, i = {}, 0
+    while True:
+        first = by_id.setdefault(int(lm.hashes_of(lm.pa.array([f"w{i}"]))[0] % lm.VOCABULARY), i)
+        if first != i:
+            break
+        i += 1
+    often, rare = f"w{first}", f"W{i}"
+    rows = [(k, often, "s") for k in range(30)] + [(100 + k, rare, "s") for k in range(2)]
+    rows += [(200, f"{often} {rare} other", "s"), (201, "", "s")]
+    got = {r.doc_id: r for r in lm.score(make_docs(rows)).collect()}
+    assert len(got) == len(rows) and got[200].n_tokens == 3 and got[201].log_prob == 0
+    assert np.isclose(got[100].log_prob - got[0].log_prob, np.log(3 / 31))
+
+
+def test_classes_are_bands_of_frequency():
+    counts = np.random.default_rng(1).zipf(1.4, lm.VOCABULARY).clip(0, 10**6)
+    classes = lm.word_classes(counts)
+    rest = [counts[classes == c] for c in range(lm.OWN, lm.CLASSES)]
+    for more, less in zip(rest[:-1], rest[1:]):
+        assert more.min() >= less.max()
+    mass = np.array([(r + 1).sum() for r in rest])
+    assert mass.max() < 2 * mass.min()
