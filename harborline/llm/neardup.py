@@ -113,13 +113,14 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
     offsets[1:] = np.cumsum((sizes > 0) * BANDS)
     return pa.RecordBatch.from_arrays(
         [
+            batch.column("row"),
             batch.column("doc_id").cast(pa.int64()),
             pa.array(sizes.astype(np.int64)),
             pa.array(digests[0].view(np.int64)),
             pa.array(digests[1].view(np.int64)),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
         ],
-        names=["doc_id", "n_shingles", "digest", "digest2", "bands"],
+        names=["row", "doc_id", "n_shingles", "digest", "digest2", "bands"],
     )
 
 
@@ -131,7 +132,7 @@ def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").cast(pa.int64()), sets], names=["id", "shingles"]
+                [rows.column("row"), sets], names=["id", "shingles"]
             )
 
 
@@ -253,15 +254,18 @@ def _large_links(star: DataFrame, members: DataFrame, sets: DataFrame) -> DataFr
 
 
 def _candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(star, classes)``: texts that share a band, tied to the bucket's smallest id.
+    """``(star, classes)``: texts that share a band, tied to the bucket's smallest row.
 
-    Equal sets are one class, known by its smallest id, and only that one is banded.
+    Equal sets are one class, known by its smallest row, and only that one is banded;
+    ``least`` is the smallest id of its rows, null if none has one.
     """
     classes = stored(
-        signed.where("n_shingles > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("id"))
+        signed.where("n_shingles > 0")
+        .groupBy("digest", "digest2")
+        .agg(F.min("row").alias("id"), F.min("doc_id").alias("least"))
     )
-    first = signed.join(classes, ["digest", "digest2"]).where(F.col("doc_id") == F.col("id"))
-    banded = first.select("id", F.explode("bands").alias("key"))
+    first = signed.join(classes.select(F.col("id").alias("row")), "row", "left_semi")
+    banded = first.select(F.col("row").alias("id"), F.explode("bands").alias("key"))
     buckets = (
         banded.groupBy("key")
         .agg(F.min("id").alias("first"), F.max("id").alias("last"))
@@ -272,31 +276,21 @@ def _candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(star.distinct()), classes
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document.
+def _placed(source: DataFrame) -> DataFrame:
+    """``row, doc_id, n_shingles, component_id, kept`` of stored rows ``(row, doc_id, text)``.
 
-    Two documents are linked if their sets share at least 75 % of their union; the sets
-    themselves are compared, in full. ``component_id`` is the smallest id reachable over
-    links, ``kept`` marks the document that has it. Pairs are looked for among texts that
-    share a band, and no bucket or group has a cap: candidate groups of up to ``BLOCK``
-    texts are compared in one place, larger ones in cells of bounded size.
-
-    Null and empty texts have no shingles and are linked with nothing. Rows with equal
-    texts are linked; rows with one id are one document. A null id is nobody's component:
-    the row belongs to the smallest other id of its group, else to null. An empty table
-    gives no rows. Further columns of the input are not read.
+    ``row`` is every row's own key; ids are only looked at when the groups are known.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(
         source.mapInArrow(
-            _signed, "doc_id long, n_shingles long, digest long, digest2 long, bands array<long>"
+            _signed, "row long, doc_id long, n_shingles long, digest long, digest2 long, bands array<long>"
         )
     )
     star, classes = _candidates(signed)
     groups = stored(components(star))
-    wanted = groups.select(F.col("id").alias("doc_id"))
+    wanted = groups.select(F.col("id").alias("row"))
     sets = stored(
-        source.join(wanted, "doc_id", "left_semi").mapInArrow(_as_sets, "id long, shingles array<long>")
+        source.join(wanted, "row", "left_semi").mapInArrow(_as_sets, "id long, shingles array<long>")
     )
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     sized = stored(groups.join(sizes, "root"))
@@ -310,17 +304,61 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not large.isEmpty():
         links = links.unionByName(_large_links(star, stored(large), sets))
     roots = stored(components(links))
-    placed = classes.join(roots, "id", "left").select(
-        "digest", "digest2", F.coalesce("root", "id").alias("_root")
+    tied = stored(classes.join(roots, "id", "left").withColumn("_root", F.coalesce("root", "id")).drop("root"))
+    # the smallest id's class stays, the smallest digest where that id has several; nulls come last
+    order = F.struct(F.col("least").isNull(), "least", "digest", "digest2")
+    heads = tied.groupBy("_root").agg(F.min(F.struct(order.alias("order"), "id", "least")).alias("head"))
+    placed = tied.join(heads, "_root").select(
+        "digest", "digest2",
+        F.col("head.least").alias("_least"),
+        (F.col("id") == F.col("head.id")).alias("_stays"),
+        F.col("head.id").alias("_head"),
+    )
+    alone = F.col("_head").isNull()  # no shingles
+    of_id = F.col("_stays") & F.coalesce(F.col("doc_id") == F.col("_least"), F.lit(False))
+    kept = F.when(alone, True).when(F.col("_least").isNull(), F.col("row") == F.col("_head")).otherwise(of_id)
+    return signed.join(stored(placed), ["digest", "digest2"], "left").select(
+        "row",
+        "doc_id",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"),
+        kept.alias("kept"),
     )
-    return (
-        signed.join(stored(placed), ["digest", "digest2"], "left")
-        .withColumn("component_id", F.coalesce("_root", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document.
+
+    Two documents are linked if their sets share at least 75 % of their union; the sets
+    themselves are compared, in full. ``component_id`` is the smallest id reachable over
+    links, ``kept`` marks the document that has it. Pairs are looked for among texts that
+    share a band, and no bucket or group has a cap: candidate groups of up to ``BLOCK``
+    texts are compared in one place, larger ones in cells of bounded size.
+
+    Null and empty texts have no shingles and are linked with nothing. Rows with equal
+    texts are linked. Rows of one id with equal texts are one document and stay together;
+    rows of one id with other texts are judged by their own texts. A null id is nobody's
+    component: the row belongs to the smallest other id of its group, else to null, and of
+    a group of null ids alone one row stays. An empty table gives no rows. Further columns
+    of the input are not read.
+    """
+    source = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(text).alias("text"),
     )
+    return _placed(stored(source)).drop("row")
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns."""
-    dropped = stored(near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_dropped")))
-    return docs.join(dropped, F.col(doc_id).eqNullSafe(F.col("_dropped")), "left_anti")
+    """The rows that ``near_duplicates`` keeps, with all their columns.
+
+    Rows go by keys of their own, stored with them, so a row never goes for another of its id.
+    """
+    key = "_row_of_neardup"
+    held = stored(docs.withColumn(key, F.monotonically_increasing_id()))
+    source = held.select(
+        F.col(key).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")
+    )
+    dropped = stored(_placed(source).where("not kept").select(F.col("row").alias(key)))
+    return held.join(dropped, key, "left_anti").select(*docs.columns)
