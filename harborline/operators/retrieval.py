@@ -21,6 +21,7 @@ from harborline.operators.ranking import top_k
 from harborline.sources.durable import stored
 
 QUERY_BLOCK = 1024
+MOST_TABLES = 256
 DEFAULT_K = 6
 
 
@@ -231,22 +232,36 @@ def _keyed(frame: DataFrame, name: str, planes: np.ndarray) -> DataFrame:
     return signed.select(name, F.posexplode("keys").alias("table", "key"))
 
 
+def sign_tables(n: int, in_bucket: int, likely: float, missed: float) -> tuple[int, int]:
+    """``(bits, tables)`` for ``n`` vectors: the bits that leave about ``in_bucket`` vectors to
+    a key, or as many as let ``MOST_TABLES`` tables keep the chance of a miss."""
+
+    def needed(bits: int) -> int:
+        same = (1 - np.arccos(likely) / np.pi) ** bits
+        return int(np.ceil(np.log(missed) / np.log1p(-same)))
+
+    bits = max(1, int(np.ceil(np.log2(max(n / in_bucket, 2)))))
+    while bits > 1 and needed(bits) > MOST_TABLES:
+        bits -= 1
+    return bits, needed(bits)
+
+
 def build_sign_index(
     corpus: DataFrame, in_bucket: int = 64, likely: float = 0.6, missed: float = 0.02, seed: int = 42
 ) -> SignIndex:
     """Index of ``corpus(doc_id, embedding)``.
 
-    A table has as many planes as leave about ``in_bucket`` vectors to a key, so candidates
-    are a falling share of a growing corpus. There are as many tables as it takes to miss a
-    vector of cosine ``likely`` with a chance of ``missed``, at most 256.
+    There are as many tables as it takes to miss a vector of cosine ``likely`` with a chance
+    of ``missed``, whatever the corpus' size. A table has as many planes as leave about
+    ``in_bucket`` vectors to a key, so candidates are a falling share of a growing corpus,
+    until more than ``MOST_TABLES`` tables would be needed; from there on the planes stay as
+    many as they are and candidates are a fixed share.
     """
     length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     vectors = stored(corpus.where(length > 0).select("doc_id", "embedding"))
     n = max(vectors.count(), 1)
     first = vectors.select(F.size("embedding")).first()
-    bits = max(1, int(np.ceil(np.log2(max(n / in_bucket, 2)))))
-    same = (1 - np.arccos(likely) / np.pi) ** bits
-    tables = min(256, int(np.ceil(np.log(missed) / np.log1p(-same))))
+    bits, tables = sign_tables(n, in_bucket, likely, missed)
     planes = np.random.default_rng(seed).standard_normal((tables, bits, first[0] if first else 1))
     return SignIndex(stored(_keyed(vectors, "doc_id", planes)), vectors, planes)
 
@@ -262,8 +277,8 @@ def lsh_topk(
 ) -> DataFrame:
     """Approximate top-k: candidates share the signs of some hyperplanes, then exact cosine.
 
-    No candidate is dropped for a low similarity. A query with fewer than k candidates gets
-    fewer rows.
+    No candidate is dropped for a low similarity. A query with fewer than k candidates is
+    answered by the exact ``cosine_topk``, so it has k rows if the corpus has.
     """
     index = index or build_sign_index(corpus)
     found = stored(lsh_candidates(queries, index))
@@ -277,4 +292,8 @@ def lsh_topk(
         .where("size > 0")
         .select("query_id", "doc_id", F.round(dot("v", "q") / F.col("size"), 6).alias("similarity"))
     )
-    return _ranked(scored, k)
+    ranked = stored(_ranked(scored, k))
+    full = stored(ranked.where(F.col("rank") == k).select("query_id"))
+    short = queries.join(full, "query_id", "left_anti").select("query_id", "embedding")
+    exact = cosine_topk(short, index.vectors, k)
+    return ranked.join(full, "query_id", "left_semi").unionByName(exact)
