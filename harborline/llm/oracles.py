@@ -1,5 +1,7 @@
 """SQL for the rows of the registered queries, written from the results' definitions."""
 
+from harborline.llm import licenses
+
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -105,8 +107,98 @@ SELECT conv_id, part, copies, count(*) AS n_turns,
 FROM shown GROUP BY conv_id, part, copies
 """
 
+FILTER_AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+counted AS (
+  SELECT doc_id, part, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         min(doc_id) OVER (PARTITION BY t) AS first_id
+  FROM d),
+judged AS (
+  SELECT doc_id, part,
+         CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS mask
+  FROM counted),
+labelled AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM judged LEFT JOIN labelled USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+met AS (
+  SELECT part, filter_order, step, mask, n, good, toxic,
+         contains(mask, filter_order[step]) AS fails,
+         coalesce(list_min([strpos(filter_order, x) for x in string_split(mask, '') if x <> '']), 9) AS gone_at
+  FROM masks, steps),
+totals AS (
+  SELECT part, filter_order, step,
+         coalesce(sum(n) FILTER (gone_at > step), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (gone_at = step), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails AND gone_at < step), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (mask = filter_order[step]), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (gone_at = step), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (gone_at = step), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley
+FROM totals
+"""
+
+
+def _license_scan() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(
+        f"({quoted(licenses._words_of(p))}, '{label}')" for p, label in licenses.PHRASES.items()
+    )
+    templates = ", ".join(
+        f"({i}, '{label}', {licenses.block_step(len(ws))}, {quoted(dict.fromkeys(ws))})"
+        for i, (label, ws) in enumerate((label, licenses._words_of(t)) for label, t in licenses.TEMPLATES)
+    )
+    return rf"""
+WITH phrases(p, label) AS (VALUES {phrases}),
+templates(template, label, step, own) AS (VALUES {templates}),
+split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents),
+placed AS (SELECT r, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM split),
+heads AS (SELECT r, i, p, label FROM placed JOIN phrases ON p[1] = w),
+places AS (
+  SELECT h.r, i, label FROM heads h JOIN split s USING (r) WHERE s.ws[i + 1 : i + len(p)] = p),
+base AS (
+  SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         list(DISTINCT label) AS labels FROM places GROUP BY r),
+words AS (SELECT template, label, step, len(own) AS size, unnest(own) AS w FROM templates),
+shares AS (
+  SELECT r, template, label, size, (i // step) - back AS block, count(DISTINCT w) AS shared
+  FROM placed JOIN words USING (w), (SELECT unnest([0, 1]) AS back)
+  WHERE (i // step) - back >= 0 GROUP BY ALL),
+found AS (
+  SELECT r, list(DISTINCT label) AS labels, max(shared::DOUBLE / size) AS best
+  FROM shares WHERE 100 * shared >= {licenses.THRESHOLD} * size GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+       first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(b.labels, f.labels))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM split LEFT JOIN base b USING (r) LEFT JOIN found f USING (r)
+"""
+
+
 ORACLE = {
     "op1_mixing": MIXING,
     "op2_chat_format": CHAT_FORMAT,
     "op3_host_rules": HOST_RULES,
+    "op11_filter_audit": FILTER_AUDIT,
+    "op12_license_scan": _license_scan(),
 }
