@@ -178,6 +178,8 @@ def license_blocks(
     A candidate carries the hits around it, as many as its block can have. Templates are joined
     by word and broadcast; they are a parameter and small. No row of two blocks is ever formed.
     """
+    if not templates:
+        raise ValueError("no templates to look for")
     spark = rows.sparkSession
     order = _by_rarity(rows, templates)
     place = {w: i for i, w in enumerate(order)}
@@ -190,9 +192,11 @@ def license_blocks(
         for p, w in enumerate(own[: len(own) - need + 1]):
             entries.append((w, number, label, p, len(own), need, step, own))
             prefix.add(w)
-    wanted = spark.createDataFrame(
-        entries, "w string, template int, label string, p int, size int, need int, step int, own array<string>"
-    )
+    fields = ["w", "template", "label", "p", "size", "need", "step"]
+    listed = [
+        F.struct(*[F.lit(v).alias(c) for c, v in zip(fields, e)], _strings(e[-1]).alias("own")) for e in entries
+    ]
+    wanted = spark.range(1).select(F.inline(F.array(*listed)))
     around = lambda j: F.slice(F.col("hits"), F.greatest(j - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
     near = F.transform(
         "hits",
