@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.components import components
-from harborline.llm.wordhash import text_slices, word_hashes
+from harborline.llm.wordhash import in_small_batches, text_slices, word_hashes
 from harborline.sources.durable import stored
 
 SHINGLE = 5
@@ -282,7 +282,7 @@ def _placed(source: DataFrame) -> DataFrame:
     ``row`` is every row's own key; ids are only looked at when the groups are known.
     """
     signed = stored(
-        source.mapInArrow(
+        in_small_batches(source).mapInArrow(
             _signed, "row long, doc_id long, n_shingles long, digest long, digest2 long, bands array<long>"
         )
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm.ranks import buckets_for, numbered
 from harborline.llm.tokens import default_vocabulary, encoder
-from harborline.llm.wordhash import text_slices
+from harborline.llm.wordhash import in_small_batches, text_slices
 from harborline.sources.durable import stored
 
 WINDOW = 2048
@@ -231,7 +231,7 @@ def pack(
     """
     path = vocabulary or default_vocabulary()
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = stored(texts.mapInArrow(_pieces_of(path, window, end_id), _PIECE))
+    pieces = stored(in_small_batches(texts).mapInArrow(_pieces_of(path, window, end_id), _PIECE))
     found = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
     counts = {r["length"]: r["n"] for r in found}
     order = ["doc_id", "start", "ids_crc32", "doc_tokens"]

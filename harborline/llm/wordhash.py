@@ -6,6 +6,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+BATCH_BYTES = 4 << 20  # of text that come to a Python worker at once
+
+
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's Arrow batches are bounded in bytes.
+
+    By default only their number of rows is bounded, and long texts then fill the buffers of
+    both the executor and its Python workers. A smaller limit that the session has stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = texts.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return texts
 
 
 def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -31,7 +47,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes_of(words)[places], bounds
 
 
-def text_slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
+def text_slices(batch: pa.RecordBatch, most_bytes: int = BATCH_BYTES):
     """The batch in parts of a bounded number of text bytes, at least one row each.
 
     The parts are copies: some Arrow string functions misread arrays that start inside a buffer.
