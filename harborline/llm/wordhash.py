@@ -19,8 +19,9 @@ def in_small_batches(texts: DataFrame) -> DataFrame:
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = texts.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH_BYTES:
-        conf.set(name, str(BATCH_BYTES))
+    limit = conf.get(name).lower().removesuffix("b")
+    if limit.lstrip("-").isdigit() and not 0 < int(limit) <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
     return texts
 
 
