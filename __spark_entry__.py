@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.functions.numeric import decimals_to_double, row_total
-from harborline.operators import lookup, metrics, profile, quality, retrieval, split
+from harborline.operators import cells, lookup, metrics, profile, quality, retrieval, split, wordindex
 from harborline.plans import (
     actions,
     anomalies,
@@ -647,16 +647,40 @@ def lsh_quality(star, wh):
     )
 
 
+def _every_fiftieth(star: StarSource) -> tuple[DataFrame, DataFrame]:
+    """Vectors with an id divisible by 50 as queries, all vectors as the corpus."""
+    corpus = _vectors(star)[1]
+    return corpus.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), corpus
+
+
+@_query
+def ivf_topk(star, wh):
+    return cells.ivf_topk(*_every_fiftieth(star))
+
+
+@_query
+def ivf_quality(star, wh):
+    """Share of the exact top-k that the cells hold, and of all pairs whose codes are read."""
+    asked, corpus = _every_fiftieth(star)
+    index = cells.build_cell_index(corpus)
+    exact = stored(retrieval.cosine_topk(asked, corpus).select("query_id", "doc_id"))
+    hits = cells.search(asked, index).join(exact, ["query_id", "doc_id"]).count()
+    share = cells.candidate_share(asked, index)
+    return star.spark.range(1).select(
+        F.lit(hits >= 0.9 * exact.count()).alias("recall_reached"), F.lit(share < 0.5).alias("below_half")
+    )
+
+
 @_query
 def tfidf_topk(star, wh):
-    index = retrieval.build_word_index(wh.document_index.select("doc_id", "text"))
-    return retrieval.tfidf_topk(_questions(star), index)
+    index = wordindex.build_word_index(wh.document_index.select("doc_id", "text"))
+    return wordindex.tfidf_topk(_questions(star), index)
 
 
 @_query
 def tfidf_documents(star, wh):
-    index = retrieval.build_word_index(star.table("documents").select("doc_id", "text"))
-    return retrieval.tfidf_topk(_questions(star), index)
+    index = wordindex.build_word_index(star.table("documents").select("doc_id", "text"))
+    return wordindex.tfidf_topk(_questions(star), index)
 
 
 # --- driver contract -----------------------------------------------------------------

@@ -1,39 +1,28 @@
-"""Top-k cosine retrieval: exact over vectors, exact over word weights, and approximate.
+"""Top-k cosine retrieval over vectors: exact, and approximate by random hyperplanes.
 
-The corpus side is always partitioned; only the query side is broadcast, in blocks of at
-most ``QUERY_BLOCK`` queries.
+The corpus side is always partitioned; up to ``QUERY_BLOCK`` queries travel to it, more are
+partitioned themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harborline.functions.text import counted_words
 from harborline.operators.ranking import top_k
 from harborline.sources.durable import stored
 
 QUERY_BLOCK = 1024
 MOST_TABLES = 256
 DEFAULT_K = 6
-
-
-def query_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
-    """The queries in blocks small enough to broadcast: stored, counted, and split by key
-    hash where they are too many."""
-    queries = stored(queries)
-    n = queries.count()
-    if n <= QUERY_BLOCK:
-        return [queries]
-    blocks = -(-2 * n // QUERY_BLOCK)
-    return [queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+GRID_QUERIES, GRID_ROWS = 16_384, 65_536  # queries and corpus rows that meet in one task
+CELL_QUERIES, CELL_ROWS = 512, 8_192  # of which so many are multiplied at once
 
 
 class _Best:
@@ -111,101 +100,60 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K) -> Da
 
     ``queries(query_id, embedding)``, ``corpus(doc_id, embedding)`` ->
     ``(query_id, rank, doc_id, similarity)``. A zero vector has no similarity and never
-    appears. Each block of queries costs one pass over the corpus.
+    appears. Up to ``QUERY_BLOCK`` queries travel to the corpus; more are met with it in a
+    grid, see ``grid_topk``. Either way the corpus is read once.
     """
-    blocks = query_blocks(queries, "query_id")
-    return _ranked(reduce(DataFrame.unionByName, [_score_block(corpus, b, k) for b in blocks]), k)
-
-
-@dataclass(frozen=True)
-class WordIndex:
-    """TF-IDF index of a corpus: built once, asked many times."""
-
-    documents: DataFrame  # (doc_id, counted, norm), one row per document with a word
-    weights: DataFrame  # (word, idf), one row per distinct word
-    n: int
-
-
-def build_word_index(corpus: DataFrame) -> WordIndex:
-    """Index of ``corpus(doc_id, text)`` over whole texts; every word is itself the key.
+    queries = stored(queries.select("query_id", "embedding"))
+    if queries.count() <= QUERY_BLOCK:
+        return _ranked(_score_block(corpus, queries, k), k)
+    return grid_topk(queries, corpus, k)
+
+
+def grid_topk(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int = DEFAULT_K,
+    block: int = GRID_QUERIES,
+    part: int = GRID_ROWS,
+) -> DataFrame:
+    """``cosine_topk`` for any number of queries, none of which comes to the driver.
 
-    Words are counted inside their text's row, so texts are never shuffled. Document counts
-    of words are folded inside the tasks. Only the norms need a join of words with their
-    weights; a word of every document is a skewed key there, which AQE splits.
+    Queries are dealt by hash into blocks of about ``block``, corpus rows into parts of about
+    ``part``; every pair of a block and a part is one group that a task scores, keeping the k
+    best rows per query. So a query is sent once per part and a corpus row once per block:
+    below ``block`` queries the corpus is shuffled once. A group holds one block and one part,
+    whatever the sizes of the two sides.
     """
-    counted = stored(
-        corpus.select("doc_id", counted_words(F.col("text")).alias("counted")).where(F.size("counted") > 0)
-    )
-    n = corpus.count()
-    postings = counted.select("doc_id", F.explode("counted").alias("c")).select("doc_id", "c.word", "c.tf")
-    idf = F.log(F.lit(n + 1) / (F.count("*") + 1)) + 1
-    weights = stored(postings.groupBy("word").agg(idf.alias("idf")))
-    squares = postings.join(weights, "word").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = squares.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return WordIndex(stored(counted.join(norms, "doc_id")), weights, n)
-
-
-def _asked_weights(index: WordIndex, queries: DataFrame) -> DataFrame:
-    """``(query_id, word, weight, idf)`` of a block of queries, norm 1 per query."""
-    unseen = F.log(F.lit(index.n + 1).cast("double")) + 1
-    words = stored(
-        queries.select("query_id", F.explode(counted_words(F.col("text"))).alias("c")).select(
-            "query_id", "c.word", "c.tf"
+    queries = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
+    corpus = corpus.where("embedding IS NOT NULL").select("doc_id", "embedding")
+    blocks = max(1, -(-queries.count() // block))
+    parts = max(1, -(-corpus.count() // part))
+    schema = _result_schema(queries, corpus)
+
+    def dealt(rows: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        everywhere = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
+        return rows.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(own_n)).cast("int").alias(own)).select(
+            "*", everywhere.alias(other)
         )
-    )
-    weighed = words.join(index.weights, "word", "left").withColumn(
-        "w", F.col("tf") * F.coalesce("idf", unseen)
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
-    return weighed.select(
-        "query_id", "word", (F.col("w") / norm).alias("weight"), "idf"
-    )
-
-
-def _tfidf_block(index: WordIndex, queries: DataFrame, k: int) -> DataFrame:
-    """Best k of every task per query. The words of a block of questions go to the tasks,
-    where documents are scored row by row; no row per query and document is shuffled."""
-    asked = _asked_weights(index, queries).where("idf IS NOT NULL").toPandas()
-    schema = _result_schema(queries, index.documents)
-    if asked.empty:
-        return queries.sparkSession.createDataFrame([], schema)
-    query_ids = sorted(asked["query_id"].unique().tolist())
-    row = {q: i for i, q in enumerate(query_ids)}
-    column = {w: i for i, w in enumerate(sorted(asked["word"].unique()))}
-    weights = np.zeros((len(column), len(query_ids)))
-    for q, w, weight, idf in asked[["query_id", "word", "weight", "idf"]].itertuples(index=False):
-        weights[column[w], row[q]] = weight * idf
-    wanted = F.filter("counted", lambda c: c["word"].isin(list(column)))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(query_ids, k)
-        for batch in batches:
-            if batch.empty:
-                continue
-            counts = np.zeros((len(batch), len(column)))
-            for i, (found, tfs) in enumerate(zip(batch["words"], batch["tfs"])):
-                for w, tf in zip(found, tfs):
-                    counts[i, column[w]] = tf
-            shared = counts @ weights / batch["norm"].to_numpy()[:, None]
-            ids = batch["doc_id"].to_numpy()
-            for j in range(len(query_ids)):
-                scores = np.where(shared[:, j] > 0, _six_decimals(shared[:, j]), np.nan)
-                best.add(j, ids, scores)
-        yield from best.frames()
-
-    found = index.documents.select("doc_id", "norm", wanted.alias("found")).where(F.size("found") > 0)
-    slim = found.select("doc_id", "norm", F.col("found.word").alias("words"), F.col("found.tf").alias("tfs"))
-    return slim.mapInPandas(score, schema)
 
-
-def tfidf_topk(queries: DataFrame, index: WordIndex, k: int = DEFAULT_K) -> DataFrame:
-    """Exact top-k by cosine of TF-IDF word weights, six decimals, ties by id.
-
-    ``queries(query_id, text)`` -> ``(query_id, rank, doc_id, similarity)``. Documents that
-    share no word with a query do not appear.
-    """
-    blocks = query_blocks(queries, "query_id")
-    return _ranked(reduce(DataFrame.unionByName, [_tfidf_block(index, b, k) for b in blocks]), k)
+    def score(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame(columns=schema.names)
+        best = _Best(asked["query_id"].tolist(), k)
+        unit = _unit(np.stack(asked["embedding"].to_numpy()).astype("float64"))
+        ids = held["doc_id"].to_numpy()
+        for a in range(0, len(held), CELL_ROWS):
+            vectors = np.stack(held["embedding"].iloc[a : a + CELL_ROWS].to_numpy()).astype("float64")
+            vectors = _unit(vectors)
+            for b in range(0, len(unit), CELL_QUERIES):
+                cosine = _six_decimals(unit[b : b + CELL_QUERIES] @ vectors.T)
+                for j, row in enumerate(cosine):
+                    best.add(b + j, ids[a : a + CELL_ROWS], row)
+        return next(best.frames(), pd.DataFrame(columns=schema.names))
+
+    left = dealt(queries, "query_id", "block", blocks, "part", parts).groupBy("block", "part")
+    right = dealt(corpus, "doc_id", "part", parts, "block", blocks).groupBy("block", "part")
+    return _ranked(left.cogroup(right).applyInPandas(score, schema), k)
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.functions.text import render, thousands, two_decimals
-from harborline.operators.retrieval import DEFAULT_K, WordIndex, build_word_index, tfidf_topk
+from harborline.operators.wordindex import DEFAULT_K, WordIndex, build_word_index, tfidf_topk
 from harborline.sources.durable import stored
 
 # Formats of the retrieval query and of the prompts.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from harborline.config import CRUISE, DomainConfig
-from harborline.operators.retrieval import WordIndex
+from harborline.operators.wordindex import WordIndex
 from harborline.plans.actions import ACT_ON, action_key, decide, propose_actions
 from harborline.plans.anomalies import anomalies, first_anomalies
 from harborline.plans.enrichment import anomaly_key, anomaly_prompts

