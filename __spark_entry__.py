@@ -604,6 +604,16 @@ def model_runs(star, wh):
     )
 
 
+@_query
+def gbt_nodes(star, wh):
+    """Each model saved, read back as a table of nodes and scored by it: rows and features that agree."""
+    found = [
+        models.compare_with_nodes(_train(name)(star, wh), ["booking_id"], _fresh_path(star, name))
+        for name in models.SPECS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @_query
 def feature_importance(star, wh):
     return models.top_features(_train("revenue_per_night")(star, wh))

@@ -23,6 +23,7 @@ from harborline.sources.durable import stored
 
 DEFAULT_K = 6
 GROUP_POSTINGS = 65_536  # a group closes with the document that reaches so many
+DOCUMENT_COST = 64  # a document counts for so many more, so a group has at most 1,024
 SLICE_BLOCKS, SLICES = 250_000, 1_024  # rows of a folder of postings, and the most folders
 FEWEST_SLICES = 8
 FIRST_GROUPS = 4  # groups that a question is scored on to find what the others have to beat
@@ -45,8 +46,9 @@ class WordIndex:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(doc_id, words)`` to one row per group: its documents, its distinct words, and for
-    each of them the places of its documents and how often it stands there."""
+    """Rows ``(doc_id, words)`` to rows ``(group, word, docs, tfs)``: the places of a word's
+    documents in their group and how often it stands there. The row of the word null holds the
+    group's documents themselves."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         ids, listed = batch.column(0), batch.column(1)
@@ -58,45 +60,62 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(coded.dictionary)
         pairs, tf = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)
         doc, code = pairs // size, pairs % size
-        group_of_doc = np.cumsum(np.bincount(doc, minlength=len(ids))) // GROUP_POSTINGS
-        cuts = np.flatnonzero(np.diff(group_of_doc[doc], prepend=-1, append=-1))
+        cost = np.cumsum(np.bincount(doc, minlength=len(ids)) + DOCUMENT_COST) // GROUP_POSTINGS
+        cuts = np.flatnonzero(np.diff(cost[doc], prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:]):
             first, last = int(doc[a]), int(doc[b - 1])
             order = np.argsort(code[a:b], kind="stable")
             own = code[a:b][order]
-            starts = np.flatnonzero(np.diff(own, prepend=-1))
-            vocabulary = coded.dictionary.take(pa.array(own[starts]))
+            starts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), b - a)
+            offsets = pa.array(starts, pa.int32())
             columns = [
-                ids.slice(first, last - first + 1),
-                vocabulary,
-                pa.array(np.append(starts, b - a), pa.int32()),
-                pa.array(doc[a:b][order] - first, pa.int32()),
-                pa.array(tf[a:b][order], pa.int32()),
+                pa.array(np.full(len(starts) - 1, number), pa.int64()),
+                coded.dictionary.take(pa.array(own[starts[:-1]])),
+                pa.ListArray.from_arrays(offsets, pa.array(doc[a:b][order] - first, pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(tf[a:b][order], pa.int32())),
+                pa.nulls(len(starts) - 1, pa.list_(ids.type)),
             ]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), *lists], names=["group", "ids", "words", "starts", "docs", "tfs"]
-            )
+            names = ["group", "word", "docs", "tfs", "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            whole = [pa.array([number], pa.int64()), *[pa.nulls(1, c.type) for c in columns[1:4]]]
+            own_ids = ids.slice(first, last - first + 1)
+            whole.append(pa.ListArray.from_arrays(pa.array([0, len(own_ids)], pa.int32()), own_ids))
+            yield pa.RecordBatch.from_arrays(whole, names=names)
             number += 1
 
 
-def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups with the words' idf to rows ``(word, group, most, docs, ws)``; documents have norm 1."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            whole = {c: batch.column(c)[i].values for c in ("words", "starts", "docs", "tfs", "idfs")}
-            starts, docs, tf = (whole[c].to_numpy() for c in ("starts", "docs", "tfs"))
-            raw = tf * np.repeat(whole["idfs"].to_numpy(), np.diff(starts))
-            weight = raw / np.sqrt(np.bincount(docs, raw * raw))[docs]
-            offsets = pa.array(starts, pa.int32())
-            columns = [
-                whole["words"],
-                pa.array(np.full(len(starts) - 1, batch.column("group")[i].as_py()), pa.int64()),
-                pa.array(np.maximum.reduceat(weight, starts[:-1])),
-                pa.ListArray.from_arrays(offsets, whole["docs"]),
-                pa.ListArray.from_arrays(offsets, pa.array(weight)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "group", "most", "docs", "ws"])
+def _weighed(postings: pa.Table, idfs: pa.Table) -> pa.Table:
+    """A group's rows ``(word, group, docs, tfs)`` and ``(w, idf)`` to rows with weights; its
+    documents have norm 1."""
+    if not len(postings):
+        return _POSTING.empty_table()
+    postings, idfs = postings.sort_by("word"), idfs.sort_by("w")
+    docs, tfs = (postings.column(c).combine_chunks() for c in ("docs", "tfs"))
+    sizes = np.diff(docs.offsets.to_numpy())
+    at = docs.flatten().to_numpy()
+    raw = tfs.flatten().to_numpy() * np.repeat(idfs.column("idf").to_numpy(), sizes)
+    weight = raw / np.sqrt(np.bincount(at, raw * raw))[at]
+    starts = np.append(0, np.cumsum(sizes))
+    offsets = pa.array(starts, pa.int32())
+    columns = [
+        postings.column("word"),
+        postings.column("group"),
+        pa.array(np.maximum.reduceat(weight, starts[:-1])),
+        pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())),
+        pa.ListArray.from_arrays(offsets, pa.array(weight)),
+    ]
+    return pa.Table.from_arrays(columns, schema=_POSTING)
+
+
+_POSTING = pa.schema(
+    [
+        ("word", pa.string()),
+        ("group", pa.int64()),
+        ("most", pa.float64()),
+        ("docs", pa.list_(pa.int32())),
+        ("ws", pa.list_(pa.float64())),
+    ]
+)
 
 
 def _slice(slices: int) -> Column:
@@ -111,36 +130,31 @@ def build_word_index(corpus: DataFrame, slices: int | None = None) -> WordIndex:
     their documents' norms. A word of all documents has a row per group, not one list.
     """
     kind = corpus.schema["doc_id"].dataType.simpleString()
-    counted = corpus.select("doc_id", words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    split = corpus.select("doc_id", F.coalesce(words(F.col("text")), F.array()).alias("ws"))
     whole = stored(
-        counted.mapInArrow(
-            _grouped,
-            f"group long, ids array<{kind}>, words array<string>, starts array<int>, docs array<int>, tfs array<int>",
+        split.mapInArrow(
+            _grouped, f"group long, word string, docs array<int>, tfs array<int>, ids array<{kind}>"
         )
     )
     n = corpus.count()
-    found = whole.select("group", "starts", F.posexplode("words").alias("at", "word")).select(
-        "group", "at", "word", (F.get("starts", F.col("at") + 1) - F.get("starts", F.col("at"))).alias("df")
-    )
-    slices = slices or max(FEWEST_SLICES, min(SLICES, found.count() // SLICE_BLOCKS))
-    idf = F.log(F.lit(n + 1) / (F.sum("df") + 1)) + 1
+    postings = whole.where("word IS NOT NULL").select("group", "word", "docs", "tfs")
+    slices = slices or max(FEWEST_SLICES, min(SLICES, postings.count() // SLICE_BLOCKS))
+    idf = F.log(F.lit(n + 1) / (F.sum(F.size("docs")) + 1)) + 1
     weights = stored(
-        found.groupBy("word").agg(idf.alias("idf")).select("word", "idf", _slice(slices)).repartition("slice"),
+        postings.groupBy("word").agg(idf.alias("idf")).select("word", "idf", _slice(slices)).repartition("slice"),
         by="slice",
     )
-    by_group = (
-        found.join(weights.select("word", "idf"), "word")
-        .groupBy("group")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "idf"))), lambda x: x["idf"]).alias("idfs"))
-    )
+    known = weights.select("word", "idf").join(postings.select("group", "word"), "word")
+    by_group = known.select(F.col("group").alias("of"), F.col("word").alias("w"), "idf").groupBy("of")
     weighed = (
-        whole.join(by_group, "group")
-        .select("group", "words", "starts", "docs", "tfs", "idfs")
-        .mapInArrow(_weighed, "word string, group long, most double, docs array<int>, ws array<double>")
+        postings.groupBy("group")
+        .cogroup(by_group)
+        .applyInArrow(_weighed, "word string, group long, most double, docs array<int>, ws array<double>")
         .select("*", _slice(slices))
     )
     ordered = weighed.repartition("slice").sortWithinPartitions("slice", "word")
-    return WordIndex(stored(ordered, by="slice"), weights, whole.select("group", "ids"), n, slices)
+    groups = stored(whole.where("word IS NULL").select("group", "ids"))
+    return WordIndex(stored(ordered, by="slice"), weights, groups, n, slices)
 
 
 def asked_words(index: WordIndex, queries: DataFrame) -> DataFrame:
@@ -152,8 +166,7 @@ def asked_words(index: WordIndex, queries: DataFrame) -> DataFrame:
         .groupBy("query_id", "word")
         .agg(F.count("*").alias("tf"))
     )
-    asked = stored(counted.select("*", _slice(index.slices)))
-    weighed = asked.join(index.weights, ["slice", "word"], "left").withColumn(
+    weighed = counted.select("*", _slice(index.slices)).join(index.weights, ["slice", "word"], "left").withColumn(
         "w", F.col("tf") * F.coalesce("idf", unseen)
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from harborline.operators.metrics import accuracy, auc_roc, mean_absolute_error, r_squared
 from harborline.operators.split import stratified_split
+from harborline.operators.trees import importances, read_trees, score_rows
 from harborline.plans.features import FEATURES, revenue_per_night, with_upsell_label
 from harborline.sources.durable import stored
 
@@ -61,6 +62,7 @@ class TrainedModel:
     scored: DataFrame  # test rows with prediction and, for classifiers, probability
     run_log: DataFrame  # (run, kind, key, value)
     importance: DataFrame  # (feature, importance), best first
+    rows: DataFrame  # keys, inputs, label and is_test
 
 
 def model_rows(frame: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFrame:
@@ -137,7 +139,7 @@ def train(
     )
     metrics = score_metrics(scored, spec).unionByName(sizes).withColumn("kind", F.lit("metric"))
     run_log = params.unionByName(metrics).select(F.lit(spec.run).alias("run"), "kind", "key", "value")
-    return TrainedModel(spec, model, scored, run_log, importance)
+    return TrainedModel(spec, model, scored, run_log, importance, rows)
 
 
 def top_features(trained: TrainedModel, n: int = 5) -> DataFrame:
@@ -146,3 +148,28 @@ def top_features(trained: TrainedModel, n: int = 5) -> DataFrame:
 
 def save_model(trained: TrainedModel, path: str) -> None:
     trained.model.write().overwrite().save(path)
+
+
+def score_saved(frame: DataFrame, path: str) -> DataFrame:
+    """``frame`` with the prediction and score of the model saved at ``path``, walked as a table of
+    nodes: rows are neither assembled into vectors nor moved."""
+    return score_rows(frame, read_trees(frame.sparkSession, path), FEATURES)
+
+
+def compare_with_nodes(trained: TrainedModel, keys: list[str], path: str) -> DataFrame:
+    """One row: test rows, those that the saved nodes score as the model does, and the features
+    whose importance follows from the nodes' gains."""
+    save_model(trained, path)
+    saved = read_trees(trained.rows.sparkSession, path)
+    own = score_rows(trained.rows.where("is_test"), saved, FEATURES)
+    walked = own.select(*keys, F.col("prediction").alias("p"), F.col("score").alias("s"))
+    same = (F.abs(F.col("p") - F.col("prediction")) < 1e-9) & (F.abs(F.col("s") - F.col("score")) < 1e-9)
+    scores = trained.scored.join(walked, keys, "left").agg(
+        F.count("*").alias("test_rows"), F.count_if(same).alias("same_scores")
+    )
+    weights = importances(saved, FEATURES).withColumnRenamed("importance", "own")
+    near = F.abs(F.col("own") - F.col("importance")) < 1e-9
+    counted = trained.importance.join(weights, "feature").agg(F.count_if(near).alias("n"))
+    return scores.select(
+        F.lit(trained.spec.run).alias("run"), "test_rows", "same_scores", counted.scalar().alias("same_importances")
+    )

@@ -744,3 +744,21 @@ ORACLE["model_runs"] = statement(
         f"SELECT COUNT(*) AS c {_active} GROUP BY CAST(total_onboard_spend_usd AS DOUBLE) > {_median}",
     )
 )
+
+
+def _node_rows(run: str, groups: str) -> str:
+    """Every test row and all 18 features agree with the saved nodes."""
+    n = f"CAST((SELECT SUM(CEIL(CAST(0.2 AS DOUBLE) * c)) FROM ({groups}) x) AS BIGINT)"
+    return f"SELECT '{run}' AS run, {n} AS test_rows, {n} AS same_scores, CAST(18 AS BIGINT) AS same_importances"
+
+
+ORACLE["gbt_nodes"] = statement(
+    _node_rows("cancellation_risk", "SELECT COUNT(*) AS c FROM bookings GROUP BY is_cancelled")
+    + " UNION ALL "
+    + _node_rows("revenue_per_night", f"SELECT COUNT(*) AS c {_active}")
+    + " UNION ALL "
+    + _node_rows(
+        "upsell_propensity",
+        f"SELECT COUNT(*) AS c {_active} GROUP BY CAST(total_onboard_spend_usd AS DOUBLE) > {_median}",
+    )
+)
