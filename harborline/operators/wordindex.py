@@ -22,12 +22,12 @@ from harborline.operators.ranking import top_k
 from harborline.sources.durable import stored
 
 DEFAULT_K = 6
-GROUP_POSTINGS = 65_536  # a group closes with the document that reaches so many
-DOCUMENT_COST = 64  # a document counts for so many more, so a group has at most 1,024
+GROUP_POSTINGS = 65_536  # a group closes with the document that reaches so many, or with 1,024 documents
 SLICE_BLOCKS, SLICES = 250_000, 1_024  # rows of a folder of postings, and the most folders
 FEWEST_SLICES = 8
 FIRST_GROUPS = 4  # groups that a question is scored on to find what the others have to beat
 QUESTIONS_AT_ONCE = 256  # questions that one task scores on one group
+_ASKED = "weight > 0"  # true of every row; lets the planner read only the folders of asked words
 ROUNDING = 2e-6  # similarities have six decimals
 
 
@@ -45,11 +45,11 @@ class WordIndex:
     slices: int
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterator[pa.RecordBatch], postings: int) -> Iterator[pa.RecordBatch]:
     """Rows ``(doc_id, words)`` to rows ``(group, word, docs, tfs)``: the places of a word's
     documents in their group and how often it stands there. The row of the word null holds the
     group's documents themselves."""
-    number = TaskContext.get().partitionId() << 32
+    number = TaskContext.get().partitionId() << 32  # postings // 1024 more by document close it in time
     for batch in batches:
         ids, listed = batch.column(0), batch.column(1)
         bounds = listed.offsets.to_numpy() - listed.offsets[0].as_py()
@@ -60,7 +60,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(coded.dictionary)
         pairs, tf = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)
         doc, code = pairs // size, pairs % size
-        cost = np.cumsum(np.bincount(doc, minlength=len(ids)) + DOCUMENT_COST) // GROUP_POSTINGS
+        cost = np.cumsum(np.bincount(doc, minlength=len(ids)) + postings // 1024) // postings
         cuts = np.flatnonzero(np.diff(cost[doc], prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:]):
             first, last = int(doc[a]), int(doc[b - 1])
@@ -122,7 +122,9 @@ def _slice(slices: int) -> Column:
     return F.pmod(F.xxhash64("word"), F.lit(slices)).cast("int").alias("slice")
 
 
-def build_word_index(corpus: DataFrame, slices: int | None = None) -> WordIndex:
+def build_word_index(
+    corpus: DataFrame, slices: int | None = None, group_postings: int = GROUP_POSTINGS
+) -> WordIndex:
     """Index of ``corpus(doc_id, text)`` over whole texts; every word is itself the key.
 
     Words are counted where their texts lie. What is shuffled by word is one row per group and
@@ -133,7 +135,7 @@ def build_word_index(corpus: DataFrame, slices: int | None = None) -> WordIndex:
     split = corpus.select("doc_id", F.coalesce(words(F.col("text")), F.array()).alias("ws"))
     whole = stored(
         split.mapInArrow(
-            _grouped, f"group long, word string, docs array<int>, tfs array<int>, ids array<{kind}>"
+            lambda batches: _grouped(batches, group_postings), f"group long, word string, docs array<int>, tfs array<int>, ids array<{kind}>"
         )
     )
     n = corpus.count()
@@ -175,7 +177,8 @@ def asked_words(index: WordIndex, queries: DataFrame) -> DataFrame:
 
 def upper_bounds(index: WordIndex, asked: DataFrame) -> DataFrame:
     """``(query_id, group, bound)``: what no document of the group scores above."""
-    met = asked.join(index.postings.select("slice", "word", "group", "most"), ["slice", "word"])
+    most = index.postings.select("slice", "word", "group", "most")
+    met = asked.where(_ASKED).join(most, ["slice", "word"])
     return met.groupBy("query_id", "group").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"))
 
 
@@ -216,7 +219,7 @@ def score_groups(index: WordIndex, asked: DataFrame, pairs: DataFrame, k: int) -
         .agg(F.collect_list(F.struct("query_id", "terms")).alias("wanted"))
     )
     held = (
-        index.postings.join(asked.select("slice", "word").distinct(), ["slice", "word"])
+        index.postings.join(asked.where(_ASKED).select("slice", "word").distinct(), ["slice", "word"])
         .join(pairs.select("group").distinct(), "group", "left_semi")
         .groupBy("group")
         .agg(F.collect_list(F.struct("word", "docs", "ws")).alias("held"))

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from harborline.operators import lookup, metrics, quality, quantile, ranking, retrieval, skew, split
+from harborline.operators import lookup, metrics, quality, quantile, ranking, retrieval, skew, split, wordindex
 from harborline.operators.profile import guest_profile
 from harborline.sources import durable
 
@@ -193,13 +193,12 @@ def test_cosine_topk_with_ties_and_a_zero_vector(spark):
     assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == _brute(queries, corpus, 4)
 
 
-def test_many_queries_go_in_blocks(spark, monkeypatch):
+def test_many_queries_meet_the_corpus_in_a_grid(spark, monkeypatch):
     rng = np.random.default_rng(4)
     corpus = rng.normal(size=(30, 4)).astype("float32").astype("float64")
     queries = rng.normal(size=(25, 4)).astype("float32").astype("float64")
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 8)
     frame = _vectors(spark, queries, "query_id")
-    assert len(retrieval.query_blocks(frame, "query_id")) > 3
     got = retrieval.cosine_topk(frame, _vectors(spark, corpus, "doc_id"), 3)
     assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == _brute(queries, corpus, 3)
 
@@ -226,7 +225,7 @@ def test_tfidf_against_brute_force(spark):
     questions = ["alaska price", "cheap cabins?", "unseen words"]
     corpus = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
     asked = spark.createDataFrame(list(enumerate(questions)), "query_id int, text string")
-    got = retrieval.tfidf_topk(asked, retrieval.build_word_index(corpus), 3)
+    got = wordindex.tfidf_topk(asked, wordindex.build_word_index(corpus), 3)
 
     def tokens(t):
         return "".join(ch if ch.isalnum() else " " for ch in t.lower()).split()
@@ -270,20 +269,10 @@ def test_words_are_told_apart_whatever_their_hash(spark):
         F.concat_ws(" ", F.transform(F.sequence(F.col("id") * 100, F.col("id") * 100 + 99), lambda i: F.concat(F.lit("w"), i))).alias("text"),
     )
     asked = spark.createDataFrame([(i, f"w{i * 977}") for i in range(20)], "query_id long, text string")
-    got = retrieval.tfidf_topk(asked, retrieval.build_word_index(corpus), 3).collect()
+    got = wordindex.tfidf_topk(asked, wordindex.build_word_index(corpus), 3).collect()
     assert sorted((r.query_id, r.doc_id) for r in got) == [(i, i * 977 // 100) for i in range(20)]
 
 
-def test_tfidf_keeps_the_best_of_a_task_before_the_shuffle(spark):
-    corpus = spark.createDataFrame([(i, f"a b{i % 7} c{i}") for i in range(50)], "doc_id long, text string")
-    asked = spark.createDataFrame([(0, "a b3")], "query_id long, text string")
-    index = retrieval.build_word_index(corpus)
-    block = retrieval._tfidf_block(index, asked, 4)
-    plan = block._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "MapInPandas" in plan
-    assert block.count() <= 4 * block.rdd.getNumPartitions()
-
-
 def test_lsh_index_narrows_as_the_corpus_grows(spark):
     rng = np.random.default_rng(6)
     shares = []

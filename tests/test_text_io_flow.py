@@ -236,6 +236,10 @@ def test_training_logs_and_saves(spark, warehouse, tmp_path):
     path = str(tmp_path / "model")
     models.save_model(trained, path)
     assert len(PipelineModel.load(path).stages) == 2
+    agreed = models.compare_with_nodes(trained, ["booking_id"], path).first()
+    assert agreed.test_rows == agreed.same_scores > 0 and agreed.same_importances == len(features.FEATURES)
+    nulls = frame.limit(1).select(*[F.lit(None).cast("double").alias(c) for c in features.FEATURES])
+    assert models.score_saved(nulls, path).select("score").first()[0] is not None
     sinks.append_log(trained.run_log, str(tmp_path / "runs"))
     sinks.append_log(trained.run_log, str(tmp_path / "runs"))
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 2 * trained.run_log.count()
