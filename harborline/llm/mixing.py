@@ -150,7 +150,10 @@ def copies_of(size_hash: DataFrame, plan: DataFrame) -> DataFrame:
     )
     return (
         size_hash.join(per_source, _same(F.col("source"), F.col("_source")), "left")
-        .withColumn("times", F.col("copies") + (F.col("hash") < F.col("threshold")).cast("long"))
+        .withColumn(
+            "times",  # a source at its cap has nothing left, but empty documents lie below its threshold
+            F.least(F.col("copies") + (F.col("hash") < F.col("threshold")).cast("long"), F.lit(MOST_COPIES)),
+        )
         .drop("_source", "copies", "threshold")
     )
 

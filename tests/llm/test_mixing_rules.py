@@ -51,6 +51,13 @@ def test_mix_meets_targets(make_docs):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(make_docs(rows)).collect()))
 
 
+def test_empty_documents_are_copied_as_often_as_the_others(make_docs):
+    rows = [(i, "" if i % 2 else "w " * 9, "tiny") for i in range(40)]
+    rows += [(100 + i, "w " * 900, "vast") for i in range(40)]
+    taken = Counter(r.doc_id for r in mixing.mixed_rows(make_docs(rows)).collect())
+    assert max(taken.values()) == mixing.MOST_COPIES
+
+
 def test_mix_odd_rows(make_docs, odd_rows):
     got = mixing.mix(make_docs(odd_rows)).collect()
     _check(odd_rows, got)
