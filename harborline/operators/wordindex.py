@@ -38,7 +38,7 @@ class WordIndex:
     ``slice`` is a hash of the word and a folder of its own in ``postings`` and ``weights``.
     """
 
-    postings: DataFrame  # (slice, word, group, most, docs, ws): places in the group and weights
+    postings: DataFrame  # (slice, word, group, most, list): places in the group, then their weights
     weights: DataFrame  # (slice, word, idf), one row per distinct word
     groups: DataFrame  # (group, ids): the documents of a group by their places
     n: int
@@ -46,9 +46,10 @@ class WordIndex:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], postings: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``(doc_id, words)`` to rows ``(group, word, docs, tfs)``: the places of a word's
-    documents in their group and how often it stands there. The row of the word null holds the
-    group's documents themselves."""
+    """Rows ``(doc_id, words)`` to rows ``(group, at, word, list)``: the places of a word's
+    documents in their group, each followed by how often it stands there, as 32-bit numbers.
+    ``at`` numbers the words of a group. The row of the word null holds the group's documents
+    themselves."""
     number = TaskContext.get().partitionId() << 32  # postings // 1024 more by document close it in time
     for batch in batches:
         ids, listed = batch.column(0), batch.column(1)
@@ -58,8 +59,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], postings: int) -> Iterator[pa.Re
             continue
         doc = np.repeat(np.arange(len(ids), dtype=np.int64), np.diff(bounds))
         size = len(coded.dictionary)
-        pairs, tf = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)
-        doc, code = pairs // size, pairs % size
+        keys, tf = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)
+        doc, code = keys // size, keys % size
         cost = np.cumsum(np.bincount(doc, minlength=len(ids)) + postings // 1024) // postings
         cuts = np.flatnonzero(np.diff(cost[doc], prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -67,15 +68,16 @@ def _grouped(batches: Iterator[pa.RecordBatch], postings: int) -> Iterator[pa.Re
             order = np.argsort(code[a:b], kind="stable")
             own = code[a:b][order]
             starts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), b - a)
-            offsets = pa.array(starts, pa.int32())
+            pairs = np.stack([doc[a:b][order] - first, tf[a:b][order]], 1).astype("<i4")
+            n = len(starts) - 1
             columns = [
-                pa.array(np.full(len(starts) - 1, number), pa.int64()),
+                pa.array(np.full(n, number), pa.int64()),
+                pa.array(np.arange(n), pa.int32()),
                 coded.dictionary.take(pa.array(own[starts[:-1]])),
-                pa.ListArray.from_arrays(offsets, pa.array(doc[a:b][order] - first, pa.int32())),
-                pa.ListArray.from_arrays(offsets, pa.array(tf[a:b][order], pa.int32())),
-                pa.nulls(len(starts) - 1, pa.list_(ids.type)),
+                _binary(pairs.tobytes(), starts * 8),
+                pa.nulls(n, pa.list_(ids.type)),
             ]
-            names = ["group", "word", "docs", "tfs", "ids"]
+            names = ["group", "at", "word", "list", "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             whole = [pa.array([number], pa.int64()), *[pa.nulls(1, c.type) for c in columns[1:4]]]
             own_ids = ids.slice(first, last - first + 1)
@@ -84,38 +86,36 @@ def _grouped(batches: Iterator[pa.RecordBatch], postings: int) -> Iterator[pa.Re
             number += 1
 
 
+def _binary(data: bytes, offsets: np.ndarray) -> pa.Array:
+    """One value per pair of neighbouring offsets."""
+    buffers = [None, pa.py_buffer(offsets.astype("<i4").tobytes()), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+
+
 def _weighed(postings: pa.Table, idfs: pa.Table) -> pa.Table:
-    """A group's rows ``(word, group, docs, tfs)`` and ``(w, idf)`` to rows with weights; its
-    documents have norm 1."""
+    """A group's rows ``(group, at, word, list)`` and ``(of, n, idf)`` to rows with weights; its
+    documents have norm 1. A list holds all places as 32-bit numbers, then all weights as doubles."""
     if not len(postings):
         return _POSTING.empty_table()
-    postings, idfs = postings.sort_by("word"), idfs.sort_by("w")
-    docs, tfs = (postings.column(c).combine_chunks() for c in ("docs", "tfs"))
-    sizes = np.diff(docs.offsets.to_numpy())
-    at = docs.flatten().to_numpy()
-    raw = tfs.flatten().to_numpy() * np.repeat(idfs.column("idf").to_numpy(), sizes)
-    weight = raw / np.sqrt(np.bincount(at, raw * raw))[at]
+    postings, idfs = postings.sort_by("at"), idfs.sort_by("n")
+    lists = postings.column("list").to_pylist()
+    sizes = np.array([len(x) // 8 for x in lists])
+    docs, tfs = np.frombuffer(b"".join(lists), "<i4").reshape(-1, 2).T
+    raw = tfs * np.repeat(idfs.column("idf").to_numpy(), sizes)
+    weight = raw / np.sqrt(np.bincount(docs, raw * raw))[docs]
     starts = np.append(0, np.cumsum(sizes))
-    offsets = pa.array(starts, pa.int32())
-    columns = [
-        postings.column("word"),
-        postings.column("group"),
-        pa.array(np.maximum.reduceat(weight, starts[:-1])),
-        pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())),
-        pa.ListArray.from_arrays(offsets, pa.array(weight)),
-    ]
+    packed = [docs[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
+    most = pa.array(np.maximum.reduceat(weight, starts[:-1]))
+    columns = [postings.column("word"), postings.column("group"), most, pa.array(packed, pa.binary())]
     return pa.Table.from_arrays(columns, schema=_POSTING)
 
 
-_POSTING = pa.schema(
-    [
-        ("word", pa.string()),
-        ("group", pa.int64()),
-        ("most", pa.float64()),
-        ("docs", pa.list_(pa.int32())),
-        ("ws", pa.list_(pa.float64())),
-    ]
-)
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, "<i4", n), np.frombuffer(data, "<f8", n, 4 * n)
+
+
+_POSTING = pa.schema([("word", pa.string()), ("group", pa.int64()), ("most", pa.float64()), ("list", pa.binary())])
 
 
 def _slice(slices: int) -> Column:
@@ -135,23 +135,23 @@ def build_word_index(
     split = corpus.select("doc_id", F.coalesce(words(F.col("text")), F.array()).alias("ws"))
     whole = stored(
         split.mapInArrow(
-            lambda batches: _grouped(batches, group_postings), f"group long, word string, docs array<int>, tfs array<int>, ids array<{kind}>"
+            lambda batches: _grouped(batches, group_postings), f"group long, at int, word string, list binary, ids array<{kind}>"
         )
     )
     n = corpus.count()
-    postings = whole.where("word IS NOT NULL").select("group", "word", "docs", "tfs")
+    postings = whole.where("word IS NOT NULL").select("group", "at", "word", "list")
     slices = slices or max(FEWEST_SLICES, min(SLICES, postings.count() // SLICE_BLOCKS))
-    idf = F.log(F.lit(n + 1) / (F.sum(F.size("docs")) + 1)) + 1
+    idf = F.log(F.lit(n + 1) / (F.sum(F.octet_length("list") / 8) + 1)) + 1
     weights = stored(
         postings.groupBy("word").agg(idf.alias("idf")).select("word", "idf", _slice(slices)).repartition("slice"),
         by="slice",
     )
-    known = weights.select("word", "idf").join(postings.select("group", "word"), "word")
-    by_group = known.select(F.col("group").alias("of"), F.col("word").alias("w"), "idf").groupBy("of")
+    known = weights.select("word", "idf").join(postings.select("group", "at", "word"), "word")
+    by_group = known.select(F.col("group").alias("of"), F.col("at").alias("n"), "idf").groupBy("of")
     weighed = (
         postings.groupBy("group")
         .cogroup(by_group)
-        .applyInArrow(_weighed, "word string, group long, most double, docs array<int>, ws array<double>")
+        .applyInArrow(_weighed, "word string, group long, most double, list binary")
         .select("*", _slice(slices))
     )
     ordered = weighed.repartition("slice").sortWithinPartitions("slice", "word")
@@ -186,7 +186,7 @@ def _best_of_group(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataF
     for batch in batches:
         flat = []
         for ids, held, wanted in zip(batch["ids"], batch["held"], batch["wanted"]):
-            lists = {p["word"]: (np.asarray(p["docs"]), np.asarray(p["ws"])) for p in held}
+            lists = {p["word"]: _unpacked(p["list"]) for p in held}
             for q in wanted:
                 scores = np.zeros(len(ids))
                 for t in sorted(q["terms"], key=lambda t: t["word"]):
@@ -222,7 +222,7 @@ def score_groups(index: WordIndex, asked: DataFrame, pairs: DataFrame, k: int) -
         index.postings.join(asked.where(_ASKED).select("slice", "word").distinct(), ["slice", "word"])
         .join(pairs.select("group").distinct(), "group", "left_semi")
         .groupBy("group")
-        .agg(F.collect_list(F.struct("word", "docs", "ws")).alias("held"))
+        .agg(F.collect_list(F.struct("word", "list")).alias("held"))
     )
     kinds = asked.schema["query_id"].dataType.simpleString(), index.groups.schema["ids"].dataType.elementType.simpleString()
     met = index.groups.join(held, "group").join(wanted, "group").select("ids", "held", "wanted")
