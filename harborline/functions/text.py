@@ -37,36 +37,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def counted_words(text: Column) -> Column:
-    """``array<struct<word, tf>>`` of a text, counted inside its row.
-
-    Sorted words lie side by side; every place where the word changes starts a run.
-    """
-
-    def runs(s: Column) -> Column:
-        n = F.size(s)
-        changes = lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True))
-        starts = F.filter(F.sequence(F.lit(0), n - 1), changes)
-        counted = F.transform(
-            starts,
-            lambda at, j: F.struct(at.alias("at"), j.alias("j")),
-        )
-        return F.when(n > 0, _bound(F.struct(starts.alias("starts"), counted.alias("counted")), lambda x: F.transform(
-            x["counted"],
-            lambda c: F.struct(
-                F.get(s, c["at"]).alias("word"),
-                (F.coalesce(F.get(x["starts"], c["j"] + 1), n) - c["at"]).alias("tf"),
-            ),
-        ))).otherwise(F.array().cast("array<struct<word:string,tf:int>>"))
-
-    return _bound(F.sort_array(words(text)), runs)
-
-
-def _bound(value: Column, body) -> Column:
-    """``body(value)``, the value computed once and not for every element that reads it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strip(text: Column) -> Column:
     """Without white space, line ends included, at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
