@@ -11,7 +11,8 @@ from harborline.sources.durable import stored
 
 INNER = 2  # words of an inner substring
 WINDOW = 5  # inner substrings of a k-mer, which so has 6 words
-SKETCH = 64  # smallest anchors that make the fingerprint
+SKETCH = 64  # smallest anchors in the printed digest; likeness reads all anchors
+BAND = 32  # words; offsets of matches in two neighbouring bands count as one place
 
 
 def anchors(text: Column) -> Column:
@@ -53,40 +54,118 @@ def anchors(text: Column) -> Column:
     )
 
 
-def sketch(text: Column) -> Column:
-    """The smallest distinct anchors of a text, at most ``SKETCH``, in ascending order."""
-    hashes = F.transform(anchors(text), lambda a: a["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+def _runs(ordered: Column, value) -> Column:
+    """Where the runs of equal ``value(element)`` start in a sorted array, its size at the end."""
+    places = F.sequence(F.lit(0), F.size(ordered) - 1)
+    starts = F.filter(places, lambda i: (i == 0) | (value(F.get(ordered, i)) != value(F.get(ordered, i - 1))))
+    return F.concat(starts, F.array(F.size(ordered)))
 
 
-def as_text(found: Column) -> Column:
-    return F.array_join(F.transform(found, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+def _by_run(ordered: Column, value, body) -> Column:
+    """``body(elements, index of the first)`` of every run of a sorted array that has elements."""
+    return let(
+        _runs(ordered, value),
+        lambda cuts: F.transform(
+            F.slice(cuts, F.lit(1), F.size(cuts) - 1),
+            lambda start, k: body(F.slice(ordered, start + 1, F.get(cuts, k + 1) - start), start),
+        ),
+    )
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common anchors: the smallest ones of both texts together, and how
-    many of them are in both. Two texts without anchors are alike, 1."""
-    both = F.array_intersect(a, b)
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+def numbered(found: Column) -> Column:
+    """All anchors as ``(hash, nth, at)``: ``nth`` counts earlier ones of that hash in the text."""
+    none = F.array().cast("array<struct<hash:bigint,nth:int,at:int>>")
+
+    def count(run: Column, _start: Column) -> Column:
+        return F.transform(
+            run, lambda a, j: F.struct(a["hash"].alias("hash"), j.alias("nth"), a["at"].alias("at"))
+        )
+
     return let(
-        union,
-        lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(
-            F.size(F.array_intersect(u, both)).cast("double") / F.size(u)
+        F.sort_array(found),
+        lambda ordered: F.when(F.size(ordered) == 0, none).otherwise(
+            F.flatten(_by_run(ordered, lambda a: a["hash"], count))
         ),
     )
 
 
+def offsets(a: Column, b: Column) -> Column:
+    """How far every anchor of ``a`` moved to its match in ``b``, ascending.
+
+    Both are ``numbered``. The n-th anchor of a hash matches the n-th one of the other text;
+    sorted together, matches stand side by side, the one of ``a`` first.
+    """
+
+    def sided(anchors_: Column, side: int) -> Column:
+        return F.transform(anchors_, lambda x: F.struct(x["hash"], x["nth"], F.lit(side), x["at"]))
+
+    def moved(both: Column) -> Column:
+        names = "array<struct<hash:bigint,nth:int,side:int,at:int>>"
+        pairs = F.zip_with(
+            F.slice(both, F.lit(1), F.size(both) - 1).cast(names),
+            F.slice(both, F.lit(2), F.size(both) - 1).cast(names),
+            lambda x, y: F.when((x["hash"] == y["hash"]) & (x["nth"] == y["nth"]), y["at"] - x["at"]),
+        )
+        return F.sort_array(F.filter(pairs, lambda d: d.isNotNull()))
+
+    return let(
+        F.sort_array(F.concat(sided(a, 0), sided(b, 1))),
+        lambda both: F.when(F.size(both) < 2, F.array().cast("array<int>")).otherwise(moved(both)),
+    )
+
+
+def consistent(moves: Column) -> Column:
+    """The most matches whose offsets lie in one band: two neighbouring stretches of ``BAND`` words."""
+
+    def best(bands: Column) -> Column:
+        def fullest(runs: Column) -> Column:
+            after = lambda k: F.get(runs, k + 1)
+            both = lambda r, k: r["n"] + F.when(after(k)["band"] == r["band"] + 1, after(k)["n"]).otherwise(0)
+            return F.array_max(F.transform(runs, both))
+
+        counted = _by_run(
+            bands,
+            lambda x: x,
+            lambda run, start: F.struct(F.get(bands, start).alias("band"), F.size(run).alias("n")),
+        )
+        return let(counted, fullest)
+
+    bands = F.transform(moves, lambda d: F.floor(d / BAND))
+    return let(bands, lambda x: F.when(F.size(x) == 0, F.lit(0)).otherwise(best(x)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the anchors of two texts, both ``numbered``, that match and moved alike.
+
+    Matches count if they lie in the one band of offsets that holds most of them, so blocks
+    in another order are not alike, and an insertion of more than ``BAND`` words leaves the
+    larger part. Two texts without anchors are alike, 1.
+    """
+    shares = lambda n: n.cast("double") / (F.size(a) + F.size(b) - n)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(
+        let(consistent(offsets(a, b)), shares)
+    )
+
+
+def printed(found: Column) -> Column:
+    """A short digest of the anchors to print: the 64 smallest distinct hashes, 32 bits of each."""
+    hashes = F.transform(found, lambda a: a["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))
+    least = F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    return F.array_join(F.transform(least, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The fingerprint of every text and of its edit by the next document.
 
     The edit replaces the last quarter of a text, in code points, by as many of the first
     code points of the next document in ascending order of ids; the first one follows the
-    last. ``near_edited`` is the likeness of the fingerprints of a text and its edit,
-    ``near_next`` that of a text and the next document.
+    last. ``near_edited`` is the likeness of the anchors of a text and its edit, matched by
+    hash and place over the whole texts, ``near_next`` that of a text and the next document.
+    ``fingerprint`` and ``edited_fingerprint`` are short digests of the anchors.
 
     Null texts are empty. An empty text, or one without words, has an empty fingerprint.
     Rows with one id are each other's equals in the order: the next document is that of the
-    next higher id, and of its rows the smallest text's start and fingerprint count. A null
+    next higher id, and of its rows the smallest text counts. A null
     id comes after all others and is nobody's next. An empty table gives no rows. Further
     columns of the input are not read.
     """
@@ -108,41 +187,48 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             "next", F.coalesce("next", F.lit(first).cast("long"), "doc_id")
         )
     )
-    # every document sends its start to the one before it; ids are distinct in `order`
-    before = order.select(
-        key_of("doc_id").alias("to"),
-        key_of("next").alias("from"),
-        F.floor(F.col("n_chars") / 4).cast("int").alias("need"),
-    )
-    starts = (
+    # every document goes to the one before it too; ids are distinct in `order`
+    before = order.select(key_of("doc_id").alias("to"), key_of("next").alias("from"))
+    following_text = (
         texts.join(before, F.col("key") == F.col("from"))
-        .select("to", F.substring("text", F.lit(1), F.col("need")).alias("start"))
         .groupBy("to")
-        .agg(F.min("start").alias("start"))
+        .agg(F.min("text").alias("following"))
     )
-    joined = texts.join(starts, F.col("key") == F.col("to"), "left")
+    joined = texts.join(following_text, F.col("key") == F.col("to"), "left")
     n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
-    edited = F.concat(
-        F.substring("text", F.lit(1), n - cut),
-        F.substring(F.coalesce("start", F.lit("")), F.lit(1), cut),
-    )
-    made = stored(
-        joined.withColumn("edited", edited).select(
-            F.expr("try_cast(key AS bigint)").alias("doc_id"),
-            n.cast("long").alias("n_chars"),
-            F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-            sketch(F.col("text")).alias("own"),
-            sketch(F.col("edited")).alias("changed"),
+    after = F.coalesce("following", F.lit(""))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(after, F.lit(1), cut))
+
+    def compared(x: Column) -> Column:
+        return F.struct(
+            printed(x["own"]).alias("fingerprint"),
+            printed(x["changed"]).alias("edited_fingerprint"),
+            likeness(x["own"], x["changed"]).alias("near_edited"),
+            likeness(x["own"], x["of_next"]).alias("near_next"),
+            F.size(x["own"]).cast("long").alias("n_anchors"),
         )
+
+    made = joined.withColumn("edited", edited).select(
+        F.expr("try_cast(key AS bigint)").alias("doc_id"),
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        let(
+            F.struct(
+                numbered(anchors(F.col("text"))).alias("own"),
+                numbered(anchors(F.col("edited"))).alias("changed"),
+                numbered(anchors(after)).alias("of_next"),
+            ),
+            compared,
+        ).alias("found"),
     )
-    of_next = made.groupBy(F.col("doc_id").alias("next")).agg(F.min("own").alias("of_next"))
-    by_id = order.select(F.col("doc_id").alias("_id"), "next").join(of_next, "next", "left")
-    return made.join(by_id, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        as_text(F.col("own")).alias("fingerprint"),
-        as_text(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.coalesce("of_next", F.col("own"))).alias("near_next"),
-    )
+    return made.select("doc_id", "n_chars", "edited_sha256", "found.*")
+
+
+def anchor_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, hash, at)``: every anchor of every text with its place, for joins by anchor.
+
+    A null text, an empty one or one without words has no row; a null id is carried along,
+    and equal rows repeat theirs.
+    """
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(anchors(F.col(text))).alias("a"))
+    return found.select("doc_id", "a.hash", "a.at")

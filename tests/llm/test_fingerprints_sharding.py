@@ -1,9 +1,12 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+import xxhash
 
 from harborline.llm import fingerprints, sharding
 from harborline.llm.ranks import numbered, successors
@@ -56,6 +59,76 @@ def test_anchors_survive_edits_elsewhere(spark, vocabulary):
     assert 0.3 < density < 0.5  # two of five places of the smallest inner substring
 
 
+def _hash(*parts):
+    seed = 42
+    for p in parts:
+        data = p.encode() if isinstance(p, str) else (p % 2**64).to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def _anchors(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not ws:
+        return []
+    ws = [""] * 5 + ws + [""] * 5
+    inner = [_hash(x, y) for x, y in zip(ws, ws[1:])]
+    kmers = [inner[i : i + 5] for i in range(len(inner) - 4)]
+    return [(_hash(k[0], k[2], k[4]), i - 5) for i, k in enumerate(kmers) if min(k[0], k[4]) <= min(k[1:4])]
+
+
+def _likeness(a, b):
+    def places(text):
+        at = defaultdict(list)
+        for h, p in sorted(_anchors(text)):
+            at[h].append(p)
+        return at
+
+    x, y = places(a), places(b)
+    bands = Counter((q - p) // 32 for h in x for p, q in zip(x[h], y.get(h, [])))
+    best = max((n + bands.get(k + 1, 0) for k, n in bands.items()), default=0)
+    size = sum(map(len, x.values())) + sum(map(len, y.values()))
+    return best / (size - best) if size else 1.0
+
+
+def test_likeness_equals_brute_force(make_docs, odd_rows, vocabulary):
+    rng = random.Random(11)
+    base = rng.choices(vocabulary, k=600)
+    texts = [" ".join(base), " ".join(base[:300] + ["in", "between"] + base[300:]), " ".join(base[200:]),
+             "a b c d " * 90, "a b c d " * 60 + "other end", " ".join(base[:20]), "single"]
+    rows = [r for r in odd_rows if r[0] not in (None, 6)] + [(50 + i, t, "s") for i, t in enumerate(texts)]
+    ordered = sorted((i, t or "") for i, t, _ in rows)
+    got = {r.doc_id: r for r in fingerprints.fingerprints(make_docs(rows)).collect()}
+    for k, (i, t) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert got[i].n_anchors == len(_anchors(t))
+        assert got[i].near_edited == pytest.approx(_likeness(t, edited), abs=1e-12)
+        assert got[i].near_next == pytest.approx(_likeness(t, after), abs=1e-12)
+    assert got[50].near_next > 0.9 and 0.4 < got[51].near_next < 0.8
+
+
+def test_places_and_rare_passages_count(make_docs):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    passage, blocks = fresh(500), [fresh(40) for _ in range(30)]
+    rows = [
+        (1, " ".join(fresh(9000) + passage + fresh(10500)), "s"),
+        (2, " ".join(fresh(15000) + passage + fresh(4500)), "s"),
+        (3, " ".join(sum(blocks, [])), "s"),
+        (4, " ".join(sum(reversed(blocks), [])), "s"),
+        (5, " ".join(sum(reversed(blocks), []) + ["the", "end"]), "s"),
+    ]
+    near = {r.doc_id: r.near_next for r in fingerprints.fingerprints(make_docs(rows)).collect()}
+    assert 0.01 < near[1] < 0.02
+    assert near[3] < 0.1 < 0.9 < near[4]
+
+
+def test_anchor_table_holds_every_place(make_docs, odd_rows):
+    got = Counter((r.doc_id, r.hash, r.at) for r in fingerprints.anchor_table(make_docs(odd_rows)).collect())
+    assert got == Counter((i, h, at) for i, t, _ in odd_rows for h, at in _anchors(t or ""))
+
+
 def test_successors(spark):
     rng = random.Random(1)
     values = [0, 1, 2, 65535, 65536, 65537, -1, -(2**62), 2**62, 2**40] + [rng.randint(-(2**50), 2**50) for _ in range(200)]
