@@ -74,19 +74,19 @@ def _by_run(ordered: Column, value, body) -> Column:
 
 def numbered(found: Column) -> Column:
     """All anchors as ``(hash, nth, at)``: ``nth`` counts earlier ones of that hash in the text."""
-    none = F.array().cast("array<struct<hash:bigint,nth:int,at:int>>")
 
-    def count(run: Column, _start: Column) -> Column:
-        return F.transform(
-            run, lambda a, j: F.struct(a["hash"].alias("hash"), j.alias("nth"), a["at"].alias("at"))
-        )
+    def entry(a: Column, j: Column) -> Column:
+        return F.struct(a["hash"].alias("hash"), j.alias("nth"), a["at"].alias("at"))
 
-    return let(
+    repeated = F.size(F.array_distinct(found.getField("hash"))) < F.size(found)
+    by_hash = let(
         F.sort_array(found),
-        lambda ordered: F.when(F.size(ordered) == 0, none).otherwise(
-            F.flatten(_by_run(ordered, lambda a: a["hash"], count))
+        lambda ordered: F.flatten(
+            _by_run(ordered, lambda a: a["hash"], lambda run, _start: F.transform(run, entry))
         ),
     )
+    # most texts repeat no anchor and need no order here
+    return F.when(repeated, by_hash).otherwise(F.transform(found, lambda a: entry(a, F.lit(0))))
 
 
 def offsets(a: Column, b: Column) -> Column:
@@ -97,13 +97,17 @@ def offsets(a: Column, b: Column) -> Column:
     """
 
     def sided(anchors_: Column, side: int) -> Column:
-        return F.transform(anchors_, lambda x: F.struct(x["hash"], x["nth"], F.lit(side), x["at"]))
+        return F.transform(
+            anchors_,
+            lambda x: F.struct(
+                x["hash"].alias("hash"), x["nth"].alias("nth"), F.lit(side).alias("side"), x["at"].alias("at")
+            ),
+        )
 
     def moved(both: Column) -> Column:
-        names = "array<struct<hash:bigint,nth:int,side:int,at:int>>"
         pairs = F.zip_with(
-            F.slice(both, F.lit(1), F.size(both) - 1).cast(names),
-            F.slice(both, F.lit(2), F.size(both) - 1).cast(names),
+            F.slice(both, F.lit(1), F.size(both) - 1),
+            F.slice(both, F.lit(2), F.size(both) - 1),
             lambda x, y: F.when((x["hash"] == y["hash"]) & (x["nth"] == y["nth"]), y["at"] - x["at"]),
         )
         return F.sort_array(F.filter(pairs, lambda d: d.isNotNull()))
@@ -135,15 +139,18 @@ def consistent(moves: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the anchors of two texts, both ``numbered``, that match and moved alike.
+    """Share of the anchors of two texts that match and moved alike.
 
     Matches count if they lie in the one band of offsets that holds most of them, so blocks
     in another order are not alike, and an insertion of more than ``BAND`` words leaves the
     larger part. Two texts without anchors are alike, 1.
     """
     shares = lambda n: n.cast("double") / (F.size(a) + F.size(b) - n)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(
-        let(consistent(offsets(a, b)), shares)
+    met = F.arrays_overlap(a.getField("hash"), b.getField("hash"))
+    return (
+        F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
+        .when(~met, F.lit(0.0))
+        .otherwise(let(consistent(offsets(numbered(a), numbered(b))), shares))
     )
 
 
@@ -214,9 +221,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         let(
             F.struct(
-                numbered(anchors(F.col("text"))).alias("own"),
-                numbered(anchors(F.col("edited"))).alias("changed"),
-                numbered(anchors(after)).alias("of_next"),
+                anchors(F.col("text")).alias("own"),
+                anchors(F.col("edited")).alias("changed"),
+                anchors(after).alias("of_next"),
             ),
             compared,
         ).alias("found"),
