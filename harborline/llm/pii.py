@@ -19,21 +19,35 @@ DIGIT_WORD = rf"(?<!{WORD_CHARACTER})[^\x20\x09-\x0D0-9]*+[0-9]{WORD_CHARACTER}*
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"  # the kind of spans that the induced patterns add
-ROUNDS = 3
-SUPPORT = 3  # distinct seed entities a pattern has to precede
+SUPPORT = 3  # distinct known entities a pattern has to precede
 CONFIDENCE = 0.8
+SPECIFIC = 5  # code points; shorter words with a digit, as page numbers, support no pattern
+SETTLED = 0.01  # confidence that all patterns together may still gain when scoring ends
 
-CONTEXT = 200  # code points before an entity that may hold its context word
+TAIL = 200  # code points before an entity that are looked at first for its context word
 RUN = 128  # matches whose places are added up in one fold
 
 _SPAN = "struct<start:int,end:int,value:string,before:string>"
 
 
+def word_before(gap: Column) -> Column:
+    """The last word of a stretch that ends in white space, in lower case: '' where it holds
+    no word, null where it ends in one. The whole stretch is read if its tail is too short."""
+
+    def last(part: Column, whole: Column) -> Column:
+        in_part = F.when(F.element_at(part, -1) == "", F.lower(F.element_at(part, -2)))
+        in_whole = let(F.split(whole, BREAK), lambda ws: F.lower(F.element_at(ws, -2)))
+        cut = (F.element_at(part, -1) == "") & (F.size(part) < 3) & (F.length(whole) > TAIL)
+        return F.when(F.length(whole) == 0, F.lit("")).when(cut, in_whole).otherwise(in_part)
+
+    return let(F.split(F.substring(gap, -TAIL, TAIL), BREAK), lambda part: last(part, gap))
+
+
 def located(text: Column, pattern: str) -> Column:
     """``(start, end, value, before)`` of all matches, in code points, end exclusive.
 
     The text between the matches gives the positions: gap, match, gap, match and so on.
-    ``before`` is the end of the gap. Lengths are added up by runs of matches and then
+    ``before`` is the last word of the gap, see ``word_before``. Lengths are added up by runs of matches and then
     inside each run, so the work stays in proportion for a text full of matches.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -42,7 +56,7 @@ def located(text: Column, pattern: str) -> Column:
         matches,
         lambda gap, m: F.struct(
             (F.length(gap)).alias("gap"), F.length(m).alias("n"), m.alias("m"),
-            F.when(m.isNotNull(), F.substring(gap, -CONTEXT, CONTEXT)).alias("before"),
+            F.when(m.isNotNull(), word_before(gap)).alias("before"),
         ),
     )
     none = F.array().cast(f"array<{_SPAN}>")
@@ -139,8 +153,10 @@ def _with_base(docs: DataFrame, doc_id: str, text: str, carried: list[Column]) -
 def contexts(based: DataFrame) -> DataFrame:
     """Every word with a digit and every base entity, with the word before it.
 
-    One row per occurrence: ``key, digest, pattern, value, start, end, seed``. Only texts
-    with a digit or an at sign are looked at; a base entity hides the words it touches.
+    One row per occurrence: ``key, digest, pattern, of_run, value, start, end, seed``. Only
+    texts with a digit or an at sign are looked at; a base entity hides the words it touches.
+    The word before may itself be an entity; ``of_run`` is then the last word before that
+    is none, so that a list of identifiers shares the word in front of it.
     """
     text = F.col("whole")
     base = F.concat(*[F.col(k) for k in KINDS])
@@ -148,59 +164,75 @@ def contexts(based: DataFrame) -> DataFrame:
     seeds = F.transform(base, lambda s: row(s, True))
     tokens = F.transform(located(text, DIGIT_WORD), lambda s: row(s, False))
     rows = based.where(text.rlike("[0-9@]")).select("key", "digest", F.explode(F.concat(seeds, tokens)).alias("o"))
-    last_word = F.lower(F.regexp_extract("o.before", rf"({WORD_CHARACTER}+){BREAK}$", 1))
-    rows = rows.select("key", "digest", last_word.alias("pattern"), "o.value", "o.start", "o.end", "o.seed")
-    of_text = Window.partitionBy("key", "digest").orderBy("start", F.desc("seed"))
+    rows = rows.select("key", "digest", "o.*")
+    of_text = Window.partitionBy("key", "digest").orderBy("start", F.desc("seed"), "end")
     earlier = of_text.rowsBetween(Window.unboundedPreceding, -1)
     later = of_text.rowsBetween(1, Window.unboundedFollowing)
     seen_end = F.max(F.when(F.col("seed"), F.col("end"))).over(earlier)
     next_start = F.min(F.when(F.col("seed"), F.col("start"))).over(later)
     hidden = (seen_end > F.col("start")) | (next_start < F.col("end"))
+    word = F.when(F.col("before") != "", F.col("before"))
     return (
         rows.withColumn("hidden", F.coalesce(hidden, F.lit(False)))
+        .withColumn("of_run", F.last(word, ignorenulls=True).over(earlier))
+        .withColumn("previous", F.lower(F.lag("value").over(of_text)))
+        .withColumn("pattern", F.when(F.col("before") == "", F.col("previous")).otherwise(F.col("before")))
+        .withColumn("of_run", F.when(F.col("before") == "", F.col("of_run")))
         .where("pattern <> '' AND (seed OR NOT hidden)")
-        .drop("hidden")
+        .select("key", "digest", "pattern", "of_run", "value", "start", "end", "seed")
     )
 
 
 def pattern_scores(based: DataFrame, found: DataFrame) -> DataFrame:
-    """``(pattern, confidence, support)`` after ``ROUNDS`` rounds over the pattern-instance graph.
-
-    A pattern is the word before an entity. Its confidence is the confidence of what follows
-    it, summed over all occurrences of the word in the corpus: one followed by an ordinary
-    word counts against it. An instance that is no seed is as sure as its patterns are
-    together (noisy or). Edges are counted inside the tasks before they are shuffled.
+    """``(pattern, confidence, support)`` at the fixed point of the pattern-instance graph.
+
+    A pattern is the word before an instance, a base entity or a word with a digit. Its
+    confidence is the confidence of what follows it, summed over all occurrences of the word
+    in the corpus: one followed by an ordinary word counts against it. It is trusted from
+    ``CONFIDENCE`` and ``SUPPORT`` distinct known instances on. Known are base entities, and
+    instances of ``SPECIFIC`` code points that a trusted pattern precedes, so that these
+    support further patterns. Another such instance is as sure as its patterns are together
+    (noisy or). Both only grow; rounds go on until one trusts no further pattern and
+    confidences have settled. Edges are counted inside the tasks before they are shuffled.
     """
     edges = stored(
         found.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     )
-    seeded = edges.where("seed").groupBy("pattern").agg(F.count("*").alias("support"))
     words = based.select(F.explode(F.split(F.lower("whole"), BREAK)).alias("pattern"))
     counted = words.groupBy("pattern").agg(F.count("*").alias("total"))
-    patterns = stored(counted.join(stored(seeded), "pattern"))
-    graph = stored(edges.join(patterns.select("pattern", "total"), "pattern"))
-    scored = graph.withColumn("sure", F.col("seed").cast("double"))
-    for _ in range(ROUNDS):
-        strength = stored(
-            scored.groupBy("pattern").agg(
-                (F.sum(F.col("n") * F.col("sure")) / F.first("total")).alias("confidence")
+    totals = counted.join(edges.select("pattern").distinct(), "pattern")
+    graph = stored(edges.join(totals, "pattern"))
+    instances = stored(
+        graph.groupBy("value").agg(F.max("seed").alias("known"), F.max("seed").cast("double").alias("sure"))
+    )
+    trusted = (F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)
+    before = None
+    while True:
+        patterns = stored(
+            graph.join(instances, "value")
+            .groupBy("pattern")
+            .agg(
+                F.least(F.lit(1.0), F.sum(F.col("n") * F.col("sure")) / F.first("total")).alias("confidence"),
+                F.count_if("known").alias("support"),
             )
         )
+        now = patterns.agg(F.count_if(trusted), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if before is not None and now[0] == before[0] and now[1] - before[1] <= SETTLED:
+            return patterns
+        before = now
         doubt = F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))
+        specific = F.length("value") >= SPECIFIC
         instances = stored(
-            graph.join(strength, "pattern")
+            graph.join(patterns, "pattern")
             .groupBy("value")
-            .agg(
-                F.max("seed").alias("known"),
-                F.sum(doubt).alias("doubt"),
-            )
+            .agg(F.max("seed").alias("seed"), F.max(trusted).alias("led"), F.sum(doubt).alias("doubt"))
+            .select("value", (F.col("seed") | (F.col("led") & specific)).alias("known"), "doubt")
             .select(
                 "value",
-                F.when(F.col("known"), F.lit(1.0)).otherwise(1 - F.exp("doubt")).alias("sure"),
+                "known",
+                F.when(F.col("known"), 1.0).when(specific, 1 - F.exp("doubt")).otherwise(0.0).alias("sure"),
             )
         )
-        scored = graph.join(instances, "value")
-    return strength.join(patterns, "pattern").select("pattern", "confidence", "support")
 
 
 def discovered(based: DataFrame) -> DataFrame:
@@ -211,7 +243,10 @@ def discovered(based: DataFrame) -> DataFrame:
         .where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
         .select("pattern")
     )
-    spans = found.where("NOT seed").join(trusted, "pattern", "left_semi")
+    led = found.where("NOT seed")
+    spans = led.join(trusted, "pattern", "left_semi").unionByName(
+        led.join(trusted, led["of_run"] == trusted["pattern"], "left_semi")
+    )
     return stored(
         spans.select("key", "digest", F.struct("start", "end", "value", F.lit("").alias("before")).alias("span"))
         .distinct()

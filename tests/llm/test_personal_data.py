@@ -76,6 +76,71 @@ def test_contexts_of_seeds_find_unseen_identifiers(make_docs, vocabulary):
     assert masked[101] == rows[21][1]
 
 
+def _bootstrapped(rows):
+    """Values that trusted words precede, by plain rounds; texts without base entities but e-mails."""
+    edges, total, seeds = {}, {}, set()
+    for _, t, _ in rows:
+        ws = t.split()
+        for w in ws:
+            total[w.lower()] = total.get(w.lower(), 0) + 1
+        for w, v in zip(ws, ws[1:]):
+            if EMAIL.fullmatch(v) or any(c.isdigit() for c in v):
+                edges[w.lower(), v] = edges.get((w.lower(), v), 0) + 1
+                seeds |= {v} if EMAIL.fullmatch(v) else set()
+    known, trusted, last = set(seeds), set(), None
+    sure = {v: float(v in known) for _, v in edges}
+    while True:
+        score, support = {}, {}
+        for (w, v), n in edges.items():
+            score[w] = score.get(w, 0) + n * sure[v] / total[w]
+            support[w] = support.get(w, 0) + (v in known)
+        score = {w: min(x, 1.0) for w, x in score.items()}
+        trusted = {w for w in score if score[w] >= pii.CONFIDENCE and support[w] >= pii.SUPPORT}
+        now = (len(trusted), sum(score.values()))
+        if last and now[0] == last[0] and now[1] - last[1] <= pii.SETTLED:
+            return trusted
+        last, doubt = now, {}
+        for w, v in edges:
+            doubt[v] = doubt.get(v, 1.0) * (1 - min(score[w], 1 - 1e-9))
+            known |= {v} if w in trusted and len(v) >= pii.SPECIFIC else set()
+        sure = {v: 1.0 if v in known else (1 - doubt[v]) * (len(v) >= pii.SPECIFIC) for v in doubt}
+
+
+def test_bootstrapping_equals_brute_force_on_random_graphs(make_docs):
+    rng = random.Random(21)
+    leads = [f"lead{c}:" for c in "abcdefgh"]
+    ids = [f"user{i}@mail.example.com" for i in range(12)] + [f"QX{i:04d}" for i in range(40)] + ["7", "42"]
+    rows = []
+    for i in range(150):
+        k = rng.randrange(len(leads))
+        near = [v for j, v in enumerate(ids) if j % 9 in (k, k + 1)]
+        value = rng.choice(near) if rng.random() < 0.93 - 0.02 * k else "plain"
+        rows.append((i, f"some text {leads[k]} {value} follows", "s"))
+    trusted = _bootstrapped(rows)
+    assert 1 < len(trusted)
+    got = {r.doc_id: r.spans for r in pii.find_personal(make_docs(rows)).collect()}
+    for i, t, _ in rows:
+        w, v = t.split()[2:4]
+        at = t.index(v, t.index(w) + len(w))
+        led = w in trusted and v != "plain" and "@" not in v
+        assert [x for x in got[i].split(",") if x.startswith("id:")] == [f"id:{at}:{at + len(v)}"] * led
+
+
+def test_bootstrapping_goes_on_from_what_it_finds(make_docs):
+    rows = [(i, f"write to contact: user{i}@mail.example.com today", "s") for i in range(20)]
+    rows += [(100 + i, f"write to contact: QX77-{i} today", "s") for i in range(4)]
+    rows += [(200 + i, f"carry badge QX77-{i} always", "s") for i in range(4)]
+    rows += [(300, "carry badge QX99-77 always", "s"), (301, "write to contact: B11 C22 today", "s")]
+    rows += [(302, "see contact:" + " " * 250 + "QX88-20", "s"), (303, "see page 77 again", "s")]
+    rows += [(400 + i, f"on line2: user{i}@mail.example.com now", "s") for i in range(12)] + [(450, "on line2: E99 now", "s")]
+    found = {r.doc_id: r.spans for r in pii.find_personal(make_docs(rows)).collect()}
+    span = lambda i, v: (lambda at: f"id:{at}:{at + len(v)}")(next(t for j, t, _ in rows if j == i).index(v))
+    assert found[200] == span(200, "QX77-0") and found[300] == span(300, "QX99-77")
+    assert found[301] == f"{span(301, 'B11')},{span(301, 'C22')}"
+    assert found[302] == span(302, "QX88-20") and found[450] == span(450, "E99")
+    assert found[303] == ""
+
+
 def test_redaction_masks_what_is_found(make_docs, odd_rows):
     rows = odd_rows + [(400 + i, t, "s") for i, t in enumerate(_random_texts(200))]
     docs = make_docs(rows)
