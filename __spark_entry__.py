@@ -408,7 +408,16 @@ def csv_round_trip(star, wh):
     """Guests written as CSV files and read back by a table map."""
     path = _fresh_path(star, "guests-csv")
     sinks.write_csv(wh.stg_guests, path)
-    return tables.read_csv(star.spark, path, RAW_TABLES["stg_guests"])
+    return tables.load_tables(star.spark, {"STG_GUESTS": path})["STG_GUESTS"]
+
+
+@_query
+def csv_documents(star, wh):
+    """Documents, whose texts hold line breaks and quotes, written as CSV files and read back."""
+    path = _fresh_path(star, "documents-csv")
+    documents = star.table("documents")
+    sinks.write_csv(documents, path)
+    return tables.read_csv(star.spark, path, documents.schema)
 
 
 @_query

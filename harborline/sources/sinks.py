@@ -10,9 +10,20 @@ from harborline.functions.names import schema_name
 INDEX_METADATA = ["type", "brand", "region", "itinerary", "cabin", "position", "year", "quarter"]
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; quotes inside a cell are doubled."""
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+    """CSV with a header; quotes inside a cell are doubled, line breaks and spaces are kept.
+
+    A file holds at most ``rows_per_file`` rows, since one with line breaks inside cells is
+    read by one task.
+    """
+    df.write.mode("overwrite").options(
+        header=True,
+        quote='"',
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+        maxRecordsPerFile=rows_per_file,
+    ).csv(path)
 
 
 def _qualified(spark: SparkSession, table: str, schema: str | None, default: str) -> str:

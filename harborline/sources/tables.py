@@ -8,14 +8,21 @@ from pyspark.sql import types as T
 from harborline.schemas import RAW_TABLES, to_contract
 
 
-def read_csv(spark: SparkSession, path: str, contract: T.StructType) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, contract: T.StructType, multi_line: bool = True
+) -> DataFrame:
     """CSV with a header, its columns found by name in any order and case, then cast.
 
     Only the header is read ahead. Quotes inside a cell are doubled, as in any standard CSV
-    file. An empty cell is NULL, the text ``None`` stays text; a malformed cell, a short row
-    and a long one are errors.
+    file, and a quoted cell may hold line breaks. An empty cell is NULL, the text ``None``
+    stays text; a malformed cell, a short row and a long one are errors.
+
+    With line breaks in cells a file cannot be split, so each file is one task; ``write_csv``
+    bounds its files for that. ``multi_line=False`` splits large files whose cells have none.
     """
-    reader = spark.read.options(header=True, quote='"', escape='"', mode="FAILFAST")
+    reader = spark.read.options(
+        header=True, quote='"', escape='"', mode="FAILFAST", multiLine=multi_line
+    )
     names = reader.csv(path).columns
     texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
     # without pruning every row is parsed in full, so its length is checked

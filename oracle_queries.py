@@ -712,6 +712,7 @@ ORACLE["dq_suite"] = statement(
 
 # Written and read back, the rows are the same.
 ORACLE["csv_round_trip"] = ORACLE["stg_guests"]
+ORACLE["csv_documents"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 ORACLE["saved_mart"] = ORACLE["mart_occupancy"]
 ORACLE["run_log_round_trip"] = ORACLE["action_status"]
 ORACLE["table_overwrite"] = statement("SELECT COUNT(*) AS rows_written FROM m_occupancy")

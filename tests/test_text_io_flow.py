@@ -74,6 +74,16 @@ def test_csv_round_trip_keeps_the_tier_named_none(spark, make_bookings, tmp_path
     assert tables.upper_names(loaded).columns[0] == "BOOKING_ID"
 
 
+def test_csv_cells_keep_line_breaks(spark, tmp_path):
+    texts = ['two\nlines', 'a "quoted"\n\n"cell"', " led, and trailed ", "x\r\ny", "back\\slash\\", None, "tab\t", "#no comment"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    path = str(tmp_path / "texts")
+    sinks.write_csv(frame, path, rows_per_file=3)
+    assert len(list((tmp_path / "texts").glob("*.csv"))) == 3
+    back = tables.read_csv(spark, path, frame.schema)
+    assert sorted(map(tuple, back.collect())) == list(enumerate(texts))
+
+
 def test_csv_columns_are_found_by_name(spark, tmp_path):
     path = tmp_path / "spend.csv"
     path.write_text(
