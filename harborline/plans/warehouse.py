@@ -40,14 +40,23 @@ class Warehouse:
         self.source = source
         self.config = config
         self.spend_is_unique = spend_is_unique
+        self._stored: set[str] = set()
 
     def staged(self, *names: str) -> Warehouse:
         """The same warehouse with some staging views stored, for plans that read them often."""
         other = Warehouse(self.source, self.config, self.spend_is_unique)
         for name in names:
-            other.__dict__[name] = stored(getattr(self, name))
+            other.__dict__[name] = self._once(name)
+            other._stored.add(name)
         return other
 
+    def _once(self, name: str) -> DataFrame:
+        """A view of this warehouse, stored at its first use here and shared from then on."""
+        if name not in self._stored:
+            self.__dict__[name] = stored(getattr(self, name))
+            self._stored.add(name)
+        return self.__dict__[name]
+
     @cached_property
     def stg_bookings(self) -> DataFrame:
         return staging.stage_bookings(self.source.bookings)
@@ -80,15 +89,15 @@ class Warehouse:
 
     @cached_property
     def mart_pricing_summary(self) -> DataFrame:
+        # the join looks at the log for its hot keys before it reads the rows
         return marts.mart_pricing_summary(
-            self.stg_pricing_log, self.stg_bookings, self.config.price_band
+            self._once("stg_pricing_log"), self.stg_bookings, self.config.price_band
         )
 
     @cached_property
     def documents(self) -> DataFrame:
-        # bookings feed three marts, the price log is read for its hot keys too, and the
-        # occupancy mart feeds three kinds of documents
-        kept = self.staged("stg_bookings", "stg_pricing_log")
+        # bookings feed three marts, and the occupancy mart three kinds of documents
+        kept = self.staged("stg_bookings")
         return summaries.all_documents(
             stored(kept.mart_occupancy), kept.mart_revenue, kept.mart_pricing_summary
         )
