@@ -502,12 +502,11 @@ JOIN context_rows c USING (query_id)""",
         {**tfidf("docs", "anomaly_asked"), "context_rows": _context},
     ),
     "question_prompts": statement(
-        """SELECT query_id, 'You are a cruise revenue intelligence assistant.' || chr(10) || chr(10)
-  || 'You have access to the following relevant data from the cruise revenue database:' || chr(10)
-  || chr(10) || context || chr(10) || chr(10)
-  || 'Based on this data, answer the following question clearly and concisely.' || chr(10)
-  || 'Cite specific numbers from the data. If the data doesn''t fully answer the question, say so.'
-  || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:' AS prompt
+        """SELECT query_id, 'Below are summaries drawn from the booking marts.' || chr(10) || chr(10) || context
+  || chr(10) || chr(10)
+  || 'Reply to the question in a few sentences. Quote the figures you rely on, and name what the' || chr(10)
+  || 'summaries leave open.'
+  || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Reply:' AS prompt
 FROM asked JOIN context_rows USING (query_id)""",
         {**tfidf("docs", "asked"), "context_rows": _context},
     ),
