@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -91,6 +92,24 @@ def test_split_takes_the_exact_share_of_every_stratum(spark):
     assert sorted(got.collect()) == sorted(again.collect())
 
 
+def test_split_cuts_inside_ranges_of_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(split, "HASH_DIGITS", 1)  # 16 ranges a level: 900 rows need several levels
+    df = spark.range(900).select("id", F.when(F.col("id") < 800, F.lit("a")).alias("y"))
+    got = {r.id for r in split.stratified_split(df, ["id"], F.col("y")).where("is_test").collect()}
+    want = set()
+    for ids in (range(800), range(800, 900)):
+        ordered = sorted(ids, key=lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest())
+        want |= set(ordered[: math.ceil(0.2 * len(ordered))])
+    assert got == want
+
+
+def test_split_keeps_equal_keys_together(spark):
+    df = spark.createDataFrame([(7,)] * 300 + [(i,) for i in range(20)], "id int")
+    rows = split.stratified_split(df, ["id"]).collect()
+    assert len(rows) == 320 and len({r.is_test for r in rows if r.id == 7}) == 1
+    assert sum(r.is_test for r in rows) >= 64
+
+
 def test_split_keeps_a_stratum_of_one_and_a_null_stratum(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "b")], "id int, y string")
     got = split.stratified_split(df, ["id"], F.col("y")).collect()
