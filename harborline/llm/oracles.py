@@ -62,22 +62,23 @@ stats AS (
 failing AS (
   SELECT *, row_number() OVER () AS r,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         [n_words < 50 OR 100 * n_repeat_words > 50 * n_words,
-          word_chars < 3 * n_words OR word_chars > 12 * n_words,
+         [word_chars < 3 * n_words OR word_chars > 12 * n_words,
           10 * n_symbols > n_words,
           100 * n_dup_lines > 30 * n_lines,
           100 * n_repeat_words > 20 * n_words] AS fails
   FROM stats),
-by_rule AS (SELECT r, source, unnest(range(1, 6)) AS rule, unnest(fails) AS failed FROM failing),
+by_rule AS (SELECT r, source, unnest(range(1, 5)) AS rule, unnest(fails) AS failed FROM failing),
 hosts AS (
   SELECT source, rule, count(*) AS n, sum(failed::INT)::DOUBLE AS f FROM by_rule GROUP BY source, rule),
 prior AS (
   SELECT rule, sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2 AS v
   FROM hosts GROUP BY rule),
 weighed AS (
-  SELECT rule, m, CASE WHEN v <= 0 THEN 1e6 ELSE least(greatest(m * (1 - m) / v - 1, 1), 1e6) END AS w FROM prior),
+  SELECT rule, m, v, CASE WHEN v <= 0 THEN 1e6 ELSE least(greatest(m * (1 - m) / v - 1, 1), 1e6) END AS w FROM prior),
+rated AS (SELECT *, (f + m * w) / (n + w) AS rate FROM hosts JOIN weighed USING (rule)),
 bad AS (
-  SELECT source, rule FROM hosts JOIN weighed USING (rule) WHERE (f + m * w) / (n + w) > 0.5),
+  SELECT source, rule FROM rated
+  WHERE v > 0 AND rate > m AND (rate - m) / sqrt(rate * (1 - rate) / (n + (w + 1))) > 1.0),
 held AS (
   SELECT DISTINCT r FROM by_rule b JOIN bad ON bad.rule = b.rule AND bad.source IS NOT DISTINCT FROM b.source
   WHERE b.failed)

@@ -123,6 +123,31 @@ def test_a_bad_host_is_held_to_every_rule(make_docs, vocabulary):
     assert out.columns == make_docs(rows).columns
 
 
+def test_equal_hosts_and_a_single_host_fail_no_rule(make_docs, vocabulary):
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    marked = lambda: " ".join(w + " |" for w in rng.choices(vocabulary, k=60))
+    rows = [(10 * h + i, marked() if i < 3 else text(80), f"h{h}") for h in range(6) for i in range(10)]
+    assert all(r.kept for r in hostrules.judge(make_docs(rows)).collect())
+    alone = [(i, marked() if i % 2 else text(80), None) for i in range(20)]
+    assert all(r.kept for r in hostrules.judge(make_docs(alone)).collect())
+
+
+def test_distance_from_the_mean_like_brute_force(spark):
+    hosts = {"a": (400, 40), "b": (900, 18), "c": (50, 0), "d": (7, 7)}
+    rows = [(h, i < f) for h, (n, f) in hosts.items() for i in range(n)]
+    rated = hostrules.host_rates(spark.createDataFrame(rows, "host string, fails_x boolean")).collect()
+    total = sum(n for n, _ in hosts.values())
+    mean = sum(f for _, f in hosts.values()) / total
+    spread = sum(f * f / n for n, f in hosts.values()) / total - mean**2
+    weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6)
+    for r in rated:
+        n, f = hosts[r.host]
+        rate = (f + mean * weight) / (n + weight)
+        deviation = (rate * (1 - rate) / (n + weight + 1)) ** 0.5
+        assert abs(r.rate_x - rate) < 1e-12 and abs(r.above_x - (rate - mean) / deviation) < 1e-9
+
+
 def test_small_hosts_are_shrunk_to_the_mean(spark):
     rows = [("big", i < 30) for i in range(1000)] + [("other", i < 60) for i in range(1000)] + [("one", True)]
     rates = {
