@@ -17,6 +17,7 @@ from harborline.plans import (
     anomalies,
     enrichment,
     features,
+    increments,
     marts,
     models,
     questions,
@@ -440,6 +441,68 @@ def saved_mart(star, wh):
     return read
 
 
+def _over_saved(star, wh, names: list[str], mart: str) -> DataFrame:
+    """A mart over bucketed tables, which go when its rows are stored."""
+    schema = f"HARBORLINE_{uuid4().hex}".upper()
+    buckets = int(star.spark.conf.get("spark.sql.shuffle.partitions"))
+    wh.saved(schema, buckets, names)
+    rows = stored(getattr(wh.from_saved(star.spark, schema, names), mart))
+    star.spark.sql(f"DROP SCHEMA `{schema}` CASCADE")
+    return rows
+
+
+@_query
+def mart_revenue_saved(star, wh):
+    """Bookings meet their spend in tables bucketed by booking."""
+    return _over_saved(star, wh, ["stg_bookings", "stg_onboard_spend"], "mart_revenue")
+
+
+@_query
+def mart_guest_ltv_saved(star, wh):
+    """Lifetime metrics meet their guests in tables bucketed by guest."""
+    names = ["stg_bookings", "stg_onboard_spend", "stg_guests", "ltv_state"]
+    return _over_saved(star, wh, names, "mart_guest_ltv")
+
+
+def _delivered(star, wh) -> increments.MartStates:
+    """All bookings in three deliveries by booking date, the second of them given twice."""
+    kept = wh.staged("stg_bookings", "stg_onboard_spend")
+    states = increments.MartStates(star.spark, _fresh_path(star, "states"), wh.config)
+    year = F.coalesce(F.year("booking_date"), F.lit(0))
+    parts = [year < 1994, (year >= 1994) & (year < 1996), year >= 1996]
+    for batch in (0, 1, 1, 2):
+        states.add(kept.stg_bookings.where(parts[batch]), kept.stg_onboard_spend, batch)
+    return states
+
+
+@_query
+def mart_occupancy_delivered(star, wh):
+    return _delivered(star, wh).occupancy()
+
+
+@_query
+def mart_guest_ltv_delivered(star, wh):
+    return _delivered(star, wh).guest_ltv(wh.stg_guests)
+
+
+@_query
+def mart_pricing_delivered(star, wh):
+    return _delivered(star, wh).pricing_summary(stored(wh.stg_pricing_log))
+
+
+@_query
+def index_update(star, wh):
+    """Half of the documents as an index, then all as an update that is given twice."""
+    path = _fresh_path(star, "index")
+    documents = wh.document_index
+    old = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).withColumn("text", F.lit("old"))
+    gone = old.select(F.concat("doc_id", F.lit("_gone")).alias("doc_id"))
+    sinks.write_index(old.unionByName(old.withColumn("doc_id", F.concat("doc_id", F.lit("_gone")))), path)
+    for _ in range(2):
+        sinks.update_index(documents, path, gone, batch=1)
+    return sinks.read_index(star.spark, path).select("doc_id", "text", "type", "brand")
+
+
 @_query
 def index_round_trip(star, wh):
     """The document index with its metadata, written and read back."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborline.config import CRUISE, DomainConfig
 from harborline.functions.dates import sail_parts
-from harborline.functions.numeric import exact_mean, percent, safe_ratio, zero_if_null
+from harborline.functions.numeric import percent, safe_ratio, zero_if_null
 from harborline.operators.skew import fanout_left_join, salted_left_join
 
 _BOOKING_COLUMNS = [
@@ -30,6 +30,9 @@ _BOOKING_COLUMNS = [
     "cancellation_reason",
     "loyalty_tier",
 ]
+OCCUPANCY_KEYS = ["brand", "ship_name", "itinerary_name", "region", "sail_date"]
+LTV_KEYS = ["guest_id", "brand"]
+PRICE_KEYS = ["itinerary_name", "brand", "cabin_category", "sail_date"]
 _CATEGORIES = ["dining", "spa", "excursions", "beverage", "casino", "retail"]
 
 
@@ -64,28 +67,43 @@ def mart_revenue(
     )
 
 
-def mart_occupancy(bookings: DataFrame) -> DataFrame:
-    """Per ship, itinerary and sail date: counts, rates, averages and active revenue."""
-    booked, kept, lost = (
-        F.count("booking_id"),
-        F.count_if(_active()),
-        F.count_if(F.col("is_cancelled")),
+def occupancy_state(bookings: DataFrame) -> DataFrame:
+    """Per ship, itinerary and sail date: counts and sums that add up over parts of the bookings."""
+    window, price = F.col("booking_window_days"), F.col("cabin_price_usd")
+    return bookings.groupBy(*OCCUPANCY_KEYS).agg(
+        F.count("booking_id").alias("booked"),
+        F.count_if(_active()).alias("kept"),
+        F.count_if(F.col("is_cancelled")).alias("lost"),
+        F.sum(F.when(_active(), F.col("num_guests")).otherwise(0)).alias("guests"),
+        F.sum(window).alias("window_sum"),
+        F.count(window).alias("window_count"),
+        F.sum(price).alias("price_sum"),
+        F.count(price).alias("price_count"),
+        F.sum(F.when(_active(), F.col("total_revenue_usd")).otherwise(0)).alias("revenue"),
     )
-    keys = ["brand", "ship_name", "itinerary_name", "region", "sail_date"]
-    grouped = bookings.groupBy(*keys).agg(
-        booked.alias("total_bookings"),
-        kept.alias("confirmed_bookings"),
-        lost.alias("cancelled_bookings"),
-        F.sum(F.when(_active(), F.col("num_guests")).otherwise(0)).alias("total_guests"),
-        percent(kept, booked).alias("occupancy_rate_pct"),
-        percent(lost, booked).alias("cancellation_rate_pct"),
-        exact_mean(F.col("booking_window_days")).alias("avg_booking_window_days"),
-        exact_mean(F.col("cabin_price_usd")).alias("avg_cabin_price_usd"),
-        F.sum(F.when(_active(), F.col("total_revenue_usd")).otherwise(0)).alias("total_revenue_usd"),
+
+
+def occupancy_of(state: DataFrame) -> DataFrame:
+    """The occupancy mart from its counts and sums."""
+    return state.select(
+        *OCCUPANCY_KEYS,
+        # the calendar columns follow from sail_date, so they stay out of the shuffle key
+        *sail_parts(F.col("sail_date")),
+        F.col("booked").alias("total_bookings"),
+        F.col("kept").alias("confirmed_bookings"),
+        F.col("lost").alias("cancelled_bookings"),
+        F.col("guests").alias("total_guests"),
+        percent(F.col("kept"), F.col("booked")).alias("occupancy_rate_pct"),
+        percent(F.col("lost"), F.col("booked")).alias("cancellation_rate_pct"),
+        safe_ratio(F.col("window_sum"), F.col("window_count")).alias("avg_booking_window_days"),
+        safe_ratio(F.col("price_sum"), F.col("price_count")).alias("avg_cabin_price_usd"),
+        F.col("revenue").alias("total_revenue_usd"),
     )
-    measures = [c for c in grouped.columns if c not in keys]
-    # the calendar columns follow from sail_date, so they stay out of the shuffle key
-    return grouped.select(*keys, *sail_parts(F.col("sail_date")), *measures)
+
+
+def mart_occupancy(bookings: DataFrame) -> DataFrame:
+    """Per ship, itinerary and sail date: counts, rates, averages and active revenue."""
+    return occupancy_of(occupancy_state(bookings))
 
 
 def ltv_segment(value: Column, config: DomainConfig) -> Column:
@@ -95,10 +113,8 @@ def ltv_segment(value: Column, config: DomainConfig) -> Column:
     return chain.otherwise(F.lit(config.ltv_floor))
 
 
-def mart_guest_ltv(
-    bookings: DataFrame, spend: DataFrame, guests: DataFrame, config: DomainConfig = CRUISE
-) -> DataFrame:
-    """Lifetime metrics per guest and brand with the guest's attributes and segment.
+def ltv_state(bookings: DataFrame, spend: DataFrame) -> DataFrame:
+    """Per guest and brand: what adds up over parts of the bookings, each with its spend.
 
     Spend is folded to one row per booking before the join; ``copies`` keeps the weight a
     booking with several spend rows has in counts, sums and averages.
@@ -107,12 +123,9 @@ def mart_guest_ltv(
         F.count("*").cast("int").alias("copies"), F.sum("total_onboard_spend_usd").alias("onboard")
     )
     weight = F.coalesce("copies", F.lit(1))
-    revenue = F.sum(F.when(_active(), F.col("total_revenue_usd") * weight).otherwise(0))
-    onboard = F.sum(zero_if_null(F.col("onboard")))
     priced = F.when(_active() & F.col("cabin_price_usd").isNotNull(), weight)
     windowed = F.when(F.col("booking_window_days").isNotNull(), weight)
-    first, last = F.min("booking_date"), F.max("booking_date")
-    metrics = (
+    return (
         bookings.select(
             "booking_id",
             "guest_id",
@@ -124,29 +137,40 @@ def mart_guest_ltv(
             "total_revenue_usd",
         )
         .join(folded, "booking_id", "left")
-        .groupBy("guest_id", "brand")
+        .groupBy(*LTV_KEYS)
         .agg(
-            F.coalesce(
-                F.sum(F.when(F.col("booking_id").isNotNull(), weight)), F.lit(0)
-            ).alias("total_bookings"),
-            F.coalesce(F.sum(F.when(_active(), weight)), F.lit(0)).alias("completed_voyages"),
-            F.coalesce(F.sum(F.when(F.col("is_cancelled"), weight)), F.lit(0)).alias(
-                "cancelled_bookings"
-            ),
-            first.alias("first_booking_date"),
-            last.alias("last_booking_date"),
-            F.date_diff(last, first).alias("customer_tenure_days"),
-            revenue.alias("total_cabin_revenue"),
-            safe_ratio(F.sum(F.col("cabin_price_usd") * priced), F.sum(priced)).alias(
-                "avg_cabin_price"
-            ),
-            safe_ratio(F.sum(F.col("booking_window_days") * windowed), F.sum(windowed)).alias(
-                "avg_booking_window_days"
-            ),
-            onboard.alias("total_onboard_spend"),
-            (revenue + onboard).alias("total_lifetime_value"),
+            F.sum(F.when(F.col("booking_id").isNotNull(), weight)).alias("booked"),
+            F.sum(F.when(_active(), weight)).alias("kept"),
+            F.sum(F.when(F.col("is_cancelled"), weight)).alias("lost"),
+            F.min("booking_date").alias("first_date"),
+            F.max("booking_date").alias("last_date"),
+            F.sum(F.when(_active(), F.col("total_revenue_usd") * weight).otherwise(0)).alias("revenue"),
+            F.sum(F.col("cabin_price_usd") * priced).alias("price_sum"),
+            F.sum(priced).alias("price_count"),
+            F.sum(F.col("booking_window_days") * windowed).alias("window_sum"),
+            F.sum(windowed).alias("window_count"),
+            F.sum(zero_if_null(F.col("onboard"))).alias("onboard"),
         )
     )
+
+
+def ltv_of(state: DataFrame, guests: DataFrame, config: DomainConfig = CRUISE) -> DataFrame:
+    """The lifetime mart from its counts and sums, with the guest's attributes and segment."""
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    metrics = state.select(
+        *LTV_KEYS,
+        count("booked").alias("total_bookings"),
+        count("kept").alias("completed_voyages"),
+        count("lost").alias("cancelled_bookings"),
+        F.col("first_date").alias("first_booking_date"),
+        F.col("last_date").alias("last_booking_date"),
+        F.date_diff("last_date", "first_date").alias("customer_tenure_days"),
+        F.col("revenue").alias("total_cabin_revenue"),
+        safe_ratio(F.col("price_sum"), F.col("price_count")).alias("avg_cabin_price"),
+        safe_ratio(F.col("window_sum"), F.col("window_count")).alias("avg_booking_window_days"),
+        F.col("onboard").alias("total_onboard_spend"),
+        (F.col("revenue") + F.col("onboard")).alias("total_lifetime_value"),
+    )
     people = guests.select(
         "guest_id", "first_name", "last_name", "country", "age_group", "loyalty_tier"
     )
@@ -157,19 +181,42 @@ def mart_guest_ltv(
     )
 
 
-def booked_prices(bookings: DataFrame) -> DataFrame:
-    """Average active cabin price per itinerary, brand, cabin and sail date."""
+def mart_guest_ltv(
+    bookings: DataFrame, spend: DataFrame, guests: DataFrame, config: DomainConfig = CRUISE
+) -> DataFrame:
+    """Lifetime metrics per guest and brand with the guest's attributes and segment."""
+    return ltv_of(ltv_state(bookings, spend), guests, config)
+
+
+def booked_state(bookings: DataFrame) -> DataFrame:
+    """Sum and count of active cabin prices per itinerary, brand, cabin and sail date."""
+    price = F.col("cabin_price_usd")
     return (
         bookings.where(_active())
-        .groupBy("itinerary_name", "brand", "cabin_category", "sail_date")
-        .agg(exact_mean(F.col("cabin_price_usd")).alias("avg_booked_price_usd"))
+        .groupBy(*PRICE_KEYS)
+        .agg(F.sum(price).alias("price_sum"), F.count(price).alias("price_count"))
     )
 
 
+def booked_of(state: DataFrame) -> DataFrame:
+    mean = safe_ratio(F.col("price_sum"), F.col("price_count"))
+    return state.select(*PRICE_KEYS, mean.alias("avg_booked_price_usd"))
+
+
+def booked_prices(bookings: DataFrame) -> DataFrame:
+    """Average active cabin price per itinerary, brand, cabin and sail date."""
+    return booked_of(booked_state(bookings))
+
+
 def mart_pricing_summary(
     pricing: DataFrame, bookings: DataFrame, band: float = CRUISE.price_band
 ) -> DataFrame:
     """Listed against booked price, one row per price log entry."""
+    return pricing_of(pricing, booked_prices(bookings), band)
+
+
+def pricing_of(pricing: DataFrame, booked_at: DataFrame, band: float = CRUISE.price_band) -> DataFrame:
+    """The pricing mart from the log and the average booked prices."""
     joined = salted_left_join(
         pricing.select(
             "price_log_id",
@@ -180,8 +227,8 @@ def mart_pricing_summary(
             "sail_date",
             "price_usd",
         ),
-        booked_prices(bookings),
-        ["itinerary_name", "brand", "cabin_category", "sail_date"],
+        booked_at,
+        PRICE_KEYS,
         spread_by=["price_log_id"],
     )
     listed = F.col("price_usd").cast("double")

@@ -6,13 +6,23 @@ from dataclasses import dataclass
 from functools import cached_property
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from harborline.config import CRUISE, DomainConfig
+from harborline.functions.names import schema_name
 from harborline.operators.quality import dq_suite, staging_rules
 from harborline.plans import marts, staging, summaries
+from harborline.sources import sinks, tables
 from harborline.sources.durable import stored
 
+# columns that joins and groupings of the marts share; close to unique in their views
+BUCKETED = {
+    "stg_bookings": "booking_id",
+    "stg_onboard_spend": "booking_id",
+    "stg_guests": "guest_id",
+    "ltv_state": "guest_id",
+}
+
 
 class RawSource(Protocol):
     """Anything that offers the four raw tables."""
@@ -50,6 +60,32 @@ class Warehouse:
             other._stored.add(name)
         return other
 
+    def saved(self, schema: str, buckets: int, names: list[str] | None = None) -> Warehouse:
+        """The same warehouse over tables of ``schema``, bucketed by the keys of its joins.
+
+        Bookings meet their spend, and lifetime metrics their guests, without a shuffle, in
+        every later session that reads the tables with ``from_saved``. ``buckets`` should
+        give files of some 100 to 500 MB of the largest view.
+        """
+        spark = self.stg_bookings.sparkSession
+        other = Warehouse(self.source, self.config, self.spend_is_unique)
+        for name in names or list(BUCKETED):
+            built = getattr(other, name) if name == "ltv_state" else getattr(self, name)
+            sinks.save_table(built, name, schema, buckets=(buckets, BUCKETED[name]))
+            other._take(spark, schema, name)
+        return other
+
+    def from_saved(self, spark: SparkSession, schema: str, names: list[str] | None = None) -> Warehouse:
+        """This warehouse over the tables that ``saved`` has written."""
+        other = Warehouse(self.source, self.config, self.spend_is_unique)
+        for name in names or list(BUCKETED):
+            other._take(spark, schema, name)
+        return other
+
+    def _take(self, spark: SparkSession, schema: str, name: str) -> None:
+        self.__dict__[name] = tables.source(spark, schema_name(schema, schema), name)
+        self._stored.add(name)
+
     def _once(self, name: str) -> DataFrame:
         """A view of this warehouse, stored at its first use here and shared from then on."""
         if name not in self._stored:
@@ -81,11 +117,13 @@ class Warehouse:
     def mart_occupancy(self) -> DataFrame:
         return marts.mart_occupancy(self.stg_bookings)
 
+    @cached_property
+    def ltv_state(self) -> DataFrame:
+        return marts.ltv_state(self.stg_bookings, self.stg_onboard_spend)
+
     @cached_property
     def mart_guest_ltv(self) -> DataFrame:
-        return marts.mart_guest_ltv(
-            self.stg_bookings, self.stg_onboard_spend, self.stg_guests, self.config
-        )
+        return marts.ltv_of(self.ltv_state, self.stg_guests, self.config)
 
     @cached_property
     def mart_pricing_summary(self) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.functions.names import schema_name
+from harborline.sources.versions import has_batch, read_version, write_version
 
 INDEX_METADATA = ["type", "brand", "region", "itinerary", "cabin", "position", "year", "quarter"]
 
@@ -38,10 +39,20 @@ def save_table(
     schema: str | None = None,
     default: str = "default",
     partition_by: list[str] | None = None,
+    buckets: tuple[int, str] | None = None,
 ) -> str:
-    """Overwrites a managed parquet table and returns its qualified name."""
+    """Overwrites a managed parquet table and returns its qualified name.
+
+    ``buckets`` are a number and the column whose hash deals the rows into so many files.
+    Joins and groupings on that column of tables with equal numbers need no shuffle. A
+    column with hot values makes a large bucket, so it should be close to a key.
+    """
     name = _qualified(df.sparkSession, table, schema, default)
+    if buckets:
+        df = df.repartition(*buckets)  # the same hash, so every bucket is one file
     writer = df.write.mode("overwrite").format("parquet")
+    if buckets:
+        writer = writer.bucketBy(*buckets)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(name)
@@ -64,15 +75,42 @@ def overwrite_table(df: DataFrame, table: str) -> int:
     return rows.get["rows"]
 
 
+def _index_rows(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text", F.struct(*INDEX_METADATA).alias("metadata"))
+
+
 def write_index(documents: DataFrame, path: str) -> None:
-    """Replaces the document index: id, text and typed metadata."""
-    documents.select(
-        "doc_id", "text", F.struct(*INDEX_METADATA).alias("metadata")
-    ).write.mode("overwrite").parquet(path)
+    """Replaces the document index: id, text and typed metadata.
+
+    Readers see the old index until the new one is complete.
+    """
+    write_version(_index_rows(documents), path)
+
+
+def update_index(
+    changed: DataFrame, path: str, removed: DataFrame | None = None, batch: int | None = None
+) -> bool:
+    """Puts changed documents in place of those with their ids, adds new ones, drops ``removed`` ids.
+
+    An id that is both changed and removed goes. With ``batch``, a repeated update counts once.
+    The index holds one document per group of bookings, so it is written anew as a whole.
+    """
+    spark = changed.sparkSession
+    if batch is not None and has_batch(spark, path, batch):
+        return False
+    rows, old = _index_rows(changed), read_version(spark, path)
+    if old is not None:
+        rows = old.join(rows.select("doc_id"), "doc_id", "left_anti").unionByName(rows)
+    if removed is not None:
+        rows = rows.join(removed.select("doc_id"), "doc_id", "left_anti")
+    return write_version(rows, path, batch)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("doc_id", "text", "metadata.*")
+    index = read_version(spark, path)
+    if index is None:
+        raise FileNotFoundError(f"no document index under {path}")
+    return index.select("doc_id", "text", "metadata.*")
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -715,7 +715,11 @@ ORACLE["csv_documents"] = "SELECT doc_id, text, lang, source, n_chars FROM docum
 ORACLE["saved_mart"] = ORACLE["mart_occupancy"]
 ORACLE["run_log_round_trip"] = ORACLE["action_status"]
 ORACLE["table_overwrite"] = statement("SELECT COUNT(*) AS rows_written FROM m_occupancy")
-ORACLE["index_round_trip"] = statement("SELECT doc_id, text, type, brand FROM docs")
+ORACLE["mart_revenue_saved"] = ORACLE["mart_revenue"]
+ORACLE["mart_guest_ltv_saved"] = ORACLE["mart_guest_ltv_delivered"] = ORACLE["mart_guest_ltv"]
+ORACLE["mart_occupancy_delivered"] = ORACLE["mart_occupancy"]
+ORACLE["mart_pricing_delivered"] = ORACLE["mart_pricing_summary"]
+ORACLE["index_update"] = ORACLE["index_round_trip"] = statement("SELECT doc_id, text, type, brand FROM docs")
 
 
 def _model_rows(run: str, trees: int, depth: int, metric: str, groups: str) -> str:
