@@ -513,14 +513,16 @@ def index_round_trip(star, wh):
 
 @_query
 def run_log_round_trip(star, wh):
-    """Events appended in two runs; the log read back gives the current status."""
+    """Events appended in two runs, the second done twice; the log gives the current status."""
     path = _fresh_path(star, "log")
     proposed = stored(_all_actions(wh))
     decided = actions.decide(proposed, _decisions(proposed))
     sinks.append_log(actions.log_events(proposed, _run_at()), path)
     later = _run_at() + F.expr("interval 1 hour")
-    sinks.append_log(actions.log_events(decided.where(F.col("status") != actions.PENDING), later), path)
-    return actions.current_status(star.spark.read.parquet(path))
+    changed = actions.log_events(decided.where(F.col("status") != actions.PENDING), later)
+    for _ in range(2):
+        sinks.append_log(changed, path, "decisions")
+    return actions.current_status(sinks.read_log(star.spark, path))
 
 
 # --- small operators -----------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +115,17 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return index.select("doc_id", "text", "metadata.*")
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append-only log: training runs, actions, decisions, chat turns."""
-    rows.write.mode("append").parquet(path)
+def append_log(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append-only log: training runs, actions, decisions, chat turns.
+
+    Every append is a folder of its own. With ``batch``, the name of one append among all
+    of this log, an append that is done again takes the place of its first try, so a
+    retried job logs its rows once.
+    """
+    folder = f"{path}/batch={uuid4().hex if batch is None else batch}"
+    rows.write.mode("errorifexists" if batch is None else "overwrite").parquet(folder)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All appended rows, also those of files that lie in the log's folder itself."""
+    return spark.read.option("recursiveFileLookup", True).parquet(path)

@@ -212,13 +212,23 @@ def test_actions_decisions_and_stream(spark, make_bookings, tmp_path):
     for n, (action, answer) in enumerate([(ids[0], "no"), (ids[0], "yes"), ("unknown", "yes")]):
         row = {"action_id": action, "answer": answer, "decided_at": f"2024-01-0{n + 2}T00:00:00"}
         (inbox / f"{n}.json").write_text(json.dumps(row))
-    for _ in range(2):  # the second run finds nothing new
-        log_decisions(
-            read_decisions(spark, str(inbox)), proposed, log, str(tmp_path / "offsets")
-        ).awaitTermination(120)
-    logged = spark.read.parquet(log)
-    assert logged.count() == 2
-    events = spark.read.parquet(str(tmp_path / "proposed")).unionByName(logged)
+
+    def take_in():
+        stream = read_decisions(spark, str(inbox))
+        log_decisions(stream, proposed, log, str(tmp_path / "offsets")).awaitTermination(120)
+        return sorted(sinks.read_log(spark, log).collect())
+
+    first = take_in()
+    assert len(first) == 2
+    assert take_in() == first  # nothing new
+    (inbox / "again.json").write_text((inbox / "0.json").read_text())
+    assert take_in() == first  # a decision delivered again
+    last = max(int(f.name) for f in (tmp_path / "offsets" / "commits").iterdir() if f.name.isdigit())
+    for f in (str(last), f".{last}.crc"):
+        (tmp_path / "offsets" / "commits" / f).unlink(missing_ok=True)
+    assert take_in() == first  # a batch whose end was not recorded runs again
+    logged = sinks.read_log(spark, log)
+    events = sinks.read_log(spark, str(tmp_path / "proposed")).unionByName(logged)
     now = {r.action_id: r.status for r in actions.current_status(events).collect()}
     assert [now[i] for i in ids] == ["APPROVED", "PENDING_APPROVAL", "PENDING_APPROVAL"]
 
@@ -252,7 +262,7 @@ def test_training_logs_and_saves(spark, warehouse, tmp_path):
     assert models.score_saved(nulls, path).select("score").first()[0] is not None
     sinks.append_log(trained.run_log, str(tmp_path / "runs"))
     sinks.append_log(trained.run_log, str(tmp_path / "runs"))
-    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2 * trained.run_log.count()
+    assert sinks.read_log(spark, str(tmp_path / "runs")).count() == 2 * trained.run_log.count()
 
 
 def test_free_sql_and_views(spark, warehouse):

@@ -10,6 +10,7 @@ from harborline.plans.increments import MartStates, add_state
 from harborline.plans.warehouse import RawTables, Warehouse
 from harborline.sources import sinks
 from harborline.sources.versions import read_version, versions, write_version
+from harborline.streaming.decisions import log_deliveries
 
 
 def _ids(df):
@@ -116,6 +117,36 @@ def test_a_delivery_that_failed_half_way_is_completed(spark, tmp_path, make_book
         "country string, age_group string, loyalty_tier string")).first().total_bookings == 2
 
 
+def test_an_append_done_again_replaces_its_first_try(spark, tmp_path):
+    log = str(tmp_path / "log")
+    spark.range(2).write.parquet(log)  # files of a log from before
+    sinks.append_log(spark.range(10, 12), log)
+    for _ in range(3):
+        sinks.append_log(spark.range(20, 22), log, "a")
+    sinks.append_log(spark.range(30, 31), log, "b")
+    assert _ids(sinks.read_log(spark, log)) == [0, 1, 10, 11, 20, 21, 30]
+
+
+def test_bookings_arriving_as_a_stream(spark, tmp_path, make_bookings):
+    inbox, state, offsets = (str(tmp_path / n) for n in ("inbox", "state", "offsets"))
+    whole = [_booked(i) for i in range(30)]
+
+    def arrive(rows):
+        bookings = make_bookings(*rows)
+        bookings.coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(bookings.schema).parquet(inbox)
+        log_deliveries(stream, state, offsets).awaitTermination(120)
+        return Counter(marts.occupancy_of(read_version(spark, state)).collect())
+
+    for some in (whole[:13], whole[13:]):
+        got = arrive(some)
+    assert got == Counter(marts.mart_occupancy(make_bookings(*whole)).collect())
+    (tmp_path / "offsets" / "commits" / "1").unlink()
+    (tmp_path / "offsets" / "commits" / ".1.crc").unlink(missing_ok=True)
+    again = arrive([_booked(99)])  # batch 1 runs again, then the new booking
+    assert again == Counter(marts.mart_occupancy(make_bookings(*whole, _booked(99))).collect())
+
+
 def test_saved_tables_are_joined_without_a_shuffle(
     spark, make_bookings, make_spend, make_guests, make_pricing
 ):
