@@ -131,7 +131,8 @@ def _refined(sample: DataFrame, centers: np.ndarray) -> np.ndarray:
                 for d in range(vectors.shape[1]):
                     total[:, d] += np.bincount(at, vectors[:, d], minlength=len(centers))
         met = np.flatnonzero(n)
-        yield pd.DataFrame({"cell": met, "n": n[met], "total": list(total[met])})
+        if len(met):  # a task may have no rows; an empty column of lists has no Arrow type
+            yield pd.DataFrame({"cell": met, "n": n[met], "total": list(total[met])})
 
     parts = sample.select("unit").mapInPandas(sums, "cell long, n long, total array<double>")
     summed = [F.sum(F.col("total")[d]).alias(f"t{d}") for d in range(centers.shape[1])]

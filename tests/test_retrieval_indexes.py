@@ -90,6 +90,12 @@ def test_cells_of_tiny_and_empty_corpora(spark):
     assert cells.ivf_topk(asked, few.limit(0), 6).count() == 0
 
 
+def test_centers_move_though_some_tasks_have_no_rows(spark):
+    sample = spark.createDataFrame([([0.8, 0.6],)], "unit array<double>").repartition(5)
+    moved = cells._refined(sample, np.eye(2))
+    assert moved.tolist() == [[0.8, 0.6], [0.0, 1.0]]
+
+
 def _tokens(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
