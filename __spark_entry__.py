@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce, wraps
 from uuid import uuid4
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -630,27 +632,42 @@ def metric_regression(star, wh):
     )
 
 
+_FRAMES: dict[tuple[str, str], DataFrame] = {}
 _TRAINED: dict[tuple[str, str, str], models.TrainedModel] = {}
 
 
+def _model_frame(star: StarSource, wh: Warehouse) -> DataFrame:
+    """The feature frame that all models are fitted on, stored once per session and folder."""
+    key = (star.spark.sparkContext.applicationId, star.folder)
+    if key not in _FRAMES:
+        wh = wh.staged("stg_bookings")
+        frame = features.feature_frame(
+            wh.mart_revenue, wh.mart_guest_ltv, STAR_CONFIG, bookings=wh.stg_bookings
+        )
+        _FRAMES[key] = stored(frame)
+    return _FRAMES[key]
+
+
 def _train(name: str):
     """Each model is fitted once per session and folder, with all its rounds."""
 
     def run(star: StarSource, wh: Warehouse) -> models.TrainedModel:
         key = (star.spark.sparkContext.applicationId, star.folder, name)
         if key not in _TRAINED:
-            _TRAINED[key] = fit(star, wh.staged("stg_bookings"))
+            _TRAINED[key] = models.train(_model_frame(star, wh), models.SPECS[name], ["booking_id"])
         return _TRAINED[key]
 
-    def fit(star: StarSource, wh: Warehouse) -> models.TrainedModel:
-        frame = features.feature_frame(
-            wh.mart_revenue, wh.mart_guest_ltv, STAR_CONFIG, bookings=wh.stg_bookings
-        )
-        return models.train(frame, models.SPECS[name], ["booking_id"])
-
     return run
 
 
+def _train_all(star: StarSource, wh: Warehouse) -> list[models.TrainedModel]:
+    """All models, fitted side by side: a fit is many short jobs, between which cores would idle."""
+    _model_frame(star, wh)
+    with ThreadPoolExecutor(len(models.SPECS)) as pool:
+        fit = inheritable_thread_target(star.spark)(lambda name: _train(name)(star, wh))
+        return list(pool.map(fit, models.SPECS))
+
+
 @_query
 def gbt_cancellation(star, wh):
     return _train("cancellation_risk")(star, wh).run_log
@@ -669,7 +686,7 @@ def gbt_upsell(star, wh):
 @_query
 def model_runs(star, wh):
     """What the three run logs say that does not depend on the fit, and a bound on each score."""
-    logs = [_train(name)(star, wh).run_log for name in models.SPECS]
+    logs = [trained.run_log for trained in _train_all(star, wh)]
     log = reduce(DataFrame.unionByName, logs)
     score = F.col("key").isin("auc_roc", "r2")
     bounded = F.when(score, (F.col("value") > 0.5).cast("double")).otherwise(F.col("value"))
@@ -682,8 +699,8 @@ def model_runs(star, wh):
 def gbt_nodes(star, wh):
     """Each model saved, read back as a table of nodes and scored by it: rows and features that agree."""
     found = [
-        models.compare_with_nodes(_train(name)(star, wh), ["booking_id"], _fresh_path(star, name))
-        for name in models.SPECS
+        models.compare_with_nodes(trained, ["booking_id"], _fresh_path(star, trained.spec.run))
+        for trained in _train_all(star, wh)
     ]
     return reduce(DataFrame.unionByName, found)
 

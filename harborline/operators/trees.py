@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,37 +77,51 @@ def _packed(nodes: DataFrame) -> DataFrame:
     return row.select(F.struct(*[F.col(f"n.{c}").alias(c) for c in fields], roots.alias("roots")).alias("model"))
 
 
-def ensemble_sum(model: Column, inputs: Column, depth: int) -> Column:
-    """The weighted sum of the leaves that the inputs reach, tree by tree."""
+def _walker(nodes: DataFrame, depth: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The weighted sum of the leaves that every row of a matrix reaches, tree by tree."""
+    model = _packed(nodes).first()["model"]
+    size = len(model["value"])
+    leaf = np.array([n is None for n in model["left"]], dtype=bool)
+    here = np.arange(size)  # a leaf leads to itself
 
-    def walk(m: Column) -> Column:
-        def leaf(root: Column) -> Column:
-            def step(node: Column, _: Column) -> Column:
-                down = F.get(m["x"], F.get(m["model"]["feature"], node)) <= F.get(m["model"]["threshold"], node)
-                child = F.when(down, F.get(m["model"]["left"], node)).otherwise(F.get(m["model"]["right"], node))
-                return F.when(F.get(m["model"]["left"], node).isNull(), node).otherwise(child)
+    def filled(field: str, other, kind: str) -> np.ndarray:
+        return np.where(leaf, other, np.array([0 if v is None else v for v in model[field]])).astype(kind)
 
-            return F.reduce(F.sequence(F.lit(1), F.lit(depth)), root, step)
+    feature, threshold = filled("feature", 0, "int64"), filled("threshold", 0.0, "float64")
+    left, right = filled("left", here, "int64"), filled("right", here, "int64")
+    value, roots = np.array(model["value"], dtype="float64"), model["roots"]
 
-        return F.reduce(m["model"]["roots"], F.lit(0.0), lambda s, r: s + F.get(m["model"]["value"], leaf(r)))
+    def walk(inputs: np.ndarray) -> np.ndarray:
+        total, row = np.zeros(len(inputs)), np.arange(len(inputs))
+        for root in roots:
+            at = np.full(len(inputs), root)
+            for _ in range(depth):
+                at = np.where(inputs[row, feature[at]] <= threshold[at], left[at], right[at])
+            total += value[at]
+        return total
 
-    both = F.array(F.struct(model.alias("model"), inputs.alias("x")))
-    return F.element_at(F.transform(both, walk), 1)
+    return walk
 
 
 def score_rows(rows: DataFrame, trees: SavedTrees, features: list[str]) -> DataFrame:
     """``rows`` with ``prediction`` and ``score``: for classifiers the probability of class 1, else
     the prediction itself. A null feature counts as 0, as in the training rows.
 
-    The node table is one row that every task gets; rows stay where they are, and every row walks
-    down all trees inside one expression.
+    The nodes, bounded by the rounds and the depth, travel to every task; rows stay where they
+    are, and a batch of them walks down all trees one step at a time.
     """
-    inputs = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    walk = _walker(trees.nodes, trees.depth)
+
+    @F.pandas_udf("double")
+    def summed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(walk(np.column_stack(batch)), dtype="float64")
+
+    inputs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]
     score = 1 / (1 + F.exp(-2 * F.col("_sum"))) if trees.classifier else F.col("_sum")
     prediction = (F.col("score") > 0.5).cast("double") if trees.classifier else F.col("score")
-    met = rows.withColumn("_model", _packed(trees.nodes).scalar())
-    summed = met.withColumn("_sum", ensemble_sum(F.col("_model"), inputs, trees.depth)).drop("_model")
-    return summed.withColumn("score", score).withColumn("prediction", prediction).drop("_sum")
+    met = rows.withColumn("_sum", summed(*inputs))
+    return met.withColumn("score", score).withColumn("prediction", prediction).drop("_sum")
 
 
 def importances(trees: SavedTrees, features: list[str]) -> DataFrame:

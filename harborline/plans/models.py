@@ -22,6 +22,7 @@ from harborline.sources.durable import stored
 LABEL_INPUTS = ["is_cancelled", "total_onboard_spend_usd", "total_guest_value_usd", "nights"]
 SEED = 42
 TEST_SHARE = 0.2
+PART_ROWS = 5_000_000  # rows that a fit holds in one part, some 700 MB
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,16 @@ def model_rows(frame: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFrame:
     return stratified_split(rows, keys, stratum, TEST_SHARE, SEED)
 
 
+def in_parts(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows for a fit, in no more parts than there are cores, or a multiple of that.
+
+    Every level of every tree sends the counts of its nodes from each part, so the number of parts
+    follows the cores, not the files. Parts are put together where they lie, in their order.
+    """
+    cores = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.coalesce(cores * max(1, -(-n // (cores * PART_ROWS))))
+
+
 def positive_probability(name: str = "probability"):
     return vector_to_array(F.col(name))[1]
 
@@ -114,10 +125,11 @@ def train(
             seed=SEED,
         ),
     ]
-    model = Pipeline(stages=stages).fit(rows.where(~F.col("is_test")))
+    fitted = rows.where(~F.col("is_test"))
+    model = Pipeline(stages=stages).fit(in_parts(fitted, fitted.count()))
     scored = model.transform(rows.where(F.col("is_test")))
     score = positive_probability() if spec.classifier else F.col("prediction")
-    scored = scored.select(*keys, "label", "prediction", score.alias("score"))
+    scored = stored(scored.select(*keys, "label", "prediction", score.alias("score")))
     weights = model.stages[-1].featureImportances.toArray()
     importance = spark.createDataFrame(
         [(n, float(w)) for n, w in zip(FEATURES, weights)], "feature string, importance double"
@@ -152,7 +164,7 @@ def save_model(trained: TrainedModel, path: str) -> None:
 
 def score_saved(frame: DataFrame, path: str) -> DataFrame:
     """``frame`` with the prediction and score of the model saved at ``path``, walked as a table of
-    nodes: rows are neither assembled into vectors nor moved."""
+    nodes: rows are not moved."""
     return score_rows(frame, read_trees(frame.sparkSession, path), FEATURES)
 
 

@@ -1,7 +1,9 @@
 import datetime as dt
 import json
 from decimal import Decimal
+from types import SimpleNamespace
 
+import __spark_entry__ as entry
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -9,11 +11,13 @@ from pyspark.sql import functions as F
 from harborline.functions.names import padded_id, schema_name, stamped_id
 from harborline.functions.numeric import row_total
 from harborline.functions.text import strip_code_fences, thousands, words
+from harborline.operators import trees
 from harborline.operators.quality import dq_suite, staging_rules
 from harborline.plans import actions, anomalies, features, marts, models, questions, starter, summaries
 from harborline.plans.warehouse import RawTables, Warehouse
 from harborline.schemas import BOOKINGS, RAW_TABLES
 from harborline.sources import sinks, tables
+from harborline.sources.durable import stored
 from harborline.streaming.decisions import log_decisions, read_decisions
 
 
@@ -265,6 +269,54 @@ def test_training_logs_and_saves(spark, warehouse, tmp_path):
     assert sinks.read_log(spark, str(tmp_path / "runs")).count() == 2 * trained.run_log.count()
 
 
+def test_parts_of_a_fit_follow_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    files = stored(spark.range(4000).repartition(30, "id"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4k")
+    try:
+        parts = models.in_parts(files, 4000).rdd.glom().collect()
+        assert files.rdd.getNumPartitions() > cores == len(parts)
+        assert parts == models.in_parts(files, 4000).rdd.glom().collect()
+        assert sorted(r.id for p in parts for r in p) == list(range(4000))
+        more = models.in_parts(files, cores * models.PART_ROWS + 1)
+        assert more.rdd.getNumPartitions() == 2 * cores
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_nodes_are_walked_in_batches(spark):
+    schema = "tree int, node int, feature int, threshold double, left int, right int, value double, gain double, weight double, n_rows double"
+    nodes = [
+        (0, 0, 0, 1.0, 1, 2, 9.0, 1.0, 1.0, 4.0),
+        (0, 1, None, None, None, None, 1.0, None, 1.0, 2.0),
+        (0, 2, 1, 0.0, 3, 4, 9.0, 1.0, 1.0, 2.0),
+        (0, 3, None, None, None, None, 2.0, None, 1.0, 1.0),
+        (0, 4, None, None, None, None, 3.0, None, 1.0, 1.0),
+        (1, 0, None, None, None, None, 4.0, None, 0.5, 4.0),
+    ]
+    saved = trees.SavedTrees(spark.createDataFrame(nodes, schema), False, 2)
+    nan = float("nan")
+    rows = [(0, 1.0, 5.0), (1, 1.5, 0.0), (2, 1.5, 0.5), (3, None, None), (4, nan, None), (5, nan, nan)]
+    scored = trees.score_rows(spark.createDataFrame(rows, "id int, a double, b double"), saved, ["a", "b"])
+    assert {r.id: r.score for r in scored.collect()} == {0: 3.0, 1: 4.0, 2: 5.0, 3: 3.0, 4: 4.0, 5: 5.0}
+    assert "ArrowEvalPython" in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_models_share_one_frame(spark, monkeypatch):
+    asked, marker = [], spark.range(3)
+    monkeypatch.setattr(entry, "_FRAMES", {})
+    monkeypatch.setattr(entry, "_TRAINED", {})
+    monkeypatch.setattr(entry.features, "feature_frame", lambda *a, **k: asked.append(1) or marker)
+    monkeypatch.setattr(entry.models, "train", lambda frame, spec, keys: (spec.run, frame.count()))
+    star = SimpleNamespace(spark=spark, folder="none")
+    names = ["mart_revenue", "mart_guest_ltv", "stg_bookings"]
+    wh = SimpleNamespace(staged=lambda *a: SimpleNamespace(**dict.fromkeys(names)))
+    assert entry._train_all(star, wh) == [(name, 3) for name in models.SPECS]
+    assert entry._train("upsell_propensity")(star, wh) == ("upsell_propensity", 3) and len(asked) == 1
+
+
 def test_free_sql_and_views(spark, warehouse):
     questions.register_marts(warehouse.marts())
     got = questions.run_sql(spark, "```sql\nSELECT COUNT(*) AS n FROM mart_revenue\n```").first()
