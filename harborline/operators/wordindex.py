@@ -38,16 +38,16 @@ class WordIndex:
     ``slice`` is a hash of the word and a folder of its own in ``postings`` and ``weights``.
     """
 
-    postings: DataFrame  # (slice, word, group, most, list): places in the group, then their weights
+    postings: DataFrame  # (slice, word, group, most, list): pairs of a place in the group and a count
     weights: DataFrame  # (slice, word, idf), one row per distinct word
-    groups: DataFrame  # (group, ids): the documents of a group by their places
+    groups: DataFrame  # (group, ids, norms): the documents of a group by their places
     n: int
     slices: int
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], postings: int) -> Iterator[pa.RecordBatch]:
     """Rows ``(doc_id, words)`` to rows ``(group, at, word, list)``: the places of a word's
-    documents in their group, each followed by how often it stands there, as 32-bit numbers.
+    documents in their group, each followed by how often it stands there, see ``_packed``.
     ``at`` numbers the words of a group. The row of the word null holds the group's documents
     themselves."""
     number = TaskContext.get().partitionId() << 32  # postings // 1024 more by document close it in time
@@ -68,13 +68,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], postings: int) -> Iterator[pa.Re
             order = np.argsort(code[a:b], kind="stable")
             own = code[a:b][order]
             starts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), b - a)
-            pairs = np.stack([doc[a:b][order] - first, tf[a:b][order]], 1).astype("<i4")
+            pairs = np.stack([doc[a:b][order] - first, tf[a:b][order]], 1)
             n = len(starts) - 1
             columns = [
                 pa.array(np.full(n, number), pa.int64()),
                 pa.array(np.arange(n), pa.int32()),
                 coded.dictionary.take(pa.array(own[starts[:-1]])),
-                _binary(pairs.tobytes(), starts * 8),
+                _packed(pairs, starts),
                 pa.nulls(n, pa.list_(ids.type)),
             ]
             names = ["group", "at", "word", "list", "ids"]
@@ -92,30 +92,54 @@ def _binary(data: bytes, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
 
 
+def _packed(pairs: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The pairs between neighbouring starts as one value each: 16-bit numbers, or where one of
+    the group's is greater, 32-bit numbers and a byte that makes the length odd."""
+    if pairs.max() < 1 << 16:
+        return _binary(pairs.astype("<u2").tobytes(), starts * 4)
+    parts = np.split(pairs.astype("<i4"), starts[1:-1])
+    return pa.array([part.tobytes() + b"\0" for part in parts], pa.binary())
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = len(data) % 2
+    pairs = np.frombuffer(data, "<i4" if wide else "<u2", len(data) // (8 if wide else 4) * 2)
+    return pairs[::2], pairs[1::2]
+
+
+def _n_documents() -> Column:
+    """How many documents a list holds."""
+    n = F.octet_length("list")
+    return F.when(n % 2 == 1, (n - 1) / 8).otherwise(n / 4)
+
+
 def _weighed(postings: pa.Table, idfs: pa.Table) -> pa.Table:
-    """A group's rows ``(group, at, word, list)`` and ``(of, n, idf)`` to rows with weights; its
-    documents have norm 1. A list holds all places as 32-bit numbers, then all weights as doubles."""
+    """A group's rows ``(group, at, word, list)`` and ``(of, n, idf)`` to rows with the greatest
+    weight of each word, where the group's documents have norm 1. The weights themselves are not
+    kept: they follow from the counts, the word's idf and the norms, which are the list of the
+    row of the word null, as doubles."""
     if not len(postings):
         return _POSTING.empty_table()
     postings, idfs = postings.sort_by("at"), idfs.sort_by("n")
     lists = postings.column("list").to_pylist()
-    sizes = np.array([len(x) // 8 for x in lists])
-    docs, tfs = np.frombuffer(b"".join(lists), "<i4").reshape(-1, 2).T
+    pairs = [_unpacked(x) for x in lists]
+    docs, tfs = (np.concatenate(side) for side in zip(*pairs))
+    sizes = np.array([len(places) for places, _ in pairs])
     raw = tfs * np.repeat(idfs.column("idf").to_numpy(), sizes)
-    weight = raw / np.sqrt(np.bincount(docs, raw * raw))[docs]
-    starts = np.append(0, np.cumsum(sizes))
-    packed = [docs[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
-    most = pa.array(np.maximum.reduceat(weight, starts[:-1]))
-    columns = [postings.column("word"), postings.column("group"), most, pa.array(packed, pa.binary())]
+    norms = np.sqrt(np.bincount(docs, raw * raw))
+    most = np.maximum.reduceat(raw / norms[docs], np.cumsum(sizes) - sizes).astype(np.float32)
+    most = np.nextafter(most, np.float32(np.inf))  # a bound, so never rounded down
+    group = postings.column("group").combine_chunks()
+    columns = [
+        pa.array([*postings.column("word").to_pylist(), None], pa.string()),
+        pa.array(np.append(group.to_numpy(), group[0].as_py())),
+        pa.array(np.append(most, np.float32(0))),
+        pa.array([*lists, norms.astype("<f8").tobytes()], pa.binary()),
+    ]
     return pa.Table.from_arrays(columns, schema=_POSTING)
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 12
-    return np.frombuffer(data, "<i4", n), np.frombuffer(data, "<f8", n, 4 * n)
-
-
-_POSTING = pa.schema([("word", pa.string()), ("group", pa.int64()), ("most", pa.float64()), ("list", pa.binary())])
+_POSTING = pa.schema([("word", pa.string()), ("group", pa.int64()), ("most", pa.float32()), ("list", pa.binary())])
 
 
 def _slice(slices: int) -> Column:
@@ -128,8 +152,9 @@ def build_word_index(
     """Index of ``corpus(doc_id, text)`` over whole texts; every word is itself the key.
 
     Words are counted where their texts lie. What is shuffled by word is one row per group and
-    distinct word, never one per posting; the weights go back to the groups, which then know
-    their documents' norms. A word of all documents has a row per group, not one list.
+    distinct word, never one per posting; the idfs go back to the groups, which then know
+    their documents' norms. A word of all documents has a row per group, not one list. Lists hold
+    counts from first to last, so weights are neither moved nor stored.
     """
     kind = corpus.schema["doc_id"].dataType.simpleString()
     split = corpus.select("doc_id", F.coalesce(words(F.col("text")), F.array()).alias("ws"))
@@ -141,22 +166,25 @@ def build_word_index(
     n = corpus.count()
     postings = whole.where("word IS NOT NULL").select("group", "at", "word", "list")
     slices = slices or max(FEWEST_SLICES, min(SLICES, postings.count() // SLICE_BLOCKS))
-    idf = F.log(F.lit(n + 1) / (F.sum(F.octet_length("list") / 8) + 1)) + 1
+    idf = F.log(F.lit(n + 1) / (F.sum(_n_documents()) + 1)) + 1
     weights = stored(
         postings.groupBy("word").agg(idf.alias("idf")).select("word", "idf", _slice(slices)).repartition("slice"),
         by="slice",
     )
     known = weights.select("word", "idf").join(postings.select("group", "at", "word"), "word")
     by_group = known.select(F.col("group").alias("of"), F.col("at").alias("n"), "idf").groupBy("of")
+    # norms have folders of their own, below zero
+    of_norms = -1 - F.pmod(F.xxhash64("group"), F.lit(1 + slices // 16)).cast("int")
     weighed = (
         postings.groupBy("group")
         .cogroup(by_group)
-        .applyInArrow(_weighed, "word string, group long, most double, list binary")
-        .select("*", _slice(slices))
+        .applyInArrow(_weighed, "word string, group long, most float, list binary")
+        .select("*", F.when(F.col("word").isNull(), of_norms).otherwise(_slice(slices)).alias("slice"))
     )
-    ordered = weighed.repartition("slice").sortWithinPartitions("slice", "word")
-    groups = stored(whole.where("word IS NULL").select("group", "ids"))
-    return WordIndex(stored(ordered, by="slice"), weights, groups, n, slices)
+    ordered = stored(weighed.repartition("slice").sortWithinPartitions("slice", "word"), by="slice")
+    norms = ordered.where("slice < 0").select("group", F.col("list").alias("norms"))
+    groups = stored(whole.where("word IS NULL").select("group", "ids").join(norms, "group"))
+    return WordIndex(ordered.where("slice >= 0"), weights, groups, n, slices)
 
 
 def asked_words(index: WordIndex, queries: DataFrame) -> DataFrame:
@@ -185,8 +213,11 @@ def upper_bounds(index: WordIndex, asked: DataFrame) -> DataFrame:
 def _best_of_group(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         flat = []
-        for ids, held, wanted in zip(batch["ids"], batch["held"], batch["wanted"]):
-            lists = {p["word"]: _unpacked(p["list"]) for p in held}
+        for ids, norms, held, wanted in zip(batch["ids"], batch["norms"], batch["held"], batch["wanted"]):
+            norms, lists = np.frombuffer(norms, "<f8"), {}
+            for p in held:
+                docs, tfs = _unpacked(p["list"])
+                lists[p["word"]] = docs, tfs * p["idf"] / norms[docs]
             for q in wanted:
                 scores = np.zeros(len(ids))
                 for t in sorted(q["terms"], key=lambda t: t["word"]):
@@ -218,14 +249,16 @@ def score_groups(index: WordIndex, asked: DataFrame, pairs: DataFrame, k: int) -
         .groupBy("group", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
         .agg(F.collect_list(F.struct("query_id", "terms")).alias("wanted"))
     )
+    met_words = asked.where(_ASKED).select("slice", "word").distinct()
+    idfs = stored(met_words.join(index.weights, ["slice", "word"]))  # small: postings stay where they are
     held = (
-        index.postings.join(asked.where(_ASKED).select("slice", "word").distinct(), ["slice", "word"])
+        index.postings.join(idfs, ["slice", "word"])
         .join(pairs.select("group").distinct(), "group", "left_semi")
         .groupBy("group")
-        .agg(F.collect_list(F.struct("word", "list")).alias("held"))
+        .agg(F.collect_list(F.struct("word", "list", "idf")).alias("held"))
     )
     kinds = asked.schema["query_id"].dataType.simpleString(), index.groups.schema["ids"].dataType.elementType.simpleString()
-    met = index.groups.join(held, "group").join(wanted, "group").select("ids", "held", "wanted")
+    met = index.groups.join(held, "group").join(wanted, "group").select("ids", "norms", "held", "wanted")
     schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, similarity double"
     return met.mapInPandas(lambda batches: _best_of_group(batches, k), schema)
 

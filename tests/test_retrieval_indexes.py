@@ -161,3 +161,13 @@ def test_index_of_an_empty_corpus(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "a")], "query_id long, text string")
     assert wordindex.tfidf_topk(asked, wordindex.build_word_index(none), 3).count() == 0
+
+
+def test_lists_hold_counts_not_weights(spark):
+    """A posting takes 4 bytes, and 8 where a word stands 65,536 times or more in a text."""
+    corpus = [(i, f"common w{i % 7} w{i}") for i in range(200)]
+    index, _ = _check_words(spark, corpus, [(0, "common w3"), (1, "w150 w3")], slices=8)
+    got = index.postings.agg(F.sum(F.octet_length("list")).alias("n")).first().n
+    assert got == 4 * sum(len(set(text.split())) for _, text in corpus)
+    corpus.append((900, "w3 " * 70_000 + "common w5"))
+    _check_words(spark, corpus, [(0, "common w3"), (1, "w3 w5")], slices=8)
