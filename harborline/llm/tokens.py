@@ -11,8 +11,8 @@ import regex
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
-MOST_WORDS = 400_000  # words remembered by a Python worker before it starts anew
-MOST_PARTS = 100_000  # parts of words remembered beside them
+MOST_WORDS = 600_000  # words remembered by a Python worker before it drops those met only once
+MOST_PARTS = 200_000  # parts of words remembered beside them
 # fixed value: the split of a text into parts that are encoded on their own
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # a cut before a space is a cut between parts unless the space stands between other white space
@@ -47,19 +47,41 @@ class Encoder:
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.letters = _byte_letters()
-        self._forget()
-
-    def _forget(self) -> None:
+        self.letters = str.maketrans(_byte_letters())
         self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int32)
         self.lengths = np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.int32)  # batches of texts that held the word
 
-    def _part(self, part: str) -> list[int]:
-        word = part.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = self.parts[part] = [t.id for t in self.model.tokenize(word)]
+    def _forget(self) -> None:
+        """Drops the words met in one batch only; all of them if too few are."""
+        kept = np.flatnonzero(self.met > 1)
+        if 2 * len(kept) > MOST_WORDS:
+            kept = kept[:0]
+        words = list(self.known)
+        self.known = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.ids = self._ids_at(kept)[0]
+        self.lengths = self.lengths[kept]
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
+        self.met = np.ones(len(kept), np.int32)
+
+    def _ids_at(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words one after another, and the words' bounds in them."""
+        lengths = self.lengths[numbers]
+        bounds = np.zeros(len(lengths) + 1, np.int32)
+        np.cumsum(lengths, out=bounds[1:])
+        at = np.repeat(self.starts[numbers] - bounds[:-1], lengths)
+        at += np.arange(bounds[-1], dtype=np.int32)
+        return self.ids[at], bounds
+
+    def _part(self, part: str) -> tuple[int, ...]:
+        if part.isascii() and part.isprintable():  # but for the space, such a byte is its own letter
+            word = part.replace(" ", self.letters[32])
+        else:
+            word = part.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = self.parts[part] = tuple([t.id for t in self.model.tokenize(word)])
         return ids
 
     def _learn(self, words: list[str]) -> None:
@@ -85,13 +107,14 @@ class Encoder:
         ends = len(self.ids) + np.cumsum(sizes, dtype=np.int32)
         self.starts = np.concatenate([self.starts, ends - sizes])
         self.lengths = np.concatenate([self.lengths, sizes])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int32)])
         self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         known = self.known
-        new = [w for w in words if w not in known]
+        new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
-            self._learn(list(dict.fromkeys(new)))
+            self._learn(new)
         return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,15 +148,12 @@ class Encoder:
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         spaced = self._numbers(pc.binary_join_element_wise(SPACE, coded.dictionary, EMPTY).to_pylist())
+        self.met[spaced] += 1
         numbers = spaced[coded.indices.to_numpy()]
         heads = split.flatten().take(pa.array(bounds[:-1]))
         numbers[bounds[:-1]] = self._numbers(heads.to_pylist())
-        lengths = self.lengths[numbers]
-        ends = np.zeros(len(lengths) + 1, np.int32)
-        np.cumsum(lengths, out=ends[1:])
-        at = np.repeat(self.starts[numbers] - ends[:-1], lengths)
-        at += np.arange(ends[-1], dtype=np.int32)
-        return self.ids[at], ends[bounds].astype(np.int64)
+        ids, ends = self._ids_at(numbers)
+        return ids, ends[bounds].astype(np.int64)
 
 
 @lru_cache(maxsize=1)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from harborline.llm import binary, packing
+from harborline.llm import binary, packing, tokens
 from harborline.llm.tokens import Encoder, default_vocabulary
 
 
@@ -153,3 +153,16 @@ def test_token_files_hold_all_documents(make_docs, odd_rows, library):
         wanted = {(len(ids), _crc(ids)) for ids in (library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts[r.doc_id])}
         assert (r.n_tokens, r.ids_crc32) in wanted
     assert binary.token_table(make_docs([])).count() == 0
+
+
+def test_a_full_memory_keeps_words_met_again(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 60)
+    encode = tokens.Encoder(tokens.default_vocabulary())
+    batches = [" ".join(["the", "Ünder", "a.\nb"] + [f"w{k}x{i}" for i in range(40)]) for k in range(2)]
+    batches += ["quite other words", "", "the Ünder a.\nb w0x3"]
+    for text in batches:
+        ids, bounds = encode.encode(pa.array([text, text[::-1]]))
+        want = [encode.whole.encode(t, add_special_tokens=False).ids for t in (text, text[::-1])]
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+        if text.startswith("quite"):
+            assert {" Ünder", " a.\nb"} <= set(encode.known) and " w0x3" not in encode.known
