@@ -156,7 +156,7 @@ def test_token_files_hold_all_documents(make_docs, odd_rows, library):
 
 
 def test_a_full_memory_keeps_words_met_again(monkeypatch):
-    monkeypatch.setattr(tokens, "MOST_WORDS", 60)
+    monkeypatch.setattr(tokens, "MOST_WORDS", 150)
     encode = tokens.Encoder(tokens.default_vocabulary())
     batches = [" ".join(["the", "Ünder", "a.\nb"] + [f"w{k}x{i}" for i in range(40)]) for k in range(2)]
     batches += ["quite other words", "", "the Ünder a.\nb w0x3"]
