@@ -18,7 +18,8 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.llm.wordhash import distinct_words, hashes_of, text_slices
@@ -129,6 +130,20 @@ def _cells(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array([data[width * a : width * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
 
 
+def _planes(places: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A cell per text: the lowest bytes of its places, then the next ones; high bytes so pack well."""
+    data = places.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return pa.array([data[a:b].T.tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+
+
+def _places_of(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.concatenate([[0], np.cumsum([len(c) // 4 for c in cells])]).astype(np.int64)
+    data = np.empty((bounds[-1], 4), np.uint8)
+    for cell, a, b in zip(cells, bounds[:-1], bounds[1:]):
+        data[a:b] = np.frombuffer(cell, np.uint8).reshape(4, -1).T
+    return data.view("<u4").ravel(), bounds
+
+
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every text's ids and its words' places among the words of its piece.
 
@@ -146,7 +161,7 @@ def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.column("doc_id"),
                     _cells(ids[places], bounds),
                     pa.array([uuid4().int >> 65] * rows.num_rows, pa.int64()),
-                    _cells(places.astype("<u4"), bounds),
+                    _planes(places, bounds),
                     on_first(words.cast(pa.string())),
                     on_first(pa.array(ids.astype(np.int32))),
                     on_first(pa.array(np.bincount(places, minlength=len(words)).astype(np.int64))),
@@ -248,13 +263,11 @@ def _scored_pieces(net: Network, classes: np.ndarray, shares: np.ndarray, counts
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         place = words.column("place").to_numpy()
-        id_of, share_of = np.zeros(len(place), np.int64), np.zeros(len(place))
-        id_of[place] = words.column("id").to_numpy()
+        id_of = pc.list_flatten(texts.column("word_ids")).to_numpy().astype(np.int64)
+        share_of = np.zeros(len(place))
         share_of[place] = np.log(words.column("n").to_numpy())
         share_of -= np.log(counts[id_of])
-        cells = texts.column("places").to_pylist()
-        bounds = np.concatenate([[0], np.cumsum([len(c) // 4 for c in cells])]).astype(np.int64)
-        places = np.frombuffer(b"".join(cells), "<u4")
+        places, bounds = _places_of(texts.column("places").to_pylist())
         logp = _log_probs(net, classes, shares, id_of[places], bounds) + share_of[places]
         return pa.Table.from_arrays(_summed(texts.column("doc_id"), bounds, logp), names=SCORED)
 
@@ -297,12 +310,14 @@ def train(encoded: DataFrame, counts: np.ndarray | None = None) -> tuple[Network
 
 
 def counted_words(encoded: DataFrame) -> DataFrame:
-    """``piece, place, id, n``: every piece's words with their counts in the whole corpus."""
-    words = encoded.select(
-        "piece", F.posexplode(F.arrays_zip("words", "word_ids", "ns")).alias("place", "w")
-    ).select("piece", "place", F.col("w.words").alias("word"), F.col("w.word_ids").alias("id"), F.col("w.ns").alias("ns"))
-    corpus = stored(words.groupBy("word").agg(F.sum("ns").alias("n")))
-    return words.join(corpus, "word").select("piece", "place", "id", "n")
+    """``piece, place, n``: every piece's words with their counts in the whole corpus.
+
+    A word has one row per piece that holds it, and these meet once: no second shuffle of the
+    words brings their counts back to them.
+    """
+    words = encoded.select("piece", F.posexplode(F.arrays_zip("words", "ns")).alias("place", "w"))
+    total = F.sum("w.ns").over(Window.partitionBy("w.words"))
+    return words.select("piece", "place", total.alias("n"))
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,11 +337,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             _worded,
             f"doc_id {kind}, ids binary, piece long, places binary, "
             "words array<string>, word_ids array<int>, ns array<long>",
-        )
+        ),
+        codec="zstd",
     )
     counts = id_counts(encoded)
     run = _scored_pieces(*train(encoded, counts), counts)
-    by_piece = encoded.select(F.col("piece").alias("of"), "doc_id", "places").groupBy("of")
+    by_piece = encoded.select(F.col("piece").alias("of"), "doc_id", "places", "word_ids").groupBy("of")
     scored = by_piece.cogroup(counted_words(encoded).groupBy("piece")).applyInArrow(
         run, f"doc_id {kind}, n_tokens long, log_prob double"
     )

@@ -23,13 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None, codec: str | None = None) -> DataFrame:
     """The same rows, written once as a parquet table in the shared folder.
 
     For relations with several readers: a lost executor costs no recomputation, readers
     still prune columns, and the planner knows the real size. ``by`` names a column with few
     values that gets a folder per value; a join on it reads only the folders it needs.
+    ``codec`` names the files' compression where the session's is too weak.
     """
     path = f"{shared_folder(df.sparkSession)}/harborline-{uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,3 +51,16 @@ def test_classes_are_bands_of_frequency():
         assert more.min() >= less.max()
     mass = np.array([(r + 1).sum() for r in rest])
     assert mass.max() < 2 * mass.min()
+
+
+def test_counted_words_shuffle_each_word_once(spark):
+    """Places are byte planes that read back whole, and a word meets its counts in one shuffle."""
+    places = np.array([0, 1, 255, 256, 70_000, 2**24 + 3, 5], np.int64)
+    cells = lm._planes(places, np.array([0, 3, 3, 7])).to_pylist()
+    got, bounds = lm._places_of(cells)
+    assert got.tolist() == places.tolist() and bounds.tolist() == [0, 3, 3, 7]
+    rows = [(1, ["a", "b"], [2, 1]), (2, ["b", "c"], [4, 1]), (2, None, None), (3, [], [])]
+    encoded = spark.createDataFrame(rows, "piece long, words array<string>, ns array<long>")
+    counted = lm.counted_words(encoded)
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in counted.collect()} == {(1, 0, 2), (1, 1, 5), (2, 0, 5), (2, 1, 1)}
