@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 MOST_WORDS = 600_000  # words remembered by a Python worker before it drops those met only once
-MOST_PARTS = 200_000  # parts of words remembered beside them
+MOST_PARTS = 100_000  # parts of words remembered beside them
 # fixed value: the split of a text into parts that are encoded on their own
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # a cut before a space is a cut between parts unless the space stands between other white space
@@ -41,27 +42,31 @@ class Encoder:
     Parts of a text are encoded independently by this kind of vocabulary, and a new part
     starts wherever a space follows other text. So texts are cut at spaces, words are told
     apart in one vectorised step, and only words that are new to this worker are encoded by
-    the library. Texts with odd white space or special strings go to it as a whole.
+    the library. Texts with odd white space or special strings go to it as a whole. The words
+    themselves stay in Arrow: only new ones ever become Python strings.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.letters = str.maketrans(_byte_letters())
-        self.known: dict[str, int] = {}
+        self.letters = "".join(letter for _, letter in sorted(_byte_letters().items()))
+        self.words = pa.array([], pa.large_string())  # by number
         self.parts: dict[str, tuple[int, ...]] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int32)
         self.lengths = np.zeros(0, np.int32)
         self.met = np.zeros(0, np.int32)  # batches of texts that held the word
 
+    @property
+    def known(self) -> list[str]:
+        return self.words.to_pylist()
+
     def _forget(self) -> None:
         """Drops the words met in one batch only; all of them if too few are."""
         kept = np.flatnonzero(self.met > 1)
         if 2 * len(kept) > MOST_WORDS:
             kept = kept[:0]
-        words = list(self.known)
-        self.known = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.words = self.words.take(pa.array(kept))
         self.ids = self._ids_at(kept)[0]
         self.lengths = self.lengths[kept]
         self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
@@ -77,15 +82,13 @@ class Encoder:
         return self.ids[at], bounds
 
     def _part(self, part: str) -> tuple[int, ...]:
-        if part.isascii() and part.isprintable():  # but for the space, such a byte is its own letter
-            word = part.replace(" ", self.letters[32])
-        else:
-            word = part.encode("utf-8").decode("latin-1").translate(self.letters)
+        word = charmap_decode(part.encode("utf-8"), "strict", self.letters)[0]
         ids = self.parts[part] = tuple([t.id for t in self.model.tokenize(word)])
         return ids
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, fresh: pa.Array) -> None:
         """Encodes words not seen before and numbers them on from the known ones."""
+        words = fresh.to_pylist()
         seen, encode_part = self.parts.get, self._part
         flat: list[int] = []
         lengths: list[int] = []
@@ -101,8 +104,7 @@ class Encoder:
                 for part in PIECES.findall(word):
                     flat += seen(part) or encode_part(part)
             lengths.append(len(flat) - before)
-        first = len(self.known)
-        self.known.update(zip(words, range(first, first + len(words))))
+        self.words = pa.concat_arrays([self.words, fresh])
         sizes = np.array(lengths, np.int32)
         ends = len(self.ids) + np.cumsum(sizes, dtype=np.int32)
         self.starts = np.concatenate([self.starts, ends - sizes])
@@ -110,12 +112,15 @@ class Encoder:
         self.met = np.concatenate([self.met, np.zeros(len(words), np.int32)])
         self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of these distinct words; new ones are learnt."""
+        found = pc.index_in(words, value_set=self.words)
+        numbers = pc.fill_null(found, -1).to_numpy().copy()
+        new = numbers < 0
+        if new.any():
+            numbers[new] = np.arange(len(self.words), len(self.words) + new.sum(), dtype=np.int32)
+            self._learn(words.filter(pa.array(new)))
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the texts' offsets into them. Null is empty."""
@@ -140,18 +145,19 @@ class Encoder:
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if len(self.known) > MOST_WORDS:
+        if len(self.words) > MOST_WORDS:
             self._forget()
         if len(self.parts) > MOST_PARTS:
             self.parts = {}
         split = pc.split_pattern(texts, " ")
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        coded = split.flatten().dictionary_encode()
-        spaced = self._numbers(pc.binary_join_element_wise(SPACE, coded.dictionary, EMPTY).to_pylist())
-        self.met[spaced] += 1
-        numbers = spaced[coded.indices.to_numpy()]
-        heads = split.flatten().take(pa.array(bounds[:-1]))
-        numbers[bounds[:-1]] = self._numbers(heads.to_pylist())
+        flat = split.flatten()
+        coded, heads = flat.dictionary_encode(), flat.take(pa.array(bounds[:-1])).dictionary_encode()
+        spaced = pc.binary_join_element_wise(SPACE, coded.dictionary, EMPTY)
+        met = self._numbers(pa.concat_arrays([spaced, heads.dictionary]))
+        self.met[met[: len(spaced)]] += 1
+        numbers = met[coded.indices.to_numpy()]
+        numbers[bounds[:-1]] = met[len(spaced) :][heads.indices.to_numpy()]
         ids, ends = self._ids_at(numbers)
         return ids, ends[bounds].astype(np.int64)
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -166,3 +167,16 @@ def test_a_full_memory_keeps_words_met_again(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
         if text.startswith("quite"):
             assert {" Ünder", " a.\nb"} <= set(encode.known) and " w0x3" not in encode.known
+
+
+def test_remembered_words_are_no_python_strings():
+    encode = tokens.Encoder(tokens.default_vocabulary())
+    batches = [pa.array([" ".join(f"w{k}x{i}" for i in range(10_000))]) for k in range(4)]
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for batch in batches:
+        encode.encode(batch)
+    encode.parts = {}
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert len(encode.words) > 39_000 and held < 80 * len(encode.words)
