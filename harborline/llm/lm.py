@@ -13,12 +13,13 @@ back to the texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from uuid import uuid4
+from itertools import count
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ CLASSES = 128  # the others' classes are bands of like frequency and near equal
 MASKED = 8  # one in so many words is masked at a time; all residues have their turn
 ROUNDS = 2
 BATCH = 2048
+PIECE_BYTES = 8 << 20  # of text whose distinct words are shuffled together
 AT_ONCE = 512  # words scored at once, so the work stays in the cache
 RATE = 0.5
 SHAPES = {
@@ -98,31 +100,49 @@ def context(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     return padded[at[:, None] + np.array(sides)]
 
 
-def forward(net: Network, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, hidden values and log-probabilities of all classes."""
+def scores(net: Network, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, and a column per word of hidden values and of the classes' scores up to a constant,
+    at most 0. Steps over all classes so run along the words, which lie side by side."""
     x = np.take(net["words"], around, axis=0).reshape(len(around), -1)
-    h = np.tanh(x @ net["hidden"] + net["hidden_bias"])
-    scores = h @ net["out"] + net["out_bias"]
-    scores -= scores.max(axis=1, keepdims=True)
-    scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
-    return x, h, scores
+    h = net["hidden"].T @ x.T
+    h += net["hidden_bias"][:, None]
+    np.tanh(h, out=h)
+    found = net["out"].T @ h
+    found += net["out_bias"][:, None]
+    found -= found.max(axis=0)
+    return x, h, found
+
+
+def forward(net: Network, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, hidden values and log-probabilities of all classes, a row per word."""
+    x, h, found = scores(net, around)
+    return x, h.T, (found - np.log(np.exp(found).sum(axis=0))).T
 
 
 def learn(net: Network, around: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
     """One step of gradient descent on a batch of masked words, in place."""
     n = len(target)
-    x, h, logp = forward(net, around)
-    d = np.exp(logp)
-    d[np.arange(n), target] -= 1
-    d /= n
-    dh = (d @ net["out"].T) * (1 - h * h)
-    dx = (dh @ net["hidden"].T).reshape(-1, WIDTH)
-    net["out"] -= rate * (h.T @ d)
-    net["out_bias"] -= rate * d.sum(axis=0)
-    net["hidden"] -= rate * (x.T @ dh)
-    net["hidden_bias"] -= rate * dh.sum(axis=0)
-    # a word's vector moves by the mean over its places, so rare and common words keep pace
-    np.subtract.at(net["words"], around.ravel(), rate * n / 32 * dx)
+    total = {k: np.zeros_like(net[k]) for k in ("hidden", "hidden_bias", "out", "out_bias")}
+    dx = np.empty((n, 2 * SIDE * WIDTH), net["words"].dtype)
+    for a in range(0, n, AT_ONCE):
+        part = slice(a, min(a + AT_ONCE, n))
+        x, h, d = scores(net, around[part])
+        np.exp(d, out=d)
+        d /= d.sum(axis=0)
+        d[target[part], np.arange(d.shape[1])] -= 1
+        dh = net["out"] @ d
+        dh *= 1 - h * h
+        np.matmul(dh.T, net["hidden"].T, out=dx[part])
+        total["out"] += h @ d.T
+        total["out_bias"] += d.sum(axis=1)
+        total["hidden"] += x.T @ dh.T
+        total["hidden_bias"] += dh.sum(axis=1)
+    for k, gradient in total.items():
+        net[k] -= rate / n * gradient
+    # a word's vector moves by the mean over its places, so rare and common words keep pace;
+    # numpy adds at single numbers many times faster than at rows
+    places = np.ravel(around)[:, None] * WIDTH + np.arange(WIDTH)
+    np.subtract.at(net["words"].reshape(-1), places.ravel(), rate / 32 * dx.ravel())
 
 
 def _cells(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -147,11 +167,13 @@ def _places_of(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every text's ids and its words' places among the words of its piece.
 
-    A piece is a slice of a batch. Its first row carries its distinct words with their ids
-    and counts.
+    A piece is a slice of a batch, numbered in its task: such keys are short in a compressed
+    shuffle. Its first row carries its distinct words with their ids and counts.
     """
+    where = TaskContext.get()
+    task, number = where.partitionId() if where else 0, count()
     for batch in batches:
-        for rows in text_slices(batch):
+        for rows in text_slices(batch, PIECE_BYTES):
             words, places, bounds = distinct_words(rows.column("text"))
             ids = (hashes_of(words) % np.uint64(VOCABULARY)).astype("<u2")
             once = np.minimum(np.arange(rows.num_rows + 1), 1).astype(np.int32) * len(words)
@@ -160,7 +182,7 @@ def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     rows.column("doc_id"),
                     _cells(ids[places], bounds),
-                    pa.array([uuid4().int >> 65] * rows.num_rows, pa.int64()),
+                    pa.array([task << 32 | next(number)] * rows.num_rows, pa.int64()),
                     _planes(places, bounds),
                     on_first(words.cast(pa.string())),
                     on_first(pa.array(ids.astype(np.int32))),
@@ -204,6 +226,15 @@ def mask_turns(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return inside % MASKED
 
 
+def own_copy(net: Network) -> Network:
+    """Arrays made here. Those that came with a task hold a type object of their own, and
+    numpy's adding at places passes by its fast way for these, even in their copies."""
+    made = {k: np.empty(v.shape, np.float32) for k, v in net.items()}
+    for k, v in net.items():
+        made[k][...] = v
+    return made
+
+
 def _trained(net: Network, classes: np.ndarray, round_: int):
     """A task's own copy of the network after its masked words, weighted by their number.
 
@@ -211,7 +242,7 @@ def _trained(net: Network, classes: np.ndarray, round_: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = {k: v.copy() for k, v in net.items()}, 0
+        own, seen = own_copy(net), 0
         for batch in batches:
             ids, bounds = _ids_of(batch)
             padded, at = windows(ids, bounds)
@@ -234,8 +265,9 @@ def _log_probs(net: Network, classes: np.ndarray, shares: np.ndarray, ids: np.nd
     logp = shares[ids]
     for a in range(0, len(ids), AT_ONCE):
         part = slice(a, a + AT_ONCE)
-        found = forward(net, context(padded, at[part]))[2]
-        logp[part] += found[np.arange(len(found)), classes[ids[part]]]
+        found = scores(net, context(padded, at[part]))[2]
+        own = found[classes[ids[part]], np.arange(found.shape[1])]
+        logp[part] += own - np.log(np.exp(found, out=found).sum(axis=0))
     return logp
 
 
@@ -259,12 +291,12 @@ def _scored(net: Network, classes: np.ndarray, shares: np.ndarray):
 
 
 def _scored_pieces(net: Network, classes: np.ndarray, shares: np.ndarray, counts: np.ndarray):
-    """Scores of a piece's texts, given the corpus' counts of the piece's words."""
+    """Scores of a piece's texts, given the corpus' counts of the piece's words above 1."""
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         place = words.column("place").to_numpy()
         id_of = pc.list_flatten(texts.column("word_ids")).to_numpy().astype(np.int64)
-        share_of = np.zeros(len(place))
+        share_of = np.zeros(len(id_of))
         share_of[place] = np.log(words.column("n").to_numpy())
         share_of -= np.log(counts[id_of])
         places, bounds = _places_of(texts.column("places").to_pylist())
@@ -343,7 +375,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     counts = id_counts(encoded)
     run = _scored_pieces(*train(encoded, counts), counts)
     by_piece = encoded.select(F.col("piece").alias("of"), "doc_id", "places", "word_ids").groupBy("of")
-    scored = by_piece.cogroup(counted_words(encoded).groupBy("piece")).applyInArrow(
+    met_again = counted_words(encoded).where("n > 1")  # what is left out was met once
+    scored = by_piece.cogroup(met_again.groupBy("piece")).applyInArrow(
         run, f"doc_id {kind}, n_tokens long, log_prob double"
     )
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))

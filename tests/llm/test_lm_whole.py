@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 
 from harborline.llm import lm
@@ -64,3 +66,15 @@ def test_counted_words_shuffle_each_word_once(spark):
     counted = lm.counted_words(encoded)
     assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {tuple(r) for r in counted.collect()} == {(1, 0, 2), (1, 1, 5), (2, 0, 5), (2, 1, 1)}
+
+
+def test_updates_take_the_fast_way_for_arrays_that_came_with_a_task():
+    came = pickle.loads(pickle.dumps(lm.fresh_network(np.ones(lm.VOCABULARY), lm.word_classes(np.ones(lm.VOCABULARY)))))
+    own = lm.own_copy(came)
+    assert all((own[k] == came[k]).all() and own[k].dtype is np.dtype(np.float32) for k in came)
+
+
+def test_keys_of_pieces_are_short():
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array([1, 2]), lm.pa.array(["a b", "b c"])], names=["doc_id", "text"])
+    keys = [k for rows in lm._worded([batch, batch]) for k in rows.column("piece").to_pylist()]
+    assert keys == [0, 0, 1, 1]
