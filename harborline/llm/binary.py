@@ -180,7 +180,8 @@ def write_tokens(
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spread = F.xxhash64("text")  # rows of one id are spread, too
     ranged = texts.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread)
-    files = stored(ranged.mapInArrow(write, "part long, file string, n_docs long, n_ids long"))
+    written = ranged.mapInArrow(write, "part long, file string, n_docs long, n_ids long")
+    files = stored(written.repartition(1))  # a row per file; the list of files is one small file, not one per task
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.select("file", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("start"))
 

@@ -180,3 +180,13 @@ def test_remembered_words_are_no_python_strings():
     held = tracemalloc.get_traced_memory()[0] - before
     tracemalloc.stop()
     assert len(encode.words) > 39_000 and held < 80 * len(encode.words)
+
+
+def test_the_list_of_token_files_is_one_file(make_docs, tmp_path):
+    docs = make_docs([(i, f"text {i}", "a") for i in range(200)])
+    docs.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = binary.write_tokens(docs, str(tmp_path))
+    finally:
+        docs.sparkSession.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 1 and len(files.inputFiles()) == 1
