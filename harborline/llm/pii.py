@@ -273,13 +273,11 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     id_column = F.col(doc_id).alias("id_out")
     based = _with_base(docs, doc_id, text, [id_column])
     printed = [_printed(k, F.col(k)) for k in KINDS]
-    slim = stored(
-        based.select(
-            "id_out", "key", "digest",
-            *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
-            F.concat(*printed).alias("base"),
-        )
-    )
+    slim = based.select(
+        "id_out", "key", "digest",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.concat(*printed).alias("base"),
+    )
     extra = discovered(based)
     joined = slim.join(extra, _same_text(slim, extra), "left")
     more = F.coalesce(_printed(FOUND, F.col("found")), F.array().cast("array<string>"))

@@ -4,6 +4,7 @@ import re
 
 
 from harborline.llm import pii
+from harborline.sources.durable import stored
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -169,3 +170,11 @@ def test_empty(make_docs):
 def test_main_path_has_no_python(make_docs, odd_rows):
     plan = pii.find_personal(make_docs(odd_rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_are_not_written_before_they_are_returned(make_docs, monkeypatch):
+    kept = []
+    monkeypatch.setattr(pii, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    docs = make_docs([(i, f"write to a{i}@b.org or call nobody", "a") for i in range(64)]).repartition(16)
+    assert pii.find_personal(docs).count() == 64
+    assert all("id_out" not in df.columns for df in kept)
