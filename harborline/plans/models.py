@@ -76,13 +76,16 @@ def model_rows(frame: DataFrame, spec: ModelSpec, keys: list[str]) -> DataFrame:
 
 
 def in_parts(rows: DataFrame, n: int) -> DataFrame:
-    """``n`` rows for a fit, in no more parts than there are cores, or a multiple of that.
+    """``n`` rows for a fit, in as many parts of equal size as there are cores, or a multiple of that.
 
-    Every level of every tree sends the counts of its nodes from each part, so the number of parts
-    follows the cores, not the files. Parts are put together where they lie, in their order.
+    Every level of every tree waits for the largest part and sends the counts of its nodes from
+    each one, so the parts follow the cores, not the files: rows are dealt out one by one, once
+    per fit, however unequal the files are. Parts are sorted, so that a fit draws the same rows
+    again and a part lost on the way comes back in the order that its residuals are in.
     """
     cores = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    return rows.coalesce(cores * max(1, -(-n // (cores * PART_ROWS))))
+    dealt = rows.repartition(cores * max(1, -(-n // (cores * PART_ROWS))))
+    return dealt.sortWithinPartitions(*rows.columns)
 
 
 def positive_probability(name: str = "probability"):
@@ -125,7 +128,7 @@ def train(
             seed=SEED,
         ),
     ]
-    fitted = rows.where(~F.col("is_test"))
+    fitted = rows.where(~F.col("is_test")).select(*FEATURES, "label")
     model = Pipeline(stages=stages).fit(in_parts(fitted, fitted.count()))
     scored = model.transform(rows.where(F.col("is_test")))
     score = positive_probability() if spec.classifier else F.col("prediction")

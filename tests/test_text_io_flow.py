@@ -286,6 +286,18 @@ def test_parts_of_a_fit_follow_the_cores(spark):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_parts_of_a_fit_are_equal_however_unequal_the_files(spark):
+    cores = spark.sparkContext.defaultParallelism
+    piles = spark.range(8000).repartition(3, F.when(F.col("id") < 7000, 0).otherwise(F.col("id")))
+    files = stored(piles.withColumn("label", F.when(F.col("id") % 7 > 0, 1.0)))
+    dealt = models.in_parts(files, 8000)
+    parts = [[r.id for r in p] for p in dealt.rdd.glom().collect()]
+    assert len(parts) == cores
+    assert max(map(len, parts)) - min(map(len, parts)) <= files.rdd.getNumPartitions()
+    assert all(p == sorted(p) for p in parts)
+    assert sorted(i for p in parts for i in p) == list(range(8000))
+
+
 def test_nodes_are_walked_in_batches(spark):
     schema = "tree int, node int, feature int, threshold double, left int, right int, value double, gain double, weight double, n_rows double"
     nodes = [
