@@ -183,6 +183,15 @@ def contexts(based: DataFrame) -> DataFrame:
     )
 
 
+def _in_few_files(rows: DataFrame) -> DataFrame:
+    """The rows, stored in no more files than there are cores.
+
+    Every round of the graph stores small tables. Each file costs its writers some processes and
+    its readers a request, and with one per shuffle partition a round is mostly that.
+    """
+    return stored(rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)))
+
+
 def pattern_scores(based: DataFrame, found: DataFrame) -> DataFrame:
     """``(pattern, confidence, support)`` at the fixed point of the pattern-instance graph.
 
@@ -202,13 +211,13 @@ def pattern_scores(based: DataFrame, found: DataFrame) -> DataFrame:
     counted = words.groupBy("pattern").agg(F.count("*").alias("total"))
     totals = counted.join(edges.select("pattern").distinct(), "pattern")
     graph = stored(edges.join(totals, "pattern"))
-    instances = stored(
+    instances = _in_few_files(
         graph.groupBy("value").agg(F.max("seed").alias("known"), F.max("seed").cast("double").alias("sure"))
     )
     trusted = (F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)
     before = None
     while True:
-        patterns = stored(
+        patterns = _in_few_files(
             graph.join(instances, "value")
             .groupBy("pattern")
             .agg(
@@ -222,7 +231,7 @@ def pattern_scores(based: DataFrame, found: DataFrame) -> DataFrame:
         before = now
         doubt = F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))
         specific = F.length("value") >= SPECIFIC
-        instances = stored(
+        instances = _in_few_files(
             graph.join(patterns, "pattern")
             .groupBy("value")
             .agg(F.max("seed").alias("seed"), F.max(trusted).alias("led"), F.sum(doubt).alias("doubt"))

@@ -178,3 +178,23 @@ def test_rows_are_not_written_before_they_are_returned(make_docs, monkeypatch):
     docs = make_docs([(i, f"write to a{i}@b.org or call nobody", "a") for i in range(64)]).repartition(16)
     assert pii.find_personal(docs).count() == 64
     assert all("id_out" not in df.columns for df in kept)
+
+
+def test_rounds_write_no_more_files_than_there_are_cores(make_docs, spark, monkeypatch):
+    """Small tables of a round have few files, however many parts a shuffle has."""
+    written = []
+    monkeypatch.setattr(pii, "stored", lambda df: written.append((df.columns, stored(df))) or written[-1][1])
+    docs = make_docs([(i, f"word{i % 9} a{i}@b.cc code{i % 9} x{i}y{i}zz", "a") for i in range(400)])
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "40")
+        spark.conf.set(names[1], "false")
+        pii.discovered(pii._with_base(docs, "doc_id", "text", []))
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    of_rounds = [df for columns, df in written if "known" in columns or "support" in columns]
+    assert len(of_rounds) >= 3
+    cores = spark.sparkContext.defaultParallelism
+    assert cores < 40 and all(len(df.inputFiles()) <= cores for df in of_rounds)
