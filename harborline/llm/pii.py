@@ -23,6 +23,7 @@ SUPPORT = 3  # distinct known entities a pattern has to precede
 CONFIDENCE = 0.8
 SPECIFIC = 5  # code points; shorter words with a digit, as page numbers, support no pattern
 SETTLED = 0.01  # confidence that all patterns together may still gain when scoring ends
+SENT_PATTERNS = 500_000  # patterns, at most, that travel to the tasks that count their words, some 40 MB
 
 TAIL = 200  # code points before an entity that are looked at first for its context word
 RUN = 128  # matches whose places are added up in one fold
@@ -192,8 +193,21 @@ def _in_few_files(rows: DataFrame) -> DataFrame:
     return stored(rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)))
 
 
+def word_totals(based: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(pattern, total)``: how often each of the stored, distinct patterns occurs as a word.
+
+    Most words of a corpus precede no instance. Where the patterns are few enough to travel,
+    other words go before anything is counted or shuffled, else after the count.
+    """
+    words = based.select(F.explode(F.split(F.lower("whole"), BREAK)).alias("pattern"))
+    total = F.count("*").alias("total")
+    if patterns.count() <= SENT_PATTERNS:
+        return words.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(total)
+    return words.groupBy("pattern").agg(total).join(patterns, "pattern")
+
+
 def pattern_scores(based: DataFrame, found: DataFrame) -> DataFrame:
-    """``(pattern, confidence, support)`` at the fixed point of the pattern-instance graph.
+    """``(pattern, confidence, support)`` once the trusted patterns of the pattern-instance graph are settled.
 
     A pattern is the word before an instance, a base entity or a word with a digit. Its
     confidence is the confidence of what follows it, summed over all occurrences of the word
@@ -201,21 +215,28 @@ def pattern_scores(based: DataFrame, found: DataFrame) -> DataFrame:
     ``CONFIDENCE`` and ``SUPPORT`` distinct known instances on. Known are base entities, and
     instances of ``SPECIFIC`` code points that a trusted pattern precedes, so that these
     support further patterns. Another such instance is as sure as its patterns are together
-    (noisy or). Both only grow; rounds go on until one trusts no further pattern and
-    confidences have settled. Edges are counted inside the tasks before they are shuffled.
+    (noisy or). Both only grow; rounds go on until one trusts no further pattern and either
+    confidences have settled or none is left that could be trusted. That is a pattern whose
+    followers would give the confidence if all that may ever count were sure, and that has the
+    support; support only grows with trust. Words that stand before one identifier once or
+    twice gain a little in every round for thousands of rounds, the more together the larger
+    the corpus, and change nothing. Edges are counted inside the tasks before they are shuffled.
     """
     edges = stored(
         found.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     )
-    words = based.select(F.explode(F.split(F.lower("whole"), BREAK)).alias("pattern"))
-    counted = words.groupBy("pattern").agg(F.count("*").alias("total"))
-    totals = counted.join(edges.select("pattern").distinct(), "pattern")
+    totals = word_totals(based, stored(edges.select("pattern").distinct()))
     graph = stored(edges.join(totals, "pattern"))
     instances = _in_few_files(
         graph.groupBy("value").agg(F.max("seed").alias("known"), F.max("seed").cast("double").alias("sure"))
     )
+    specific = F.length("value") >= SPECIFIC
+    # known values may have any length, but only seeds and specific ones ever count
+    counting = F.col("known") | specific
     trusted = (F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)
-    before = None
+    # a sum of doubles may fall short of the bound by its rounding
+    hopeful = (F.col("most") >= CONFIDENCE - 1e-6) & (F.col("support") >= SUPPORT) & ~trusted
+    before = (0, None)  # nothing is trusted
     while True:
         patterns = _in_few_files(
             graph.join(instances, "value")
@@ -223,14 +244,17 @@ def pattern_scores(based: DataFrame, found: DataFrame) -> DataFrame:
             .agg(
                 F.least(F.lit(1.0), F.sum(F.col("n") * F.col("sure")) / F.first("total")).alias("confidence"),
                 F.count_if("known").alias("support"),
+                (F.sum(F.when(counting, F.col("n"))) / F.first("total")).alias("most"),
             )
         )
-        now = patterns.agg(F.count_if(trusted), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
-        if before is not None and now[0] == before[0] and now[1] - before[1] <= SETTLED:
-            return patterns
+        now = patterns.agg(
+            F.count_if(trusted), F.coalesce(F.sum("confidence"), F.lit(0.0)), F.count_if(hopeful)
+        ).first()
+        settled = not now[2] or (before[1] is not None and now[1] - before[1] <= SETTLED)
+        if now[0] == before[0] and settled:
+            return patterns.drop("most")
         before = now
         doubt = F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))
-        specific = F.length("value") >= SPECIFIC
         instances = _in_few_files(
             graph.join(patterns, "pattern")
             .groupBy("value")

@@ -198,3 +198,34 @@ def test_rounds_write_no_more_files_than_there_are_cores(make_docs, spark, monke
     assert len(of_rounds) >= 3
     cores = spark.sparkContext.defaultParallelism
     assert cores < 40 and all(len(df.inputFiles()) <= cores for df in of_rounds)
+
+
+def _slow_rows():
+    """Words that stand once before an identifier and gain a little in every round."""
+    rows = [(i, f"write to contact: user{i}@mail.example.com today", "s") for i in range(20)]
+    rows += [(100 + i, f"alpha{'xyz'[i % 3] * (1 + i // 3)}q QX{i:04d}-7 ends", "s") for i in range(60)]
+    rows += [(200 + i, f"beta QX{i:04d}-7 and beta again", "s") for i in range(60)]
+    rows += [(300 + i, f"beta user{i % 2}@mail.example.com ends beta", "s") for i in range(2)]
+    return rows
+
+
+def test_rounds_end_when_no_pattern_is_left_that_could_be_trusted(make_docs, monkeypatch):
+    """Confidences that grow for long without any chance of trust cost no rounds."""
+    monkeypatch.setattr(pii, "SETTLED", 1e-5)  # as many slow words together as a large corpus has
+    written = []
+    monkeypatch.setattr(pii, "stored", lambda df: written.append(df.columns) or stored(df))
+    rows = _slow_rows()
+    assert _bootstrapped(rows) == {"contact:"}
+    found = {r.doc_id: r.spans for r in pii.find_personal(make_docs(rows)).collect()}
+    assert all("id:" not in s for s in found.values())
+    assert sum("support" in columns for columns in written) <= 3
+
+
+def test_totals_of_patterns_are_the_same_by_either_path(make_docs, monkeypatch):
+    docs = make_docs([(i, "The code: A1 the CODE: the end" + " x" * (i % 3), "s") for i in range(9)] + [(9, None, "s")])
+    based = pii._with_base(docs, "doc_id", "text", [])
+    patterns = stored(based.sparkSession.createDataFrame([("the",), ("code:",), ("gone",)], "pattern string"))
+    sent = {(r.pattern, r.total) for r in pii.word_totals(based, patterns).collect()}
+    monkeypatch.setattr(pii, "SENT_PATTERNS", 0)
+    counted = {(r.pattern, r.total) for r in pii.word_totals(based, patterns).collect()}
+    assert sent == counted == {("the", 27), ("code:", 18)}
