@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harborline.operators.boosting import as_model, boosted
 from harborline.operators.metrics import accuracy, auc_roc, mean_absolute_error, r_squared
 from harborline.operators.split import stratified_split
 from harborline.operators.trees import importances, read_trees, score_rows
@@ -129,7 +130,11 @@ def train(
         ),
     ]
     fitted = rows.where(~F.col("is_test")).select(*FEATURES, "label")
-    model = Pipeline(stages=stages).fit(in_parts(fitted, fitted.count()))
+    n = fitted.count()
+    found = boosted(
+        in_parts(fitted, n), n, FEATURES, spec.classifier, rounds, spec.depth, spec.rate, spec.subsample, SEED
+    )
+    model = PipelineModel([stages[0], as_model(stages[1], *found, spec.rate)])
     scored = model.transform(rows.where(F.col("is_test")))
     score = positive_probability() if spec.classifier else F.col("prediction")
     scored = stored(scored.select(*keys, "label", "prediction", score.alias("score")))
