@@ -27,6 +27,8 @@ SLICE_ROWS, SLICES = 100_000, 256  # rows of a folder of the index, and the most
 SPARE = 0.01  # share of neighbours, beyond the recall, that the probed cells hold
 TESTED = 128  # corpus vectors that the search is measured with
 DISTANCES = 1 << 22  # distances that a task holds at once
+GROUP_QUERIES, GROUP_ROWS = 512, 131_072  # queries and coded rows that meet in one task
+SIDE_BY_SIDE = 64  # queries of neighbouring cells whose candidates are scored at once
 
 
 @dataclass(frozen=True)
@@ -53,10 +55,10 @@ class Cells:
         codes = [nearest(p, w[:, : p.shape[1]]) for p, w in zip(self.parts(left), self.words)]
         return np.stack(codes, 1).astype(np.uint8)
 
-    def products(self, vector: np.ndarray) -> np.ndarray:
-        """Inner products of the vector's parts with all words: part x word."""
-        found = [w[:, : p.shape[1]] @ p[0] for p, w in zip(self.parts(vector[None, :]), self.words)]
-        return np.stack(found)
+    def decode(self, codes: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The vectors that the codes stand for: the cell's center and the words."""
+        sizes = [p.shape[1] for p in self.parts(self.centers[:1])]
+        return self.centers[cell] + np.concatenate([w[c, :d] for w, c, d in zip(self.words, codes.T, sizes)], 1)
 
 
 @dataclass(frozen=True)
@@ -68,6 +70,7 @@ class CellIndex:
     n: int
     probes: int  # cells that a query looks into
     shortlist: int  # coded candidates whose vectors are compared
+    per_slice: int = 1  # cells of a slice, which follow each other
 
 
 def nearest(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -254,7 +257,7 @@ def build_cell_index(corpus: DataFrame, k: int = DEFAULT_K, recall: float = 0.93
         .select("slice", "cell", "block", F.col("rows.doc_id").alias("ids"), F.col("rows.code").alias("codes"))
     )
     blocks = stored(packed.repartition("slice", F.pmod("block", F.lit(8))), by="slice")
-    index = CellIndex(cells, blocks, sizes, vectors.drop("code"), n, 1, 16 * k)
+    index = CellIndex(cells, blocks, sizes, vectors.drop("code"), n, 1, 16 * k, per_slice)
     return calibrated(index, k, recall, seed)
 
 
@@ -266,61 +269,104 @@ def _asked(queries: DataFrame) -> DataFrame:
 
 
 def _probed(asked: DataFrame, index: CellIndex) -> DataFrame:
-    """``(query_id, cell)``: the cells that every query looks into."""
+    """``asked`` with ``cells``, those that every query looks into; no rows without an indexed vector."""
     cells, probes = index.cells, index.probes
     kind = asked.schema["query_id"].dataType.simpleString()
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [cells.by_distance(np.asarray(q))[:probes] for q in b["q"]]
-            if found:
-                ids = b["query_id"].repeat([len(f) for f in found])
-                yield pd.DataFrame({"query_id": ids, "cell": np.concatenate(found).astype("int32")})
+            if len(b):
+                yield b.assign(cells=[cells.by_distance(np.asarray(q))[:probes].astype("int32") for q in b["q"]])
 
-    return asked.mapInPandas(near, f"query_id {kind}, cell int")
+    met = asked if index.n else asked.limit(0)  # an empty index does not know how long vectors are
+    return met.mapInPandas(near, f"query_id {kind}, q array<double>, cells array<int>")
 
 
 def candidate_share(queries: DataFrame, index: CellIndex) -> float:
     """Share of all pairs of a query and a row whose codes a search reads."""
-    read = _probed(_asked(queries), index).join(index.sizes, "cell").agg(F.sum("n")).first()[0] or 0
-    return read / max(1, queries.count() * index.n)
+    probes = _probed(_asked(queries), index).select(F.explode("cells").alias("cell"))
+    read = probes.groupBy("cell").count().join(index.sizes, "cell").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    return (read or 0) / max(1, queries.count() * index.n)
+
+
+def _best_coded(queries: np.ndarray, probed: list, rows: np.ndarray, cell: np.ndarray, ids: np.ndarray, most: int):
+    """``(query, row, score)`` of the best rows, in cells that it probes, of every query by number.
+
+    ``rows`` are decoded and sorted by cell. Queries are taken by their nearest cell, so that those
+    scored at once share most of the cells they probe; only rows of these are scored. Equal rows
+    have equal scores, the smaller id first.
+    """
+    held, first = np.unique(cell, return_index=True)
+    ends = np.append(first[1:], len(cell))
+    looks = [np.isin(held, p) for p in probed]
+    order = np.argsort([p[0] for p in probed], kind="stable")
+    for a in range(0, len(order), SIDE_BY_SIDE):
+        some = order[a : a + SIDE_BY_SIDE]
+        wanted = np.array([looks[i] for i in some])
+        met = np.flatnonzero(wanted.any(0))
+        if not len(met):
+            continue
+        at = np.concatenate([np.arange(first[c], ends[c]) for c in met])
+        scores = queries[some] @ rows[at].T
+        scores[~np.repeat(wanted[:, met], ends[met] - first[met], axis=1)] = -np.inf
+        for i, own in zip(some, scores):
+            floor = np.partition(own, len(own) - most)[len(own) - most] if len(own) > most else -np.inf
+            kept = np.flatnonzero((own >= floor - 1e-9) & (own > -np.inf))
+            near = np.round(own[kept], 9)
+            best = np.lexsort((ids[at[kept]], -near))[:most]
+            yield i, at[kept[best]], near[best]
 
 
 def shortlisted(asked: DataFrame, index: CellIndex) -> DataFrame:
     """``(query_id, slice, cell, doc_id)``: the best candidates of every query by their codes.
 
-    Only the folders of probed cells are read. A task scores one block for one query at a time,
-    and sends on the best of it.
+    Only the folders of probed cells are read. Queries are dealt into groups, and the blocks of a
+    slice into parts of bounded size; a group and a part meet in one task, which sends on the
+    best rows of each query. So a block is sent once per group of queries, not once per query.
     """
-    cells, most = index.cells, index.shortlist
+    cells, most, per_slice = index.cells, index.shortlist, index.per_slice
     kinds = [asked.schema["query_id"].dataType.simpleString(), index.vectors.schema["doc_id"].dataType.simpleString()]
-    probes = stored(_probed(asked, index).join(index.sizes, "cell"))
-    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    wanted = probes.select("query_id", "slice", "cell", every_block).join(asked, "query_id")
-    met = wanted.join(index.blocks, ["slice", "cell", "block"])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, near, taken, known = [], [], [], {}
-            for query, q, cell, held, codes in zip(b["query_id"], b["q"], b["cell"], b["ids"], b["codes"]):
-                if query not in known:
-                    known = {query: cells.products(np.asarray(q))} if len(known) > 64 else known
-                    known[query] = cells.products(np.asarray(q))
-                code = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-                scores = known[query][np.arange(code.shape[1]), code].sum(1) + cells.centers[cell] @ np.asarray(q)
-                if len(scores) > most:
-                    top = np.argsort(-scores, kind="stable")[:most]
-                    scores, held = scores[top], np.asarray(held)[top]
-                near.append(scores)
-                ids.append(np.asarray(held))
-                taken.append(len(scores))
-            if taken:
-                rows = b[["query_id", "slice", "cell"]]
-                rows = rows.iloc[np.repeat(np.arange(len(b)), taken)].reset_index(drop=True)
-                yield rows.assign(doc_id=np.concatenate(ids), near=np.concatenate(near))
+    probes = stored(_probed(asked, index))
+    groups = max(1, -(-asked.count() // GROUP_QUERIES))
+    of_slice = index.sizes.groupBy("slice").agg(F.ceil(F.sum("n") / GROUP_ROWS).cast("int").alias("parts"))
+    slices = F.array_distinct(F.transform("cells", lambda c: (c / per_slice).cast("int")))
+    in_slices = probes.withColumn("slice", F.explode(slices))
+    read = [r["slice"] for r in in_slices.select("slice").distinct().collect()]  # SLICES at most
+    group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group")
+    sent = in_slices.join(F.broadcast(of_slice), "slice").select(
+        "query_id", "q", "cells", "slice", group, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    dealt = F.pmod(F.xxhash64("cell", "block"), F.col("parts")).cast("int").alias("part")
+    blocks = index.blocks.where(F.col("slice").isin(read)).join(F.broadcast(of_slice), "slice")
+    held = blocks.select("slice", "cell", "ids", "codes", dealt, every_group)
+
+    def score(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "slice", "cell", "doc_id", "near"]
+        if asked.empty or held.empty:
+            return pd.DataFrame(columns=names)
+        held = held.sort_values("cell", kind="stable")
+        cell = held["cell"].to_numpy().repeat([len(x) for x in held["ids"]])
+        codes = np.frombuffer(b"".join(c for block in held["codes"] for c in block), np.uint8).reshape(len(cell), -1)
+        ids, queries = np.concatenate([np.asarray(x) for x in held["ids"]]), _matrix(asked["q"])
+        found = list(_best_coded(queries, list(asked["cells"]), cells.decode(codes, cell), cell, ids, most))
+        if not found:
+            return pd.DataFrame(columns=names)
+        rows = np.concatenate([r for _, r, _ in found])
+        query = np.repeat([i for i, _, _ in found], [len(r) for _, r, _ in found])
+        return pd.DataFrame(
+            {
+                "query_id": asked["query_id"].to_numpy()[query],
+                "slice": held["slice"].iloc[0],
+                "cell": cell[rows],
+                "doc_id": ids[rows],
+                "near": np.concatenate([near for _, _, near in found]),
+            }
+        )
 
     schema = f"query_id {kinds[0]}, slice int, cell int, doc_id {kinds[1]}, near double"
-    found = met.select("query_id", "q", "slice", "cell", "ids", "codes").mapInPandas(score, schema)
+    keys = ["slice", "part", "group"]
+    found = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(score, schema)
     return top_k(found, ["query_id"], [F.col("near").desc(), F.col("doc_id")], most).drop("near", "rank")
 
 
