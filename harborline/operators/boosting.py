@@ -336,10 +336,11 @@ def _nodes(tree: Tree, number: int, bounds: list[np.ndarray]) -> list[tuple]:
     return found
 
 
-def as_model(booster: Estimator, trees: list[Tree], bounds: list[np.ndarray], rate: float) -> Model:
+def as_model(
+    spark: SparkSession, booster: Estimator, trees: list[Tree], bounds: list[np.ndarray], rate: float
+) -> Model:
     """The library's model of these trees, with the booster's settings: written as it saves its
     own, and read by it. What it says about itself comes from a model of two rows."""
-    spark = SparkSession.getActiveSession()
     path = f"{shared_folder(spark)}/harborline-model-{uuid4().hex}"
     tiny = spark.createDataFrame([(Vectors.dense([0.0] * len(bounds)), float(i)) for i in range(2)], ["features", "label"])
     small = booster.copy({booster.maxIter: 1}).fit(tiny)

@@ -134,7 +134,7 @@ def train(
     found = boosted(
         in_parts(fitted, n), n, FEATURES, spec.classifier, rounds, spec.depth, spec.rate, spec.subsample, SEED
     )
-    model = PipelineModel([stages[0], as_model(stages[1], *found, spec.rate)])
+    model = PipelineModel([stages[0], as_model(spark, stages[1], *found, spec.rate)])
     scored = model.transform(rows.where(F.col("is_test")))
     score = positive_probability() if spec.classifier else F.col("prediction")
     scored = stored(scored.select(*keys, "label", "prediction", score.alias("score")))

@@ -1,4 +1,5 @@
 import os
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import numpy as np
@@ -38,7 +39,8 @@ def test_fit_equals_the_librarys(spark, monkeypatch, classifier, n):
         featuresCol="features", labelCol="label", maxIter=8, maxDepth=4, stepSize=0.2, subsamplingRate=0.7, seed=42
     )
     found = boosting.boosted(parts, n, NAMES, classifier, 8, 4, 0.2, 0.7, 42)
-    own = boosting.as_model(booster, *found, 0.2)
+    with ThreadPoolExecutor(1) as pool:  # models are fitted in threads, which have no active session
+        own = pool.submit(boosting.as_model, spark, booster, *found, 0.2).result()
     vectors = VectorAssembler(inputCols=NAMES, outputCol="features").transform(parts)
     other = booster.fit(vectors)
     assert own.getNumTrees == other.getNumTrees == 8 and own.getMaxIter() == 8
